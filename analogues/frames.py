@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import TIME_FORMAT
-
 SQL_TIME = "'%Y-%m-%d %H:%M:%S'"
 
 
@@ -89,7 +87,7 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_text(c: str) -> Column:
-    return F.date_format(c, TIME_FORMAT)
+    return F.substring(F.col(c).cast("string"), 1, 19)
 
 
 def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,17 +14,21 @@ Flags = Mapping[str, tuple[str, str]]
 Values = Mapping[str, str]
 
 
+def _claim_pairs() -> Column:
+    """The claims of an entity as an array of ``property, value``.
+
+    Zipped from two plain arrays: so the scan reads these two leaves of a claim and no others,
+    which it does not when the claims themselves are exploded.
+    """
+    return F.arrays_zip(
+        F.col("claims.mainSnak.property").alias("property"),
+        F.col("claims.mainSnak.datavalue.value").alias("value"),
+    )
+
+
 def explode_claims(entities: DataFrame, key: str = "id") -> DataFrame:
     """One row per claim: ``key, property, value``. Entities without claims give no row."""
-    return (
-        require(entities, key, "claims")
-        .select(key, F.explode("claims").alias("claim"))
-        .select(
-            key,
-            F.col("claim.mainSnak.property").alias("property"),
-            F.col("claim.mainSnak.datavalue.value").alias("value"),
-        )
-    )
+    return require(entities, key, "claims").select(key, F.inline(_claim_pairs()))
 
 
 def claims_of(props: DataFrame, prop: str) -> DataFrame:
@@ -86,12 +90,7 @@ def claim_features(
     """
     flags, values = flags or {}, values or {}
     require(entities, key, "claims")
-    # Two plain arrays, so that the scan reads these two leaves of the claim and no others.
-    claim = F.arrays_zip(
-        F.col("claims.mainSnak.property").alias("property"),
-        F.col("claims.mainSnak.datavalue.value").alias("value"),
-    )
-    kept = F.filter(claim, lambda c: _wanted(flags, values, strict, c["property"], c["value"]))
+    kept = F.filter(_claim_pairs(), lambda c: _wanted(flags, values, strict, c["property"], c["value"]))
 
     def flag(prop: str, qid: str) -> Column:
         hit = F.exists("kept", lambda c: claim_matches(prop, qid, strict, c["property"], c["value"]))
@@ -161,4 +160,4 @@ def time_claims(props: DataFrame, lookup: DataFrame) -> DataFrame:
 def in_category(items: DataFrame, col: str, lookup: DataFrame, key: str = "QID") -> DataFrame:
     """The items whose ``col`` is listed in a lookup."""
     listed = require(lookup, key).select(F.col(key).alias(col))
-    return require(items, col).join(listed, col, "left_semi")
+    return require(items, col).join(listed, col, "left_semi").select(*items.columns)

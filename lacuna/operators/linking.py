@@ -54,4 +54,4 @@ def drop_ambiguous(
     for keys in key_sets:
         repeated = require(df, *keys).groupBy(*keys).count().where(F.col("count") > 1).select(*keys)
         out = out.join(repeated, list(keys), "left_anti")
-    return out
+    return out.select(*df.columns)

@@ -49,45 +49,46 @@ def summary_stats(
     rows, where the sketch's bound on the rank is no help.
     """
     require(df, *cols)
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    long = df.select(F.explode(entries).alias("entry")).select("entry.*")
-
     margin = 2.0 / accuracy
-    below = F.array(*[F.lit(max(p - margin, 0.0)) for p in probabilities])
-    above = F.array(*[F.lit(min(p + margin, 1.0)) for p in probabilities])
-    described = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.percentile_approx("value", below, accuracy).alias("lows"),
-        F.percentile_approx("value", above, accuracy).alias("highs"),
-    )
+    edges = [max(p - margin, 0.0) for p in probabilities] + [min(p + margin, 1.0) for p in probabilities]
+
+    def described(c: str):
+        value = F.col(c).cast("double")
+        return F.struct(
+            F.lit(c).alias("column"),
+            F.count(value).alias("count"),
+            F.avg(value).alias("mean"),
+            F.stddev_samp(value).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            F.percentile_approx(value, edges, accuracy).alias("edges"),
+        )
+
+    stats = df.agg(F.array(*[described(c) for c in cols]).alias("stats")).select(F.inline("stats"))
 
     # One row per column and probability. There are as many as were asked for, so broadcasting
     # them is safe at any size of the input. They carry the other statistics along.
     few = F.col("count") < 10 * accuracy
-    at = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for i, p in enumerate(probabilities)])
-    marks = described.withColumn("at", F.explode(at)).select(
-        "column",
-        F.struct("column", "count", "mean", "std", "min", "max").alias("stats"),
-        F.col("at.p").alias("p"),
-        ((F.col("count") - 1) * F.col("at.p")).alias("rank"),
-        F.when(few, F.col("min")).otherwise(F.get("lows", F.col("at.i"))).alias("low"),
-        F.when(few, F.col("max")).otherwise(F.get("highs", F.col("at.i"))).alias("high"),
+    places = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for i, p in enumerate(probabilities)])
+    known = ["column", "count", "mean", "std", "min", "max", "p"]
+    marks = stats.select("*", F.inline(places)).select(
+        *known,
+        ((F.col("count") - 1) * F.col("p")).alias("rank"),
+        F.when(few, F.col("min")).otherwise(F.get("edges", F.col("i"))).alias("low"),
+        F.when(few, F.col("max")).otherwise(F.get("edges", F.col("i") + len(probabilities))).alias("high"),
     )
 
     # The null value stands for all rows below the bracket and sorts first. A column without a
     # value keeps its null rows, so that it shows up with a count of zero.
-    empty = F.col("stats.count") == 0
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
     bracket = (
-        long.join(F.broadcast(marks), "column")
-        .where((F.col("value") <= F.col("high")) | empty)
-        .groupBy("stats", "p", "rank", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
+        df.select(F.inline(entries))
+        .join(F.broadcast(marks), "column")
+        .where((F.col("value") <= F.col("high")) | (F.col("count") == 0))
+        .groupBy(*known, "rank", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
         .agg(F.count("*").alias("rows"))
     )
-    upwards = Window.partitionBy("stats", "p").orderBy(F.asc_nulls_first("value"))
+    upwards = Window.partitionBy("column", "p").orderBy(F.asc_nulls_first("value"))
     ranked = bracket.withColumn("upto", F.sum("rows").over(upwards))
 
     def value_at(rank):
@@ -95,16 +96,13 @@ def summary_stats(
 
     fraction = F.col("rank") - F.floor("rank")
     quantile = F.col("lower") + (F.col("upper") - F.col("lower")) * fraction
-    found = ranked.groupBy("stats", "p", "rank").agg(
+    found = ranked.groupBy(*known, "rank").agg(
         value_at(F.floor("rank")).alias("lower"), value_at(F.ceil("rank")).alias("upper")
     )
     names = {p: f"{p * 100:g}%" for p in probabilities}
+    head = ["column", "count", "mean", "std", "min"]
     return (
-        found.groupBy("stats")
+        found.groupBy(*head, "max")
         .agg(*[F.max(F.when(F.col("p") == p, quantile)).alias(name) for p, name in names.items()])
-        .select(
-            *[F.col(f"stats.{c}") for c in ("column", "count", "mean", "std", "min")],
-            *[F.col(f"`{name}`") for name in names.values()],
-            "stats.max",
-        )
+        .select(*head, *[F.col(f"`{name}`") for name in names.values()], "max")
     )

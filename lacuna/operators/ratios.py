@@ -97,7 +97,7 @@ def monthly_share(
 
     ``totals`` has ``wiki, year, month, wp_count, wp_cumsum``. Months that only one side knows
     stay, with nulls for the other. The last key column is the one shown. ``until`` (``yyyy-MM``)
-    cuts off later months, of which a snapshot holds only a part.
+    cuts off later months, of which a snapshot holds only a part; rows without a month stay.
     """
     dated = require(pages, ts, wiki, *key).where(F.col(ts).isNotNull())
     counted = monthly_counts(dated, ts, [wiki, *key])

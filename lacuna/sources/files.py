@@ -104,6 +104,8 @@ def read_log_blocks(spark: SparkSession, path: str, marker: str) -> DataFrame:
     """
     head = marker.rstrip(" :")
     tail = marker[len(head) :]
+    if not tail:
+        raise ValueError(f"the marker has to end in a blank or a colon: {marker!r}")
     text = spark.read.text(path, lineSep="\n" + head)
     # A log may open with the marker; then no line break stands before it.
     block = F.when(F.startswith("value", F.lit(marker)), F.substring("value", len(head) + 1, 2**31 - 1)).otherwise(

@@ -1,0 +1,229 @@
+import base64
+
+import numpy as np
+import pytest
+from conftest import tuples
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
+
+from lacuna import operators as op
+from lacuna import plans, sources
+from lacuna.functions import decode_base64, html_image, normalize_pixels, threshold_label
+
+# Models and decoders are made inside functions, so that they travel to the workers by value.
+
+
+def decoder():
+    """Images are text like ``12,200``: every pixel has the mean of the numbers."""
+
+    def decode(content, size=4):
+        import numpy
+
+        return numpy.full((size, size, 3), numpy.mean([int(v) for v in bytes(content).decode().split(",")]))
+
+    return decode
+
+
+def mean_model():
+    return lambda: lambda images: images.mean(axis=(1, 2, 3))[:, None]
+
+
+def b64(text):
+    return base64.b64encode(text.encode()).decode()
+
+
+LABELLED = "image_file_name string, image_bytes binary, label int"
+
+
+@pytest.fixture
+def labelled(spark):
+    return spark.createDataFrame(
+        [("dark.jpg", bytearray(b"0,10"), 0), ("light.jpg", bytearray(b"250,255"), 1)], LABELLED
+    )
+
+
+@pytest.fixture
+def broken(spark, labelled):
+    more = spark.createDataFrame([("bad.jpg", bytearray(b"?"), 0), ("null.jpg", None, 1)], LABELLED)
+    return labelled.unionByName(more)
+
+
+def test_decode_images(labelled, broken):
+    found = op.decode_images(labelled, "image_bytes", decoder(), 2)
+    assert dict(found.dtypes)["image_arr"] == "array<float>"
+    assert {r.image_file_name: r.image_arr for r in found.collect()}["dark.jpg"] == [5.0] * 12
+    zeros = {r.image_file_name: r.image_arr for r in op.decode_images(broken, "image_bytes", decoder(), 2, on_error="zeros").collect()}
+    assert zeros["bad.jpg"] == zeros["null.jpg"] == [0.0] * 12
+    nulls = {r.image_file_name: r.image_arr for r in op.decode_images(broken, "image_bytes", decoder(), 2, on_error="null").collect()}
+    assert nulls["bad.jpg"] is None and nulls["light.jpg"] == [252.5] * 12
+    with pytest.raises(PythonException):
+        op.decode_images(broken, "image_bytes", decoder(), 2).collect()
+    with pytest.raises(ValueError, match="on_error"):
+        op.decode_images(broken, "image_bytes", decoder(), 2, on_error="skip")
+
+
+def test_step_by_step_equals_the_job(labelled):
+    arrays = op.decode_images(labelled, "image_bytes", decoder(), 4).withColumn("x", normalize_pixels("image_arr"))
+    predicted = op.predict(arrays, "x", mean_model(), [4, 4, 3])
+    step = predicted.select("image_file_name", "label", threshold_label("prediction", 0.5, "Quality", "Random").alias("pred_label"))
+    job = plans.classify_images(labelled, decoder(), mean_model(), size=4)
+    assert job.columns == ["image_file_name", "label", "pred_label"]
+    assert tuples(job) == tuples(step) == [("dark.jpg", 0, "Random"), ("light.jpg", 1, "Quality")]
+
+
+def test_classification_policies(broken):
+    with pytest.raises(PythonException):
+        plans.classify_images(broken, decoder(), mean_model(), size=4).collect()
+    found = plans.classify_images(broken, decoder(), mean_model(), size=4, on_error="null", keep=["image_file_name"])
+    assert dict(tuples(found)) == {"dark.jpg": "Random", "light.jpg": "Quality", "bad.jpg": None, "null.jpg": None}
+
+
+def test_predict_batches_and_nulls(spark):
+    def make():
+        def model(batch):
+            import numpy
+
+            assert len(batch) <= 3
+            return numpy.stack([batch.sum(axis=1), numpy.full(len(batch), len(batch))], axis=1)
+
+        return model
+
+    frame = spark.range(8, numPartitions=1).select(
+        "id", F.when(F.col("id") != 5, F.array(F.col("id").cast("float"), F.lit(1.0).cast("float"))).alias("x")
+    )
+    found = {r.id: r.prediction for r in op.predict(frame, "x", make, [2], batch_size=3).collect()}
+    assert found[0] == [1.0, 3.0] and found[7] == [8.0, 2.0]
+    assert found[5] is None
+
+
+def test_model_with_broadcast_weights(spark):
+    make = op.model_factory(spark, lambda w: lambda batch: batch @ w, np.array([[2.0], [3.0]]))
+    frame = spark.createDataFrame([(1, [1.0, 10.0])], "id int, x array<float>")
+    assert op.predict(frame, "x", make, [2]).first().prediction == [32.0]
+
+
+def test_model_is_made_once_per_worker(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        open(os.path.join(calls, f"{os.getpid()}-{uuid.uuid4()}"), "w").close()
+        return lambda batch: batch
+
+    frame = spark.range(400, numPartitions=4).select(F.array(F.col("id").cast("float")).alias("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert op.predict(frame, "x", make, [1], batch_size=2).select("prediction").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    workers = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert len(workers) == len(set(workers)) <= 4
+
+
+IMAGE = "i bigint, image_file_name string, image_url string, image struct<image_bytes_b64: string>"
+
+
+@pytest.fixture
+def images(spark):
+    return spark.createDataFrame(
+        [
+            (1, "two.png", "u1", (b64("40,20"),)),
+            (2, "none.png", "u2", (b64("0"),)),
+            (3, "bad.png", "u3", ("*not base64*",)),
+            (4, "odd.png", "u4", (b64("x,y"),)),
+            (5, "null.png", "u5", (None,)),
+        ],
+        IMAGE,
+    )
+
+
+def strip_decoder():
+    def decode(content):
+        import numpy
+
+        values = [int(v) for v in bytes(content).decode().split(",")]
+        return numpy.array(values, dtype=float).reshape(1, -1, 1) * numpy.ones((100, 1, 3))
+
+    return decode
+
+
+def detector():
+    """A box as high as the value of every column that is not zero."""
+
+    def make():
+        def detect(image):
+            return [
+                {"x1": x, "x2": x + 1, "y1": 0, "y2": float(image[0, x, 0])}
+                for x in range(image.shape[1])
+                if image[0, x, 0]
+            ]
+
+        return detect
+
+    return make
+
+
+def test_feature_job_keeps_every_row(images):
+    found = plans.feature_job(images, decoder(), mean_model(), size=4)
+    assert found.columns == ["i", "image_file_name", "features", "image_url"]
+    assert dict(found.dtypes)["features"] == "array<float>"
+    assert {r.i: r.features for r in found.collect()} == {1: [30.0], 2: [0.0], 3: [0.0], 4: [0.0], 5: [0.0]}
+    nulls = plans.feature_job(images, decoder(), mean_model(), size=4, on_error="null")
+    assert {r.i: r.features for r in nulls.collect()} == {1: [30.0], 2: [0.0], 3: None, 4: None, 5: None}
+
+
+def test_detection_summary(images):
+    found = op.detect_summary(images, decode_base64("image.image_bytes_b64"), strip_decoder(), detector())
+    assert dict(found.dtypes)["detections"] == "struct<count:int,max:double,sum:double>"
+    got = {r.i: r.detections and tuple(r.detections) for r in found.collect()}
+    assert got == {1: (2, 0.2, pytest.approx(0.3)), 2: None, 3: (-1, -1, -1), 4: (-1, -1, -1), 5: (-1, -1, -1)}
+
+
+def test_detection_job_to_a_table(spark, images, tmp_path):
+    found = plans.detection_job(images, strip_decoder(), detector())
+    assert found.columns == ["i", "image_file_name", "count", "max", "sum", "image_url"]
+    sources.save_external(found, "detections", str(tmp_path / "d"), files=1)
+    assert [r.i for r in spark.table("detections").orderBy("i").collect()] == [1, 3, 4, 5]
+    spark.sql("DROP TABLE detections")
+
+
+def test_thumbnails(images):
+    found = plans.with_thumbnail(images.where("i < 3"), strip_decoder(), detector())
+    assert found.columns == ["image_file_name", "count", "max", "sum", "thumbnail"]
+    assert [r.thumbnail for r in found.collect()] == [f'<img src="data:image/png;base64,{b64("40,20")}">']
+
+
+def test_html_of_null(spark):
+    frame = spark.createDataFrame([("abc",), (None,)], "x string")
+    assert [r[0] for r in frame.select(html_image("x")).collect()] == ['<img src="data:image/png;base64,abc">', None]
+
+
+def test_explode_json(spark):
+    ddl = "array<struct<count:int,max:double,sum:double>>"
+    frame = spark.createDataFrame(
+        [
+            (1, "{'count':2,'max':0.5,'sum':0.7}"),
+            (2, None),
+            (3, '[{"count":1,"max":0.1,"sum":0.1},{"count":3,"max":0.2,"sum":0.2}]'),
+            (4, "{bad"),
+        ],
+        "i int, faces string",
+    )
+    found = op.explode_json(frame, "faces", ddl).select("i", "data.count", "data.max")
+    assert tuples(found) == [(1, 2, 0.5), (3, 1, 0.1), (3, 3, 0.2)]
+
+
+def test_empty_frames(spark, images, labelled):
+    assert plans.detection_job(images.limit(0), strip_decoder(), detector()).count() == 0
+    assert plans.classify_images(labelled.limit(0), decoder(), mean_model(), size=4).collect() == []
+    assert plans.feature_job(images.limit(0), decoder(), mean_model(), size=4).collect() == []
+
+
+def test_threshold_and_normalize(spark):
+    frame = spark.createDataFrame([([0.6],), ([0.5],), ([],)], "p array<float>")
+    labels = [r[0] for r in frame.select(threshold_label("p", 0.5, "Quality", "Random")).collect()]
+    assert labels == ["Quality", "Random", "Random"]
+    pixels = spark.createDataFrame([([0.0, 255.0, 127.5],)], "x array<float>")
+    assert pixels.select(normalize_pixels("x")).first()[0] == [-1.0, 1.0, 0.0]

@@ -1,0 +1,70 @@
+from collections import Counter
+
+from conftest import NOW, tuples
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lacuna import operators as op
+from lacuna import sources
+
+quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def test_missing_flag(spark, link_rows):
+    items = spark.createDataFrame([("Q_plain",), ("Q_nowhere",), ("Q_lost",), (None,)], "qid string")
+    anywhere = op.add_missing_flag(items, link_rows)
+    assert dict(tuples(anywhere)) == {"Q_plain": False, "Q_nowhere": False, "Q_lost": True, None: False}
+    now = op.add_missing_flag(items, sources.links(spark, link_rows, NOW))
+    assert dict(tuples(now))["Q_nowhere"] is True
+    assert now.count() == 4
+
+
+@quick
+@given(st.lists(st.sampled_from("abcd"), max_size=5), st.lists(st.sampled_from(["a", "b", None]), max_size=6))
+def test_missing_flag_is_set_membership(spark, left, right):
+    items = spark.createDataFrame([(x,) for x in left], "qid string")
+    other = spark.createDataFrame([(x,) for x in right], "item_id string")
+    assert tuples(op.add_missing_flag(items, other)) == sorted((x, x not in right) for x in left)
+
+
+def test_pages_of_items(spark, link_rows):
+    items = spark.createDataFrame([("Q_plain", 1), ("Q_lost", 2)], "qid string, n int")
+    found = op.pages_of_items(items, sources.links(spark, link_rows, NOW), "enwiki frwiki")
+    assert found.columns == ["qid", "wiki_db", "page_id", "page_title"]
+    assert tuples(found) == [
+        ("Q_plain", "enwiki", 1, "Ada"),
+        ("Q_plain", "enwiki", 8, None),
+        ("Q_plain", "frwiki", 1, "Ada"),
+    ]
+
+
+def brute_force(pages):
+    titles = Counter((w, t) for w, _, t in pages if w is not None and t is not None)
+    ids = Counter((w, i) for w, i, _ in pages if w is not None and i is not None)
+    return [p for p in pages if titles[p[0], p[2]] < 2 and ids[p[0], p[1]] < 2]
+
+
+@quick
+@given(
+    st.lists(
+        st.tuples(st.sampled_from(["en", "fr", None]), st.sampled_from([1, 2, 3, None]), st.sampled_from(["A", "B", None])),
+        max_size=9,
+    )
+)
+def test_drop_ambiguous_equals_brute_force(spark, pages):
+    frame = spark.createDataFrame(pages, "wiki_db string, page_id bigint, page_title string")
+    assert tuples(op.drop_ambiguous(frame)) == sorted(brute_force(pages), key=lambda t: [str(v) for v in t])
+
+
+def test_drop_ambiguous_with_a_hot_title(spark):
+    """A third of the rows share a title, another third one page id; the rest stays."""
+    hot = spark.range(9_000).select(
+        F.lit("en").alias("wiki_db"),
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("page_id"),
+        F.when(F.col("id") % 3 == 1, F.lit("same")).otherwise(F.col("id").cast("string")).alias("page_title"),
+    )
+    found = op.drop_ambiguous(hot)
+    assert found.columns == hot.columns
+    assert found.count() == 3_000
+    assert found.where((F.col("page_id") == -1) | (F.col("page_title") == "same")).count() == 0

@@ -1,0 +1,111 @@
+"""What the plans read and shuffle."""
+
+import re
+
+import pytest
+from conftest import ENTITY, MONTH, NOW
+
+from lacuna import operators as op
+from lacuna import plans, sources
+from lacuna.session import RUNTIME_SETTINGS, tune
+
+WIDE = ENTITY.replace(
+    "mainSnak: struct<property: string, datavalue: struct<value: string>>",
+    "id: string, rank: string, mainSnak: struct<property: string, snaktype: string, datavalue: struct<value: string, type: string>>",
+)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def dump(spark, tmp_path_factory):
+    """Tables as a cluster has them: Parquet folders partitioned by snapshot."""
+    root = tmp_path_factory.mktemp("dump")
+    frames = {}
+
+    def table(name, rows, ddl):
+        path = str(root / name)
+        spark.createDataFrame(rows, ddl).write.partitionBy("snapshot").parquet(path)
+        frames[name] = spark.read.parquet(path)
+
+    claims = [("c1", "normal", ("P31", "value", ('{"id":"Q5"}', "item"))), ("c2", "normal", ("P21", "value", ('{"id":"Q1"}', "item")))]
+    table("entity", [("Q2", "item", NOW, claims, {"en": "x"}), ("Q1", "item", NOW, [], {"en": "f"})], WIDE)
+    table("link", [("Q2", "enwiki", 1, "T", NOW)], "item_id string, wiki_db string, page_id bigint, page_title string, snapshot string")
+    table(
+        "page",
+        [("enwiki", 1, "T", 0, 0, MONTH)],
+        "wiki_db string, page_id bigint, page_title string, page_namespace int, page_is_redirect int, snapshot string",
+    )
+    table(
+        "history",
+        [("enwiki", 1, "2001-01-01 00:00:00", 9, MONTH)],
+        "wiki_db string, page_id bigint, page_first_edit_timestamp string, revisions int, snapshot string",
+    )
+    return frames
+
+
+def test_claims_read_two_leaves(spark, dump):
+    items = sources.entities(spark, dump["entity"], NOW)
+    for found in (
+        op.claim_features(items, {"is_human": ("P31", "Q5")}, {"gender": "P21"}),
+        op.pivot_claims(op.explode_claims(items), {"is_human": ("P31", "Q5")}, {"gender": "P21"}),
+    ):
+        schema = re.search(r"ReadSchema: (.*)", plan(found)).group(1)
+        assert "claims:array<struct<mainSnak:struct<property:string,datavalue:struct<value:string>>>>" in schema
+        assert "labels" not in schema
+        assert found.collect()
+
+
+def test_item_frame_never_makes_claims_rows(spark, dump):
+    links = sources.links(spark, dump["link"])
+    text = plan(plans.item_features(sources.entities(spark, dump["entity"], NOW), links))
+    assert "Generate" not in text
+    assert "PartitionFilters: [isnotnull(snapshot" in text
+    assert "PushedFilters: [IsNotNull(typ), EqualTo(typ,item)" in text
+
+
+def test_page_scan_pushes_its_filters(spark, dump):
+    text = plan(sources.pages(spark, dump["page"], MONTH, "enwiki"))
+    assert "EqualTo(page_namespace,0)" in text
+    assert "EqualTo(wiki_db,enwiki)" in text or "In(wiki_db, [enwiki])" in text
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def exchanges(df):
+    return len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan(df)))
+
+
+def test_history_is_folded_on_the_join_key(spark, dump, no_broadcast):
+    """One exchange for the pages, one for the folded history; the join adds none."""
+    pages, history = sources.pages(spark, dump["page"], MONTH), sources.history(spark, dump["history"], MONTH)
+    found = op.add_first_edit(pages, history, unique=True)
+    assert exchanges(found) == 2
+    assert "revisions" not in plan(found)
+    # The earliest time per page, then month: the running sum needs no exchange beyond the wiki's.
+    assert exchanges(op.wiki_totals(pages, history, mode="min")) == 4
+
+
+def test_flag_needs_two_exchanges(spark, dump, no_broadcast):
+    items = sources.entities(spark, dump["entity"], NOW).select("id")
+    found = op.add_missing_flag(items, dump["link"], "id")
+    assert exchanges(found) == 2
+    assert "LeftOuter" in plan(found)
+
+
+def test_running_sum_adds_one_exchange(spark, dump):
+    history = sources.history(spark, dump["history"], MONTH)
+    found = op.monthly_cumulative(history, "page_first_edit_timestamp", ["wiki_db"])
+    assert exchanges(found) == 2  # one to count, one to sort the months of a wiki
+
+
+def test_tune_sets_the_session(spark):
+    tune(spark)
+    assert all(spark.conf.get(k) == v for k, v in RUNTIME_SETTINGS.items())
