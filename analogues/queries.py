@@ -71,9 +71,10 @@ def items_of(spark, sf_dir):
     return plans.item_features(entities, links)
 
 
-def articles_of(spark, sf_dir):
+def articles_of(spark, sf_dir, items=None):
+    items = items or items_of(spark, sf_dir)
     links = sources.links(spark, link_table(spark, sf_dir))
-    return plans.page_features(items_of(spark, sf_dir), links, live_pages(spark, sf_dir), edits(spark, sf_dir))
+    return plans.page_features(items, links, live_pages(spark, sf_dir), edits(spark, sf_dir))
 
 
 def live_pages(spark, sf_dir, wikis=None):
@@ -217,15 +218,17 @@ def item_pages(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, lang, text FROM documents d
-    WHERE NOT EXISTS (SELECT 1 FROM (SELECT lang, text FROM documents GROUP BY ALL HAVING count(*) > 1) x
-                      WHERE x.lang = d.lang AND x.text = d.text)
-      AND NOT EXISTS (SELECT 1 FROM (SELECT lang, doc_id FROM documents GROUP BY ALL HAVING count(*) > 1) x
+    """WITH d AS (SELECT doc_id, lang, sha256(text) AS title FROM documents)
+    SELECT doc_id, lang, title FROM d
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT lang, title FROM d GROUP BY ALL HAVING count(*) > 1) x
+                      WHERE x.lang = d.lang AND x.title = d.title)
+      AND NOT EXISTS (SELECT 1 FROM (SELECT lang, doc_id FROM d GROUP BY ALL HAVING count(*) > 1) x
                       WHERE x.lang = d.lang AND x.doc_id = d.doc_id)"""
 )
 def drop_ambiguous(spark, sf_dir):
-    documents = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return op.drop_ambiguous(documents, [("lang", "text"), ("lang", "doc_id")])
+    # Whole texts are titles here; their digests are what is shuffled.
+    documents = load(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("title"))
+    return op.drop_ambiguous(documents, [("title", "lang"), ("doc_id", "lang")])
 
 
 @query(
@@ -235,7 +238,7 @@ def drop_ambiguous(spark, sf_dir):
 )
 def drop_ambiguous_parts(spark, sf_dir):
     parts = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    return op.drop_ambiguous(parts, [("p_brand", "p_name"), ("p_brand", "p_partkey")])
+    return op.drop_ambiguous(parts, [("p_name", "p_brand"), ("p_partkey", "p_brand")])
 
 
 @query(
@@ -342,7 +345,8 @@ def coverage_ratio(spark, sf_dir):
       ON a.gender = i.gender"""
 )
 def gender_article_overall(spark, sf_dir):
-    return plans.number_of_gender_article_overall(articles_of(spark, sf_dir), items_of(spark, sf_dir))
+    items = sources.staged(items_of(spark, sf_dir))
+    return plans.number_of_gender_article_overall(articles_of(spark, sf_dir, items), items)
 
 
 @query(
@@ -493,16 +497,22 @@ def multi_valued(spark, sf_dir):
 
 
 @query(
-    f"""WITH {VALUES}
-    SELECT qitem_id, count, string_agg(value, ',' ORDER BY value) AS ids,
-           string_agg(coalesce(label, '?'), ',' ORDER BY value) AS names
-    FROM valued JOIN several USING (qitem_id) LEFT JOIN nation_label ON value = id GROUP BY qitem_id, count"""
+    f"""WITH {VALUES}, per_value AS (
+      SELECT qitem_id, count, value, coalesce(label, '?') AS label, count(*) AS times
+      FROM valued JOIN several USING (qitem_id) LEFT JOIN nation_label ON value = id GROUP BY ALL)
+    SELECT qitem_id, count, string_agg(value, ',' ORDER BY value) AS ids, string_agg(label, ',' ORDER BY value) AS names,
+           string_agg(CAST(times AS VARCHAR), ',' ORDER BY value) AS times
+    FROM per_value GROUP BY qitem_id, count"""
 )
 def value_lists(spark, sf_dir):
     lists = op.value_lists(multi_valued(spark, sf_dir))
     names = F.transform("label_list", lambda x: F.coalesce(x, F.lit("?")))
     return lists.select(
-        "qitem_id", "count", F.array_join("value_list", ",").alias("ids"), F.array_join(names, ",").alias("names")
+        "qitem_id",
+        "count",
+        F.array_join("value_list", ",").alias("ids"),
+        F.array_join(names, ",").alias("names"),
+        F.array_join(F.col("times_list").cast("array<string>"), ",").alias("times"),
     )
 
 
@@ -559,8 +569,7 @@ STATS_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount")
 
 @query("\nUNION ALL\n".join(STATS.format(c=c) for c in STATS_COLUMNS))
 def summary_stats(spark, sf_dir):
-    # The accuracy is coarse enough for the sketch to be used on the smallest tables too.
-    stats = op.summary_stats(load(spark, sf_dir, "lineitem"), STATS_COLUMNS, accuracy=200)
+    stats = op.summary_stats(load(spark, sf_dir, "lineitem"), STATS_COLUMNS)
     rounded = ["mean", "std", "25%", "50%", "75%"]
     return stats.withColumns({c: F.round(F.col(f"`{c}`"), 6) for c in rounded})
 

@@ -11,6 +11,7 @@ from .columns import (
     normalize_pixels,
     parse_time,
     percent,
+    spelled_out,
     threshold_label,
     year_month,
 )
@@ -30,6 +31,7 @@ __all__ = [
     "parse_time",
     "percent",
     "require",
+    "spelled_out",
     "threshold_label",
     "year_month",
 ]

@@ -88,6 +88,12 @@ def named_elements(c: str | Column, names: Sequence[str]) -> list[Column]:
     return [element(c, i).alias(name) for i, name in enumerate(names)]
 
 
+def spelled_out(c: str | Column, times: str | Column) -> Column:
+    """An array with each entry repeated as often as the array ``times`` says."""
+    repeated = F.zip_with(_col(c), _col(times), lambda x, n: F.array_repeat(x, n.cast("int")))
+    return F.flatten(repeated)
+
+
 def _matched(text: Column, pattern: str) -> Column:
     """First capture of ``pattern``, null when there is none."""
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))

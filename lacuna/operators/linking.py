@@ -43,15 +43,18 @@ def pages_of_items(items: DataFrame, links: DataFrame, wikis: str | None = None,
 
 def drop_ambiguous(
     df: DataFrame,
-    key_sets: Sequence[Sequence[str]] = (("wiki_db", "page_title"), ("wiki_db", "page_id")),
+    key_sets: Sequence[Sequence[str]] = (("page_title", "wiki_db"), ("page_id", "wiki_db")),
+    copies: str | None = None,
 ) -> DataFrame:
     """Remove every row whose value of some key set occurs more than once in ``df``.
 
     All counts are taken on the frame as given. A key with a null in it matches nothing, so its
-    rows stay. The counts are pre-aggregated, and only the repeated keys meet the rows again.
+    rows stay. ``copies`` names a column that says how many rows each row stands for. The counts
+    are pre-aggregated, and only the repeated keys meet the rows again.
     """
     out = df
+    number = F.count("*") if copies is None else F.sum(copies)
     for keys in key_sets:
-        repeated = require(df, *keys).groupBy(*keys).count().where(F.col("count") > 1).select(*keys)
+        repeated = require(df, *keys).groupBy(*keys).agg(number.alias("n")).where(F.col("n") > 1).select(*keys)
         out = out.join(repeated, list(keys), "left_anti")
     return out.select(*df.columns)

@@ -9,7 +9,8 @@ from ..functions import parse_time, require
 from ..functions.columns import TIME_FORMAT
 from .series import monthly_counts, running_sum
 
-PAGE = ["wiki_db", "page_id"]
+# The number comes first: rows are sorted on these keys, and a wiki name tells few of them apart.
+PAGE = ["page_id", "wiki_db"]
 TIME = "page_first_edit_timestamp"
 
 
@@ -35,12 +36,13 @@ def add_first_edit(df: DataFrame, history: DataFrame, unique: bool = False) -> D
     require(df, *PAGE)
     rows = df if unique else one_row_per(df, PAGE)
     rest = [c for c in df.columns if c not in PAGE]
-    return rows.join(first_edits(history), PAGE).select("page_id", "wiki_db", *rest, TIME)
+    return rows.join(first_edits(history), PAGE).select(*PAGE, *rest, TIME)
 
 
 def first_edit_of(df: DataFrame, history: DataFrame) -> DataFrame:
     """``wiki_db, page_id`` and first-edit time of the pages in ``df``."""
-    return first_edits(history).join(require(df, *PAGE).select(*PAGE), PAGE, "left_semi")
+    wanted = require(df, *PAGE).select(*PAGE).distinct()
+    return first_edits(history).join(wanted, PAGE, "left_semi").select("wiki_db", "page_id", TIME)
 
 
 def wiki_totals(
@@ -58,7 +60,8 @@ def wiki_totals(
     readable time form a group with null month. ``match_wiki=False`` looks pages up by page id
     alone, so the history of another wiki can match.
 
-    The history, which repeats a page for every action on it, is folded before it meets the pages.
+    The history, which repeats a page for every action on it, is folded before it meets the pages,
+    and so are copies of a page.
     """
     if mode not in ("distinct", "min"):
         raise ValueError(f"mode is 'distinct' or 'min', not {mode!r}")
@@ -69,8 +72,5 @@ def wiki_totals(
     else:
         earliest = F.date_format(F.min(parse_time(TIME)), TIME_FORMAT)
         dated = known.groupBy(*key).agg(earliest.alias(TIME))
-    if match_wiki:
-        created = dated.join(require(pages, *PAGE).select(*PAGE), PAGE, "left_semi")
-    else:
-        created = dated.join(require(pages, *PAGE).select(*PAGE).distinct(), key)
+    created = dated.join(require(pages, *PAGE).select(*PAGE).distinct(), key)
     return running_sum(monthly_counts(created, TIME, ["wiki_db"], count), count, ["wiki_db"], cumsum)

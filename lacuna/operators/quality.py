@@ -35,7 +35,7 @@ def summary_stats(
     df: DataFrame,
     cols: Sequence[str],
     probabilities: Sequence[float] = QUARTILES,
-    accuracy: int = 10_000,
+    accuracy: int = 1_000,
 ) -> DataFrame:
     """One row per column: ``count, mean, std, min``, one column per probability, ``max``.
 
@@ -45,8 +45,9 @@ def summary_stats(
     1. a sketch gives values that certainly stand below and above each wanted rank;
     2. rows below are only counted, rows between are counted per value and ranked.
 
-    The ranked part is about ``4 / accuracy`` of the column, or all of it when the column has few
-    rows, where the sketch's bound on the rank is no help.
+    The ranked part is about ``4 / accuracy`` of the different values, or all of them when the
+    column has few rows, where the sketch's bound on the rank is no help. A finer sketch ranks
+    less and weighs more: each task sends one of about ``accuracy`` entries.
     """
     require(df, *cols)
     margin = 2.0 / accuracy

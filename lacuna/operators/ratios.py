@@ -169,18 +169,19 @@ def multi_valued(
 
 
 def value_lists(values: DataFrame, key: str = "qitem_id", name: str = "value", label: str = "label") -> DataFrame:
-    """The result of ``multi_valued`` with one row per item: ``count`` and its lists of ids and labels.
+    """The result of ``multi_valued`` with one row per item: ``count`` and three arrays side by side.
 
-    Each different value is gathered once, with the number of its repeats, and spelled out in the
-    finished row. Unknown labels are null entries.
+    They hold the ids, the labels (null where unknown) and how often each occurs, sorted by id.
+    Every different value stands once, so a row is bounded by the number of categories and not by
+    the number of claims an item has; ``functions.spelled_out`` repeats the entries of an array.
     """
     entry = F.struct(name, label, "times")
     gathered = require(values, key, "count", name, label, "times").groupBy(key, "count")
     rows = gathered.agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-
-    def spelled(field: str):
-        return F.flatten(F.transform("entries", lambda e: F.array_repeat(e[field], e["times"].cast("int"))))
-
-    return rows.select(key, "count", spelled(name).alias(f"{name}_list"), spelled(label).alias(f"{label}_list")).orderBy(
-        F.desc("count"), key
-    )
+    return rows.select(
+        key,
+        "count",
+        F.col(f"entries.{name}").alias(f"{name}_list"),
+        F.col(f"entries.{label}").alias(f"{label}_list"),
+        F.col("entries.times").alias("times_list"),
+    ).orderBy(F.desc("count"), key)

@@ -10,7 +10,7 @@ from ..functions.columns import HUMAN
 from ..operators.claims import claim_features
 from ..operators.labels import add_label, labels_in
 from ..operators.linking import add_missing_flag, drop_ambiguous
-from ..operators.pages import add_first_edit
+from ..operators.pages import PAGE, add_first_edit
 from ..sources.sinks import staged
 from ..sources.tables import wiki_filter
 
@@ -50,7 +50,8 @@ def page_features(
 
     Titles come from the link frame. Articles that are ambiguous (a title or a page id of a wiki
     that occurs twice) and articles the history does not know are dropped. ``pages`` holds live
-    articles, one row each (see ``sources.pages``).
+    articles (see ``sources.pages``); repeated rows of a page make it ambiguous, and are counted
+    before the join instead of multiplying its rows.
 
     The linked articles are read three times, for themselves and to count their two keys, so they
     are staged in the checkpoint folder where the session has one.
@@ -59,7 +60,7 @@ def page_features(
     linked = wiki_filter(require(links, "item_id", "wiki_db", "page_id", "page_title"), wikis).select(
         F.col("item_id").alias("qid"), "wiki_db", "page_id", "page_title"
     )
-    live = require(pages, "wiki_db", "page_id").select("wiki_db", "page_id")
-    found = items.join(linked, "qid").join(live, ["wiki_db", "page_id"])
-    articles = staged(found.select(*items.columns, "wiki_db", "page_id", "page_title"))
-    return add_first_edit(drop_ambiguous(articles), history, unique=True)
+    live = require(pages, *PAGE).groupBy(*PAGE).agg(F.count("*").alias("copies"))
+    found = items.join(linked, "qid").join(live, PAGE)
+    articles = staged(found.select(*items.columns, *PAGE, "page_title", "copies"))
+    return add_first_edit(drop_ambiguous(articles, copies="copies").drop("copies"), history, unique=True)

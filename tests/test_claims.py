@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lacuna import lookups, sources
 from lacuna import operators as op
-from lacuna.functions import claim_matches, entity_id
+from lacuna.functions import claim_matches, entity_id, spelled_out
 
 FLAGS, VALUES = {"is_human": ("P31", "Q5")}, {"gender": "P21"}
 PROPS = "qitem_id string, property string, value string"
@@ -147,8 +147,13 @@ def test_multi_valued(spark, props):
     ]
     lists = op.value_lists(found)
     assert [tuple(r) for r in lists.collect()] == [
-        ("b", 3, ["Q1", "Q1", "Q7"], ["one", "one", None]),
-        ("a", 2, ["Q1", "Q2"], ["one", "two"]),
+        ("b", 3, ["Q1", "Q7"], ["one", None], [2, 1]),
+        ("a", 2, ["Q1", "Q2"], ["one", "two"], [1, 1]),
+    ]
+    spelled = lists.select(spelled_out("value_list", "times_list"), spelled_out("label_list", "times_list"))
+    assert [tuple(r) for r in spelled.collect()] == [
+        (["Q1", "Q1", "Q7"], ["one", "one", None]),
+        (["Q1", "Q2"], ["one", "two"]),
     ]
 
 

@@ -79,6 +79,13 @@ def test_page_features(spark, items, link_rows, page_rows, history_rows, staging
     assert tuples(found) == ARTICLES
 
 
+def test_copies_of_a_page_make_it_ambiguous(spark, items, link_rows, page_rows, history_rows):
+    """Two rows of one page: the page goes, and so does another with the same title."""
+    twice = page_rows.unionByName(page_rows.where("wiki_db = 'frwiki' or page_id = 3"))
+    found = article_frame(spark, items, link_rows, twice, history_rows)
+    assert tuples(found) == [a for a in ARTICLES if a[1] != "frwiki"]
+
+
 def test_page_features_of_some_wikis(spark, items, link_rows, page_rows, history_rows):
     found = article_frame(spark, items, link_rows, page_rows, history_rows, "frwiki dewiki")
     assert tuples(found) == ARTICLES[1:2]
