@@ -113,8 +113,8 @@ def explode_claims(spark, sf_dir):
 
 @query(f"WITH {CLAIM}, {PIVOT} SELECT qid AS id, is_human, gender FROM pivoted")
 def claim_features(spark, sf_dir):
-    return op.claim_features(
-        sources.entities(spark, entity_table(spark, sf_dir), "2021-08-02"),
+    return op.pivot_claims(
+        op.explode_claims(sources.entities(spark, entity_table(spark, sf_dir), "2021-08-02")),
         flags={"is_human": ("P31", "Q5")},
         values={"gender": "P21"},
     )
@@ -232,13 +232,13 @@ def drop_ambiguous(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, p_name, p_brand FROM part p
-    WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_brand, p_name FROM part GROUP BY ALL HAVING count(*) > 1) x
-                      WHERE x.p_brand = p.p_brand AND x.p_name = p.p_name)"""
+    """SELECT p_partkey, p_name, p_brand, p_size FROM part p
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_brand, p_name, p_size FROM part GROUP BY ALL HAVING count(*) > 1) x
+                      WHERE x.p_brand = p.p_brand AND x.p_name = p.p_name AND x.p_size = p.p_size)"""
 )
 def drop_ambiguous_parts(spark, sf_dir):
-    parts = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    return op.drop_ambiguous(parts, [("p_name", "p_brand"), ("p_partkey", "p_brand")])
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    return op.drop_ambiguous(parts, [("p_size", "p_name", "p_brand"), ("p_partkey", "p_brand")])
 
 
 @query(

@@ -36,21 +36,14 @@ def entity_id(value: str | Column) -> Column:
     return F.get_json_object(_col(value), "$.id")
 
 
-def claim_matches(
-    prop: str,
-    qid: str,
-    strict: bool = False,
-    property_col: str | Column = "property",
-    value_col: str | Column = "value",
-) -> Column:
-    """True where a claim has this property and its value is the entity ``qid``.
+def claim_matches(prop: str, qid: str, strict: bool = False) -> Column:
+    """True where a claim (``property, value``) has this property and points to the entity ``qid``.
 
     The default looks for ``"id":"<qid>"`` in the JSON text, which needs the compact spacing the
     dumps use; ``strict`` reads the JSON instead.
     """
-    value = _col(value_col)
-    same_entity = entity_id(value) == qid if strict else value.contains(f'"id":"{qid}"')
-    return (_col(property_col) == prop) & same_entity
+    same_entity = entity_id("value") == qid if strict else F.col("value").contains(f'"id":"{qid}"')
+    return (F.col("property") == prop) & same_entity
 
 
 def percent(part: str | Column, whole: str | Column) -> Column:

@@ -3,7 +3,6 @@ from .claims import (
     append_flag,
     append_value,
     biographies,
-    claim_features,
     claims_of,
     explode_claims,
     in_category,
@@ -45,7 +44,6 @@ __all__ = [
     "append_value",
     "biographies",
     "category_counts",
-    "claim_features",
     "claims_of",
     "coverage_ratio",
     "decode_images",

@@ -14,21 +14,17 @@ Flags = Mapping[str, tuple[str, str]]
 Values = Mapping[str, str]
 
 
-def _claim_pairs() -> Column:
-    """The claims of an entity as an array of ``property, value``.
+def explode_claims(entities: DataFrame, key: str = "id") -> DataFrame:
+    """One row per claim: ``key, property, value``. Entities without claims give no row.
 
-    Zipped from two plain arrays: so the scan reads these two leaves of a claim and no others,
-    which it does not when the claims themselves are exploded.
+    The rows come from two plain arrays zipped together: so the scan reads these two leaves of a
+    claim and no others, which it does not when the claims themselves are exploded.
     """
-    return F.arrays_zip(
+    pairs = F.arrays_zip(
         F.col("claims.mainSnak.property").alias("property"),
         F.col("claims.mainSnak.datavalue.value").alias("value"),
     )
-
-
-def explode_claims(entities: DataFrame, key: str = "id") -> DataFrame:
-    """One row per claim: ``key, property, value``. Entities without claims give no row."""
-    return require(entities, key, "claims").select(key, F.inline(_claim_pairs()))
+    return require(entities, key, "claims").select(key, F.inline(pairs))
 
 
 def claims_of(props: DataFrame, prop: str) -> DataFrame:
@@ -36,11 +32,11 @@ def claims_of(props: DataFrame, prop: str) -> DataFrame:
     return require(props, "property").where(F.col("property") == prop)
 
 
-def _wanted(flags: Flags, values: Values, strict: bool, prop: Column, value: Column) -> Column:
+def _wanted(flags: Flags, values: Values, strict: bool) -> Column:
     """True for the claims some feature needs."""
-    tests = [claim_matches(p, q, strict, prop, value) for p, q in flags.values()]
+    tests = [claim_matches(p, q, strict) for p, q in flags.values()]
     if values:
-        tests.append(prop.isin(sorted(set(values.values()))))
+        tests.append(F.col("property").isin(sorted(set(values.values()))))
     if not tests:
         raise ValueError("name at least one flag or value")
     return reduce(Column.__or__, tests)
@@ -57,61 +53,23 @@ def pivot_claims(
 
     ``flags`` maps a column name to ``(property, entity)``: true when some claim says so.
     ``values`` maps a column name to a property: the entity it points to, the largest JSON text
-    winning where an item has several. Claims of other kinds are dropped before the shuffle and
-    a partial aggregate folds repeats of a key before it travels.
+    winning where an item has several. Claims of other kinds are dropped where they are scanned,
+    and a partial aggregate folds the rows of an item before they travel.
     """
     flags, values = flags or {}, values or {}
-    prop, value = F.col("property"), F.col("value")
     features = [
         F.coalesce(F.max(claim_matches(p, q, strict)), F.lit(False)).alias(name) for name, (p, q) in flags.items()
     ]
-    features += [F.max(F.when(prop == p, value)).alias(name) for name, p in values.items()]
+    features += [F.max(F.when(F.col("property") == p, F.col("value"))).alias(name) for name, p in values.items()]
     pivoted = (
         require(claims, key, "property", "value")
-        .where(_wanted(flags, values, strict, prop, value))
+        .where(_wanted(flags, values, strict))
         .groupBy(key)
         .agg(*features)
     )
     return pivoted.select(key, *flags, *[entity_id(name).alias(name) for name in values])
 
 
-def claim_features(
-    entities: DataFrame,
-    flags: Flags | None = None,
-    values: Values | None = None,
-    key: str = "id",
-    strict: bool = False,
-) -> DataFrame:
-    """Same result as ``pivot_claims(explode_claims(entities), ...)``, read off the nested array.
-
-    Each entity row is folded to its features where it is scanned, so claims never become rows
-    and only one narrow row per item of interest is shuffled, to merge items that come in more
-    than one row.
-    """
-    flags, values = flags or {}, values or {}
-    require(entities, key, "claims")
-    kept = F.filter(_claim_pairs(), lambda c: _wanted(flags, values, strict, c["property"], c["value"]))
-
-    def flag(prop: str, qid: str) -> Column:
-        hit = F.exists("kept", lambda c: claim_matches(prop, qid, strict, c["property"], c["value"]))
-        return F.coalesce(hit, F.lit(False))
-
-    def largest(prop: str) -> Column:
-        return F.array_max(F.transform(F.filter("kept", lambda c: c["property"] == prop), lambda c: c["value"]))
-
-    folded = (
-        entities.select(key, kept.alias("kept"))
-        .where(F.size("kept") > 0)
-        .select(
-            key,
-            *[flag(p, q).alias(name) for name, (p, q) in flags.items()],
-            *[largest(p).alias(name) for name, p in values.items()],
-        )
-    )
-    merged = folded.groupBy(key).agg(*[F.max(name).alias(name) for name in [*flags, *values]])
-    return merged.select(key, *flags, *[entity_id(name).alias(name) for name in values])
-
-
 def append_features(
     items: DataFrame,
     props: DataFrame,

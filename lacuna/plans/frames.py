@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import require
 from ..functions.columns import HUMAN
-from ..operators.claims import claim_features
+from ..operators.claims import explode_claims, pivot_claims
 from ..operators.labels import add_label, labels_in
 from ..operators.linking import add_missing_flag, drop_ambiguous
 from ..operators.pages import PAGE, add_first_edit
@@ -32,8 +32,11 @@ def item_features(
     no English label are dropped. ``labels`` (``id, label``) replaces the labels found in
     ``entities``: with a category list it is small enough to be broadcast.
     """
-    items = claim_features(
-        entities, flags={"is_human": (INSTANCE_OF, HUMAN)}, values={"gender": GENDER}, strict=strict
+    items = pivot_claims(
+        explode_claims(entities),
+        flags={"is_human": (INSTANCE_OF, HUMAN)},
+        values={"gender": GENDER},
+        strict=strict,
     ).withColumnRenamed("id", "qid")
     names = labels_in(entities) if labels is None else labels
     return add_missing_flag(add_label(items, "gender", names, "gender_label"), links)
