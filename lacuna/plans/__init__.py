@@ -8,8 +8,10 @@ from .gender_gap import (
     number_of_wikipedia_pages,
 )
 from .image_jobs import classify_images, detection_job, feature_job, with_thumbnail
+from .snapshots import Snapshots
 
 __all__ = [
+    "Snapshots",
     "classify_images",
     "detection_job",
     "feature_job",

@@ -14,9 +14,10 @@ from ..operators.pages import PAGE, add_first_edit
 from ..sources.sinks import staged
 from ..sources.tables import wiki_filter
 
-# The properties "instance of" and "sex or gender".
+# The properties "instance of", "sex or gender" and "sexual orientation".
 INSTANCE_OF = "P31"
 GENDER = "P21"
+SEXUAL_ORIENTATION = "P91"
 
 
 def item_features(
