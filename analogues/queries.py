@@ -85,6 +85,16 @@ def edits(spark, sf_dir, wikis=None):
     return sources.history(spark, history_table(spark, sf_dir), "2021-07", wikis)
 
 
+@query(
+    """SELECT 'C' || c_custkey AS id, c_name AS label FROM customer
+    UNION ALL SELECT 'N' || n_nationkey, '"' || n_name || '"' FROM nation"""
+)
+def scan_entities(spark, sf_dir):
+    found = sources.entities(spark, entity_table(spark, sf_dir), "2021-08-02")
+    name = F.coalesce(F.try_element_at("labels", F.lit("en")), F.try_element_at("labels", F.lit("fr")))
+    return found.select("id", name.alias("label"))
+
+
 @query(f"WITH {LINK} SELECT * FROM link WHERE snapshot = '1-URGENT' AND wiki_db IN ('fwiki', 'owiki')")
 def scan_links(spark, sf_dir):
     return sources.links(spark, link_table(spark, sf_dir), "1-URGENT", "fwiki owiki")
@@ -268,7 +278,7 @@ def page_features(spark, sf_dir):
 
 @query(f"WITH {PAGE}, {HISTORY}, {TOTAL} SELECT * FROM total")
 def wiki_totals_distinct(spark, sf_dir):
-    return plans.number_of_wikipedia_pages(live_pages(spark, sf_dir), edits(spark, sf_dir))
+    return plans.number_of_pages(live_pages(spark, sf_dir), edits(spark, sf_dir))
 
 
 MIN_TOTAL = """SELECT wiki_db, ts[1:4] AS year, ts[6:7] AS month, CAST(count(*) AS BIGINT) AS article_count,
@@ -738,6 +748,23 @@ def extract_features(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT doc_id AS i, octet_length(encode(text)) AS bytes,
+           CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS blanks
+    FROM documents"""
+)
+def decode_images(spark, sf_dir):
+    contents = load(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("i"), F.encode("text", "UTF-8").alias("content")
+    )
+    decoded = op.decode_images(contents, "content", byte_counts, 2)
+    return decoded.select(
+        "i",
+        fn.element("image_arr", 0).cast("bigint").alias("bytes"),
+        fn.element("image_arr", 1).cast("double").alias("blanks"),
+    )
+
+
 def tag_brightness(content, size):
     """An even image, the brighter the more tags a page has."""
     return np.full((size, size, 3), min(content.count(b"<"), 255), dtype=np.float32)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import require
 
 QUARTILES = (0.25, 0.5, 0.75)
+KNOWN = ("column", "count", "mean", "std", "min", "max")
+SLOTS = 1_000
 
 
 def profile(
@@ -43,17 +45,38 @@ def summary_stats(
     all different values of a column in one buffer; this finds them in two passes that do not:
 
     1. a sketch gives values that certainly stand below and above each wanted rank;
-    2. rows below are only counted, rows between are counted per value and ranked.
+    2. rows below are only counted, rows between are counted per value and per slot of equal
+       width; then only the slots that hold the wanted ranks are sorted.
 
-    The ranked part is about ``4 / accuracy`` of the different values, or all of them when the
-    column has few rows, where the sketch's bound on the rank is no help. A finer sketch ranks
+    The counted part is about ``4 / accuracy`` of the different values, or all of them when the
+    column has few rows, where the sketch's bound on the rank is no help. A finer sketch counts
     less and weighs more: each task sends one of about ``accuracy`` entries.
     """
-    require(df, *cols)
+    marks = _marks(require(df, *cols), cols, probabilities, accuracy)
+    ranked = _ranked(_bracket(df, cols, marks))
+
+    def value_at(rank):
+        return F.min(F.when(F.col("upto") > rank, F.col("value")))
+
+    fraction = F.col("rank") - F.floor("rank")
+    quantile = F.col("lower") + (F.col("upper") - F.col("lower")) * fraction
+    found = ranked.groupBy(*KNOWN, "p", "rank").agg(
+        value_at(F.floor("rank")).alias("lower"), value_at(F.ceil("rank")).alias("upper")
+    )
+    names = {p: f"{p * 100:g}%" for p in probabilities}
+    return (
+        found.groupBy(*KNOWN)
+        .agg(*[F.max(F.when(F.col("p") == p, quantile)).alias(name) for p, name in names.items()])
+        .select("column", "count", "mean", "std", "min", *[F.col(f"`{name}`") for name in names.values()], "max")
+    )
+
+
+def _marks(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], accuracy: int) -> DataFrame:
+    """One row per column and probability: the wanted rank and the values that bracket it."""
     margin = 2.0 / accuracy
     edges = [max(p - margin, 0.0) for p in probabilities] + [min(p + margin, 1.0) for p in probabilities]
 
-    def described(c: str):
+    def described(c: str) -> Column:
         value = F.col(c).cast("double")
         return F.struct(
             F.lit(c).alias("column"),
@@ -66,44 +89,52 @@ def summary_stats(
         )
 
     stats = df.agg(F.array(*[described(c) for c in cols]).alias("stats")).select(F.inline("stats"))
-
-    # One row per column and probability. There are as many as were asked for, so broadcasting
-    # them is safe at any size of the input. They carry the other statistics along.
-    few = F.col("count") < 10 * accuracy
     places = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for i, p in enumerate(probabilities)])
-    known = ["column", "count", "mean", "std", "min", "max", "p"]
-    marks = stats.select("*", F.inline(places)).select(
-        *known,
+    few = F.col("count") < 10 * accuracy
+    return stats.select("*", F.inline(places)).select(
+        *KNOWN,
+        "p",
         ((F.col("count") - 1) * F.col("p")).alias("rank"),
         F.when(few, F.col("min")).otherwise(F.get("edges", F.col("i"))).alias("low"),
         F.when(few, F.col("max")).otherwise(F.get("edges", F.col("i") + len(probabilities))).alias("high"),
     )
 
-    # The null value stands for all rows below the bracket and sorts first. A column without a
-    # value keeps its null rows, so that it shows up with a count of zero.
+
+def _bracket(df: DataFrame, cols: Sequence[str], marks: DataFrame) -> DataFrame:
+    """Rows per value of each bracket, and of all that stands below it (slot -1, null value).
+
+    There are as many marks as columns and probabilities were asked for, so broadcasting them is
+    safe at any size of the input. They carry the other statistics along. A column without a
+    value keeps its null rows, so that it shows up with a count of zero.
+    """
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    inside = F.coalesce(F.floor(F.try_divide(value - low, high - low) * SLOTS), F.lit(0))
+    slot = F.when(value == high, SLOTS).when(value >= low, inside).otherwise(-1)
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    bracket = (
+    return (
         df.select(F.inline(entries))
         .join(F.broadcast(marks), "column")
-        .where((F.col("value") <= F.col("high")) | (F.col("count") == 0))
-        .groupBy(*known, "rank", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
+        .where((value <= high) | (F.col("count") == 0))
+        .groupBy(*KNOWN, "p", "rank", slot.alias("slot"), F.when(value >= low, value).alias("value"))
         .agg(F.count("*").alias("rows"))
     )
-    upwards = Window.partitionBy("column", "p").orderBy(F.asc_nulls_first("value"))
-    ranked = bracket.withColumn("upto", F.sum("rows").over(upwards))
 
-    def value_at(rank):
-        return F.min(F.when(F.col("upto") > rank, F.col("value")))
 
-    fraction = F.col("rank") - F.floor("rank")
-    quantile = F.col("lower") + (F.col("upper") - F.col("lower")) * fraction
-    found = ranked.groupBy(*known, "rank").agg(
-        value_at(F.floor("rank")).alias("lower"), value_at(F.ceil("rank")).alias("upper")
-    )
-    names = {p: f"{p * 100:g}%" for p in probabilities}
-    head = ["column", "count", "mean", "std", "min"]
-    return (
-        found.groupBy(*head, "max")
-        .agg(*[F.max(F.when(F.col("p") == p, quantile)).alias(name) for p, name in names.items()])
-        .select(*head, *[F.col(f"`{name}`") for name in names.values()], "max")
+def _ranked(bracket: DataFrame) -> DataFrame:
+    """The values of the slots that hold a wanted rank, with the number of rows up to each value."""
+    along = Window.partitionBy("column", "p").orderBy("slot")
+    slots = (
+        bracket.groupBy("column", "p", "count", "rank", "slot")
+        .agg(F.sum("rows").alias("in_slot"))
+        .withColumn("before", F.sum("in_slot").over(along) - F.col("in_slot"))
     )
+
+    def holds(rank: Column) -> Column:
+        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("in_slot"))
+
+    # Of at most SLOTS + 2 slots per column and probability one or two are kept.
+    hits = slots.where(holds(F.floor("rank")) | holds(F.ceil("rank")) | (F.col("count") == 0))
+    upwards = Window.partitionBy("column", "p", "slot").orderBy("value")
+    return bracket.join(
+        F.broadcast(hits.select("column", "p", "slot", "before")), ["column", "p", "slot"]
+    ).withColumn("upto", F.col("before") + F.sum("rows").over(upwards))

@@ -5,7 +5,7 @@ from .gender_gap import (
     number_of_gender_article_overall,
     number_of_gender_item,
     number_of_gender_zero_ill,
-    number_of_wikipedia_pages,
+    number_of_pages,
 )
 from .image_jobs import classify_images, detection_job, feature_job, with_thumbnail
 from .snapshots import Snapshots
@@ -21,7 +21,7 @@ __all__ = [
     "number_of_gender_article_overall",
     "number_of_gender_item",
     "number_of_gender_zero_ill",
-    "number_of_wikipedia_pages",
+    "number_of_pages",
     "page_features",
     "with_thumbnail",
 ]

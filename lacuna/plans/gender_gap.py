@@ -26,7 +26,7 @@ def number_of_gender_article_by_month(
     page_frame: DataFrame, pages: DataFrame, history: DataFrame, until: str | None = None
 ) -> DataFrame:
     """Articles of each wiki, month and gender against all articles of the wiki."""
-    totals = number_of_wikipedia_pages(pages, history, "wp_count", "wp_cumsum")
+    totals = number_of_pages(pages, history, "wp_count", "wp_cumsum")
     return monthly_share(biographies(page_frame), totals, until=until)
 
 
@@ -44,7 +44,7 @@ def number_of_gender_article(features: DataFrame) -> DataFrame:
     return monthly_cumulative(features, "date_created", ["wiki_db", "gender_label"])
 
 
-def number_of_wikipedia_pages(
+def number_of_pages(
     pages: DataFrame, history: DataFrame, count: str = "article_count", cumsum: str = "cumsum"
 ) -> DataFrame:
     """Articles of each wiki and month, and their running sum. Choose wikis in the two scans."""

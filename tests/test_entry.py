@@ -35,7 +35,7 @@ def test_every_query_has_an_oracle():
 
 
 # Python runs in the inference queries only, and there in Arrow batches.
-PYTHON = {"detect_summary", "thumbnail_job", "extract_features", "classify_images", "batch_predict"}
+PYTHON = {"decode_images", "detect_summary", "thumbnail_job", "extract_features", "classify_images", "batch_predict"}
 
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))

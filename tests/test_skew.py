@@ -1,0 +1,67 @@
+"""Queries against their SQL on tables where one key of each kind holds a third of the rows."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+from check import rows_of
+
+SF_DIR = "/root/testdata/sf0.001"
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+
+HOT = {
+    "customer": "SELECT * REPLACE ((CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE c_nationkey END)::INT AS c_nationkey)",
+    "orders": """SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS o_custkey,
+                 CASE WHEN o_orderkey % 3 = 1 THEN 'F' ELSE o_orderstatus END AS o_orderstatus)""",
+    "lineitem": """SELECT * REPLACE (CASE WHEN l_partkey % 3 = 0 THEN 17 ELSE l_orderkey END AS l_orderkey,
+                   CASE WHEN l_suppkey % 3 = 0 THEN 999.5 ELSE l_extendedprice END AS l_extendedprice)""",
+    "events": "SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS user_id)",
+    "documents": "SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN 'the same text' ELSE text END AS text)",
+    "labels": "SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN 5 ELSE doc_id END AS doc_id)",
+}
+
+
+@pytest.fixture(scope="module")
+def skewed(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("skewed")
+    con = duckdb.connect()
+    for file in os.listdir(SF_DIR):
+        name = file.removesuffix(".parquet")
+        path = folder / file
+        con.execute(f"COPY ({HOT.get(name, 'SELECT *')} FROM '{SF_DIR}/{file}') TO '{path}'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "claims_pivot",
+        "detect_json",
+        "drop_ambiguous",
+        "first_edit",
+        "gender_article_by_month",
+        "gender_item",
+        "item_pages",
+        "missing_flag",
+        "multi_valued",
+        "summary_stats",
+        "wiki_totals_distinct",
+    ],
+)
+def test_skewed_tables(spark, skewed, name, broadcast):
+    folder, con = skewed
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = contract.queries()[name](spark, folder)
+        ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    cur = con.execute(contract.oracle_sql()[name])
+    assert ours == rows_of([d[0] for d in cur.description], cur.fetchall())
+    assert ours[1]
