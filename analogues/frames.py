@@ -18,42 +18,40 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def entity_json(prefix: str, key: str | Column) -> Column:
-    key = F.col(key) if isinstance(key, str) else key
-    return F.concat(F.lit('{"entity-type":"item","id":"' + prefix), key.cast("string"), F.lit('"}'))
+CLAIMS_TYPE = "array<struct<mainSnak: struct<property: string, datavalue: struct<value: string>>>>"
 
 
-def claim(prop: str, value: Column) -> Column:
-    datavalue = F.struct(value.alias("value"))
-    return F.struct(F.struct(F.lit(prop).alias("property"), datavalue.alias("datavalue")).alias("mainSnak"))
+def entity_json(prefix: str, key: str) -> str:
+    """The JSON text of a claim that points to an entity, as a SQL expression."""
+    return f"""concat('{{"entity-type":"item","id":"{prefix}', {key}, '"}}')"""
+
+
+def claim(prop: str, value: str) -> str:
+    return f"named_struct('mainSnak', named_struct('property', '{prop}', 'datavalue', named_struct('value', {value})))"
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    human = F.when(F.col("c_mktsegment") != "FURNITURE", "5").otherwise("50")
-    nation = F.when(F.col("c_acctbal") >= 0, entity_json("N", "c_nationkey"))
-    second = entity_json("N", F.lit(24) - F.col("c_nationkey"))
-    one = [claim("P31", entity_json("Q", human)), claim("P21", nation)]
-    return load(spark, sf_dir, "customer").select(
-        F.concat(F.lit("C"), "c_custkey").alias("id"),
-        F.lit("item").alias("typ"),
-        F.lit("2021-08-02").alias("snapshot"),
-        F.when(F.col("c_mktsegment") == "BUILDING", F.array(*one, claim("P21", second)))
-        .otherwise(F.array(*one))
-        .alias("claims"),
-        F.create_map(F.lit("en"), F.col("c_name")).alias("labels"),
+    human = claim("P31", entity_json("Q", "if(c_mktsegment <> 'FURNITURE', '5', '50')"))
+    nation = claim("P21", f"if(c_acctbal >= 0, {entity_json('N', 'c_nationkey')}, NULL)")
+    second = claim("P21", entity_json("N", "24 - c_nationkey"))
+    claims = f"if(c_mktsegment = 'BUILDING', array({human}, {nation}, {second}), array({human}, {nation}))"
+    return load(spark, sf_dir, "customer").selectExpr(
+        "concat('C', c_custkey) AS id",
+        "'item' AS typ",
+        "'2021-08-02' AS snapshot",
+        f"CAST({claims} AS {CLAIMS_TYPE}) AS claims",
+        "map('en', c_name) AS labels",
     )
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quoted = F.concat(F.lit('"'), "n_name", F.lit('"'))
-    french = F.create_map(F.lit("fr"), quoted)
-    both = F.create_map(F.lit("fr"), quoted, F.lit("en"), quoted)
-    return load(spark, sf_dir, "nation").select(
-        F.concat(F.lit("N"), "n_nationkey").alias("id"),
-        F.lit("item").alias("typ"),
-        F.lit("2021-08-02").alias("snapshot"),
-        F.array().cast(people(spark, sf_dir).schema["claims"].dataType).alias("claims"),
-        F.when(F.col("n_regionkey") == 0, french).otherwise(both).alias("labels"),
+    quoted = """concat('"', n_name, '"')"""
+    return load(spark, sf_dir, "nation").selectExpr(
+        "concat('N', n_nationkey) AS id",
+        "'item' AS typ",
+        "'2021-08-02' AS snapshot",
+        f"CAST(array() AS {CLAIMS_TYPE}) AS claims",
+        f"if(n_regionkey = 0, map('fr', {quoted}), map('fr', {quoted}, 'en', {quoted})) AS labels",
     )
 
 
@@ -66,23 +64,23 @@ def wiki(status: str) -> Column:
 
 
 def link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "orders").select(
-        F.concat(F.lit("C"), "o_custkey").alias("item_id"),
-        wiki("o_orderstatus").alias("wiki_db"),
-        F.col("o_orderkey").alias("page_id"),
-        F.concat_ws("-", "o_orderpriority", "o_custkey").alias("page_title"),
-        F.col("o_orderpriority").alias("snapshot"),
+    return load(spark, sf_dir, "orders").selectExpr(
+        "concat('C', o_custkey) AS item_id",
+        "concat(lower(o_orderstatus), 'wiki') AS wiki_db",
+        "o_orderkey AS page_id",
+        "concat_ws('-', o_orderpriority, o_custkey) AS page_title",
+        "o_orderpriority AS snapshot",
     )
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "orders").select(
-        wiki("o_orderstatus").alias("wiki_db"),
-        F.col("o_orderkey").alias("page_id"),
-        F.col("o_orderpriority").alias("page_title"),
-        F.when(F.col("o_orderpriority") == "5-LOW", 1).otherwise(0).alias("page_namespace"),
-        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", 1).otherwise(0).alias("page_is_redirect"),
-        F.lit("2021-07").alias("snapshot"),
+    return load(spark, sf_dir, "orders").selectExpr(
+        "concat(lower(o_orderstatus), 'wiki') AS wiki_db",
+        "o_orderkey AS page_id",
+        "o_orderpriority AS page_title",
+        "if(o_orderpriority = '5-LOW', 1, 0) AS page_namespace",
+        "if(o_orderpriority = '4-NOT SPECIFIED', 1, 0) AS page_is_redirect",
+        "'2021-07' AS snapshot",
     )
 
 
@@ -91,30 +89,30 @@ def time_text(c: str) -> Column:
 
 
 def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", wiki("o_orderstatus").alias("wiki_db"))
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "wiki_db",
-        F.col("l_orderkey").alias("page_id"),
-        F.when(F.col("l_returnflag") != "N", time_text("l_shipdate")).alias("page_first_edit_timestamp"),
-        F.lit("2021-07").alias("snapshot"),
+    orders = load(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS page_id", "concat(lower(o_orderstatus), 'wiki') AS wiki_db"
+    )
+    lines = load(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS page_id",
+        "if(l_returnflag <> 'N', substring(CAST(l_shipdate AS STRING), 1, 19), NULL) AS page_first_edit_timestamp",
+    )
+    return lines.join(orders, "page_id").selectExpr(
+        "wiki_db", "page_id", "page_first_edit_timestamp", "'2021-07' AS snapshot"
     )
 
 
 def property_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as claims: the kind of event is the property, its ``k`` the entity pointed to."""
-    return load(spark, sf_dir, "events").select(
-        F.col("user_id").alias("qitem_id"),
-        F.col("event_type").alias("property"),
-        entity_json("K", F.get_json_object("props", "$.k")).alias("value"),
+    return load(spark, sf_dir, "events").selectExpr(
+        "user_id AS qitem_id",
+        "event_type AS property",
+        f"{entity_json('K', "get_json_object(props, '$.k')")} AS value",
     )
 
 
 def nation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as labels of the entities that events point to; most of those have none."""
-    return load(spark, sf_dir, "nation").select(
-        F.concat(F.lit("K"), "n_nationkey").alias("id"), F.col("n_name").alias("label")
-    )
+    return load(spark, sf_dir, "nation").selectExpr("concat('K', n_nationkey) AS id", "n_name AS label")
 
 
 # The same frames for the SQL side.

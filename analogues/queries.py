@@ -62,6 +62,11 @@ def query(sql: str):
     return register
 
 
+def base_of(spark, sf_dir):
+    tables = (table(spark, sf_dir) for table in (entity_table, link_table, page_table, history_table))
+    return plans.Snapshots(spark, *tables)
+
+
 # --- scans ---------------------------------------------------------------------------------
 
 
@@ -491,6 +496,31 @@ def category_counts(spark, sf_dir):
     return op.category_counts(op.biographies(items), "gender", op.labels_in(entities))
 
 
+@query(
+    f"""WITH {CLAIM}, item AS (
+      SELECT 'C' || c_custkey AS id FROM customer UNION ALL SELECT 'N' || n_nationkey FROM nation)
+    SELECT id AS qitem_id, coalesce(bool_or(property = 'P31' AND value LIKE '%"id":"Q5"%'), false) AS is_human,
+           json_extract_string(max(CASE WHEN property = 'P21' THEN value END), '$.id') AS gender,
+           json_extract_string(max(CASE WHEN property = 'P91' THEN value END), '$.id') AS sexual_orientation
+    FROM item LEFT JOIN claim USING (id) GROUP BY id"""
+)
+def described_items(spark, sf_dir):
+    return base_of(spark, sf_dir).described_items("2021-08-02")
+
+
+@query(
+    f"""WITH {CLAIM}, {LABEL},
+    valued AS (SELECT id AS qitem_id, json_extract_string(value, '$.id') AS value FROM claim WHERE property = 'P21'),
+    several AS (SELECT qitem_id, count(value) AS count FROM valued GROUP BY qitem_id HAVING count(value) > 1)
+    SELECT qitem_id, count, value, label, count(*) AS times
+    FROM valued JOIN several USING (qitem_id) LEFT JOIN label ON value = id
+    WHERE value IS NOT NULL GROUP BY ALL"""
+)
+def several_genders(spark, sf_dir):
+    base = base_of(spark, sf_dir)
+    return op.multi_valued(base.properties("2021-08-02"), "P21", base.labels("2021-08-02"))
+
+
 VALUES = f"""{PROPERTY}, {NATION_LABEL},
 valued AS (
   SELECT qitem_id, json_extract_string(value, '$.id') AS value FROM prop WHERE property = 'purchase'),

@@ -58,9 +58,14 @@ class Snapshots:
         """Add ``zero_ill``: no link in any snapshot, or in the one named."""
         return add_missing_flag(df, self.links(snapshot))
 
-    def item_frame(self, snapshot: str, links_in: str | None = None) -> DataFrame:
-        """Item features; ``zero_ill`` looks at all link snapshots, or at ``links_in``."""
-        return item_features(self.entities(snapshot), self.links(links_in))
+    def item_frame(
+        self, snapshot: str, links_in: str | None = None, labels: DataFrame | None = None
+    ) -> DataFrame:
+        """Item features; ``zero_ill`` looks at all link snapshots, or at ``links_in``.
+
+        ``labels`` (``id, label``) replaces the English labels of the whole snapshot.
+        """
+        return item_features(self.entities(snapshot), self.links(links_in), labels)
 
     def item_ids(self, snapshot: str) -> DataFrame:
         return self.entities(snapshot).select(F.col("id").alias("qitem_id"))

@@ -23,6 +23,8 @@ def test_item_and_page_frames(base):
     items = base.item_frame(NOW)
     assert tuples(items) == ITEMS
     assert base.item_frame(NOW, links_in=NOW).where("zero_ill").count() == 1
+    listed = op.in_category(base.labels(NOW), "id", lookups.gender_categories(base.spark))
+    assert tuples(base.item_frame(NOW, labels=listed)) == ITEMS
     assert tuples(base.page_frame(items, NOW, MONTH)) == ARTICLES
     assert tuples(base.page_frame(items, NOW, MONTH, "frwiki")) == ARTICLES[1:2]
 
