@@ -95,8 +95,10 @@ def predict(
         batch_size=batch_size,
         input_tensor_shapes=[list(input_shape)],
     )
-    # The model sees a stand-in for null arrays, its answer to that is not used.
-    given = F.coalesce(F.col(col).cast("array<float>"), F.array_repeat(F.lit(0.0).cast("float"), flat))
+    # The model sees a stand-in for null arrays, its answer to that is not used. Its length hangs on
+    # the column, so that it is not folded into the plan as a constant of that many numbers.
+    length = F.when(F.col(col).isNull(), flat)
+    given = F.coalesce(F.col(col).cast("array<float>"), F.array_repeat(F.lit(0.0).cast("float"), length))
     return require(df, col).withColumn(name, F.when(F.col(col).isNotNull(), model(given)))
 
 
@@ -146,10 +148,11 @@ def predict_images(
         return_type=StructType().add("output", ArrayType(FloatType())).add("readable", IntegerType()),
         batch_size=batch_size,
     )
-    output = F.col("inferred.output")
+    raw = f"{name}__raw"
+    output = F.col(f"{raw}.output")
     if on_error == "null":
-        output = F.when(F.col("inferred.readable") == 1, output)
-    return df.withColumn("inferred", result(col)).select(*df.columns, output.alias(name))
+        output = F.when(F.col(f"{raw}.readable") == 1, output)
+    return df.withColumn(raw, result(col)).select(*df.columns, output.alias(name))
 
 
 def extract_features(
@@ -207,8 +210,9 @@ def detect_summary(
         return_type=StructType().add("count", IntegerType()).add("max", DoubleType()).add("sum", DoubleType()),
         batch_size=batch_size,
     )
-    result = F.when(F.col("found.count") != 0, F.col("found"))
-    return df.withColumn("found", found(col)).select(*df.columns, result.alias(name))
+    raw = f"{name}__raw"
+    result = F.when(F.col(f"{raw}.count") != 0, F.col(raw))
+    return df.withColumn(raw, found(col)).select(*df.columns, result.alias(name))
 
 
 def explode_json(df: DataFrame, col: str, ddl: str, name: str = "data") -> DataFrame:

@@ -96,6 +96,12 @@ def test_predict_batches_and_nulls(spark):
     assert found[5] is None
 
 
+def test_plan_holds_no_tensor(spark):
+    frame = spark.createDataFrame([(None,)], "x array<float>")
+    found = op.predict(frame, "x", mean_model(), [180, 180, 3])
+    assert len(found._jdf.queryExecution().toString()) < 20_000
+
+
 def test_model_with_broadcast_weights(spark):
     make = op.model_factory(spark, lambda w: lambda batch: batch @ w, np.array([[2.0], [3.0]]))
     frame = spark.createDataFrame([(1, [1.0, 10.0])], "id int, x array<float>")
