@@ -105,6 +105,12 @@ def scan_links(spark, sf_dir):
     return sources.links(spark, link_table(spark, sf_dir), "1-URGENT", "fwiki owiki")
 
 
+@query(f"WITH {LINK} SELECT item_id, wiki_db, page_id, page_title FROM link")
+def staged_links(spark, sf_dir):
+    """Written to the checkpoint folder and read back, where the session has one."""
+    return sources.staged(link_table(spark, sf_dir)).drop("snapshot")
+
+
 @query(
     """SELECT lower(o_orderstatus) || 'wiki' AS wiki_db, o_orderkey AS page_id, o_orderpriority AS page_title
     FROM orders WHERE o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED') AND o_orderstatus IN ('F', 'P')"""

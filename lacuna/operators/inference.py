@@ -3,6 +3,9 @@
 ``make_model()`` returns a function from a batch (first axis: rows) to its predictions;
 ``decode_fn`` turns the bytes of one image into an H x W x 3 array. Both run in the Python
 workers, where a model is made once per worker process and kept for the next batches.
+
+All of it is marked nondeterministic. That keeps Catalyst from copying a call into a filter on its
+result, which would decode and predict every image twice.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ def decode_images(
         for contents in batches:
             yield pd.Series([flat(c) for c in contents], dtype=object)
 
-    return df.withColumn(name, pixels(col))
+    return df.withColumn(name, pixels.asNondeterministic()(col))
 
 
 def predict(
@@ -99,7 +102,7 @@ def predict(
     # the column, so that it is not folded into the plan as a constant of that many numbers.
     length = F.when(F.col(col).isNull(), flat)
     given = F.coalesce(F.col(col).cast("array<float>"), F.array_repeat(F.lit(0.0).cast("float"), length))
-    return require(df, col).withColumn(name, F.when(F.col(col).isNotNull(), model(given)))
+    return require(df, col).withColumn(name, F.when(F.col(col).isNotNull(), model.asNondeterministic()(given)))
 
 
 def predict_images(
@@ -152,7 +155,7 @@ def predict_images(
     output = F.col(f"{raw}.output")
     if on_error == "null":
         output = F.when(F.col(f"{raw}.readable") == 1, output)
-    return df.withColumn(raw, result(col)).select(*df.columns, output.alias(name))
+    return df.withColumn(raw, result.asNondeterministic()(col)).select(*df.columns, output.alias(name))
 
 
 def extract_features(
@@ -212,7 +215,7 @@ def detect_summary(
     )
     raw = f"{name}__raw"
     result = F.when(F.col(f"{raw}.count") != 0, F.col(raw))
-    return df.withColumn(raw, found(col)).select(*df.columns, result.alias(name))
+    return df.withColumn(raw, found.asNondeterministic()(col)).select(*df.columns, result.alias(name))
 
 
 def explode_json(df: DataFrame, col: str, ddl: str, name: str = "data") -> DataFrame:

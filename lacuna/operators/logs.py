@@ -50,6 +50,7 @@ def parse_fit_log(
     code = F.regexp_extract(_first_line(), f"(?U)^({code_pattern})", 1)
     return (
         require(blocks, "block")
+        .where(F.contains("block", F.lit(f"\n{FIT_LINE}")))
         .select(F.concat(code, F.lit("wiki")).alias("wiki"), fit.alias("fit"))
         .where(F.col("fit").isNotNull())
         .select(
@@ -70,6 +71,7 @@ def parse_selection_log(blocks: DataFrame) -> DataFrame:
     wiki = F.nullif(F.regexp_extract(head, "([a-z]+wiki)", 1), F.lit(""))
     return (
         require(blocks, "block")
+        .where(F.contains("block", F.lit(f"\n{FINAL_LINE}")))
         .select(
             wiki.alias("wiki"),
             first_integer(head).alias("total_article"),
@@ -77,7 +79,6 @@ def parse_selection_log(blocks: DataFrame) -> DataFrame:
             _line(PREDICTION_LINE).alias("prediction"),
             _line(FINAL_LINE).alias("final"),
         )
-        .where(F.col("final").isNotNull())
         .select(
             "wiki",
             "total_article",

@@ -163,6 +163,13 @@ def test_multi_valued(spark, props):
     ]
 
 
+def test_multi_valued_reads_its_input_once(spark, props):
+    labels = spark.createDataFrame([("Q1", "one")], LABELS)
+    found = op.multi_valued(props, "P21", labels)
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_category_counts_drop_null_and_unlabelled(spark):
     labels = spark.createDataFrame([("Q1", "one"), ("Q2", "two")], LABELS)
     items = spark.createDataFrame([("Q2",), ("Q2",), ("Q1",), (None,), ("Q3",)], "gender string")

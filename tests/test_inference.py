@@ -96,6 +96,17 @@ def test_predict_batches_and_nulls(spark):
     assert found[5] is None
 
 
+def test_a_filter_on_the_result_does_not_predict_twice(images, labelled):
+    def python_steps(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+    assert python_steps(plans.detection_job(images, strip_decoder(), detector())) == 1
+    label = F.col("pred_label") == "Quality"
+    assert python_steps(plans.classify_images(labelled, decoder(), mean_model(), size=4).where(label)) == 1
+    decoded = op.decode_images(labelled, "image_bytes", decoder(), 4).where(F.size("image_arr") > 0)
+    assert python_steps(op.predict(decoded, "image_arr", mean_model(), [4, 4, 3]).where("prediction[0] > 0")) == 2
+
+
 def test_plan_holds_no_tensor(spark):
     frame = spark.createDataFrame([(None,)], "x array<float>")
     found = op.predict(frame, "x", mean_model(), [180, 180, 3])
