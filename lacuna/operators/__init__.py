@@ -18,7 +18,7 @@ from .inference import (
     predict,
     predict_images,
 )
-from .labels import add_label, label_list, labels_in
+from .labels import add_label, label_list, labels_in, labels_in_use
 from .linking import add_missing_flag, drop_ambiguous, pages_of_items
 from .logs import parse_fit_log, parse_selection_log
 from .pages import add_first_edit, first_edit_of, first_edits, wiki_totals
@@ -58,6 +58,7 @@ __all__ = [
     "in_category",
     "label_list",
     "labels_in",
+    "labels_in_use",
     "model_factory",
     "monthly_counts",
     "monthly_cumulative",

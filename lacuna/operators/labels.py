@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import require
+from ..sources.sinks import staged
 
 
 def labels_in(entities: DataFrame, lang: str = "en") -> DataFrame:
@@ -22,14 +23,25 @@ def add_label(df: DataFrame, col: str, labels: DataFrame, name: str = "label", h
     """Add the label of the entity in ``col`` from ``labels`` (``id, label``).
 
     The default drops rows whose entity is null, unknown or has no label; ``how='left'`` keeps
-    them. No side is hinted: the labels of a whole snapshot are large, a category list
-    (``in_category(labels, 'id', lookup)``) is tiny, and Catalyst broadcasts by measured size. A
-    hot entity on the left is split by AQE (see ``session.tune``), also under an aggregate on it.
+    them. No side is hinted: the labels of a whole snapshot are large, those in use
+    (``labels_in_use``) mostly few, and Catalyst broadcasts by size. In a join that shuffles, AQE
+    splits a hot entity on the left (see ``session.tune``), also under an aggregate on it.
     """
     names = require(labels, "id", "label").select(F.col("id").alias(col), F.col("label").alias(name))
     return require(df, col).join(names, col, how).select(*df.columns, name)
 
 
+def labels_in_use(labels: DataFrame, df: DataFrame, col: str) -> DataFrame:
+    """The labels of the entities that occur in ``col`` of a staged frame, staged themselves.
+
+    Both the entities and their labels come back from files of known size. Where they are few, as
+    categories are, Catalyst broadcasts them: neither the labels of the snapshot nor ``df`` is then
+    shuffled, and no entity is a hot key. Where they are many it joins them by shuffling.
+    """
+    used = staged(require(df, col).select(F.col(col).alias("id")).distinct())
+    return staged(require(labels, "id", "label").join(used, "id", "left_semi").select("id", "label"))
+
+
 def label_list(
     df: DataFrame,
     array_col: str,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entity_id, percent, require
+from ..sources.sinks import staged
 from .claims import claims_of
 from .labels import add_label
 from .series import MONTH, monthly_counts, running_sum
@@ -133,9 +134,10 @@ def monthly_pct(series: DataFrame, totals: DataFrame, wiki: str = "wiki_db") ->
 def category_counts(items: DataFrame, col: str, labels: DataFrame, label: str = "label") -> DataFrame:
     """Items per category with its label, largest first; the null category has no label and goes.
 
-    Items are counted before the label is looked up, so only categories are joined.
+    Items are counted before the label is looked up, so only categories are joined; they are
+    staged, so that few of them are broadcast and the labels are not shuffled.
     """
-    counted = require(items, col).groupBy(col).agg(F.count("*").alias("count"))
+    counted = staged(require(items, col).groupBy(col).agg(F.count("*").alias("count")))
     return add_label(counted, col, labels, label).orderBy(F.desc("count"), col)
 
 

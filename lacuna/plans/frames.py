@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import require
 from ..functions.columns import HUMAN
 from ..operators.claims import explode_claims, pivot_claims
-from ..operators.labels import add_label, labels_in
+from ..operators.labels import add_label, labels_in, labels_in_use
 from ..operators.linking import add_missing_flag, drop_ambiguous
 from ..operators.pages import PAGE, add_first_edit
-from ..sources.sinks import staged
+from ..sources.sinks import staged, staging_folder
 from ..sources.tables import wiki_filter
 
 # The properties "instance of", "sex or gender" and "sexual orientation".
@@ -31,7 +31,10 @@ def item_features(
     ``entities`` holds the items of one snapshot. ``zero_ill`` is true when an item has no row in
     ``links``; links of any snapshot count, so pass all or one. Items whose gender is null or has
     no English label are dropped. ``labels`` (``id, label``) replaces the labels found in
-    ``entities``: with a category list it is small enough to be broadcast.
+    ``entities``.
+
+    Where the session has a checkpoint folder the items are staged there, and then the labels of
+    the genders they have: so a gender that most items share is not shuffled into one place.
     """
     items = pivot_claims(
         explode_claims(entities),
@@ -40,6 +43,9 @@ def item_features(
         strict=strict,
     ).withColumnRenamed("id", "qid")
     names = labels_in(entities) if labels is None else labels
+    if staging_folder(entities.sparkSession):
+        items = staged(items)
+        names = labels_in_use(names, items, "gender")
     return add_missing_flag(add_label(items, "gender", names, "gender_label"), links)
 
 

@@ -1,5 +1,5 @@
 from .files import ingest_images, read_decoded_images, read_features, read_images, read_log_blocks, read_lookup
-from .sinks import persisted, save_external, staged, write_parquet
+from .sinks import persisted, save_external, staged, staging_folder, write_parquet
 from .tables import entities, history, links, pages, wiki_filter
 
 __all__ = [
@@ -16,6 +16,7 @@ __all__ = [
     "read_lookup",
     "save_external",
     "staged",
+    "staging_folder",
     "wiki_filter",
     "write_parquet",
 ]

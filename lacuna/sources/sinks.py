@@ -5,7 +5,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -36,16 +36,22 @@ def persisted(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK)
         kept.unpersist()
 
 
+def staging_folder(spark: SparkSession) -> str | None:
+    """The shared folder for written intermediate results: ``spark.checkpoint.dir``, if it is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or None
+
+
 def staged(df: DataFrame) -> DataFrame:
     """A frame that later steps read several times, written once to the shared checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. What is read back is
-    Parquet, so each later use reads only its own columns, and an executor lost later costs no
-    recomputation. Where the session names no folder the frame stays lazy, as it is.
+    What is read back is Parquet: each later use reads only its own columns, an executor lost later
+    costs no recomputation, and Catalyst knows the size, so it broadcasts what turned out small and
+    only that. Where the session names no folder the frame stays lazy, as it is.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    spark = df.sparkSession
+    folder = staging_folder(spark)
+    if folder is None:
         return df
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4()}"
     write_parquet(df, path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

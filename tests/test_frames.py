@@ -50,6 +50,23 @@ def test_item_features_with_a_category_list(spark, entities, link_rows):
     assert tuples(plans.item_features(dump, link_rows, labels)) == ITEMS
 
 
+def test_item_features_without_a_checkpoint_folder(spark, entities, link_rows, monkeypatch):
+    monkeypatch.setattr("lacuna.plans.frames.staging_folder", lambda spark: None)
+    assert tuples(plans.item_features(sources.entities(spark, entities, NOW), link_rows)) == ITEMS
+
+
+def test_labels_in_use_are_broadcast_by_size(spark):
+    """Few categories: no shuffle for the label, however hot one of them is."""
+    items = sources.staged(spark.range(1_000).selectExpr("id AS n", "if(id % 10 > 0, 'Q1', 'Q2') AS gender"))
+    labels = spark.range(100_000).selectExpr("concat('Q', id) AS id", "concat('label ', id) AS label")
+    names = op.labels_in_use(labels, items, "gender")
+    assert tuples(names) == [("Q1", "label 1"), ("Q2", "label 2")]
+    labelled = op.add_label(items, "gender", names)
+    text = labelled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+    assert labelled.count() == 1_000
+
+
 ARTICLES = [
     (1, "enwiki", "Q_plain", True, "Q6581072", '"female"', False, "Ada", "2008-11-10 22:23:00"),
     (1, "frwiki", "Q_plain", True, "Q6581072", '"female"', False, "Ada", "2001-02-03 00:00:00"),

@@ -55,8 +55,9 @@ def test_claims_read_two_leaves(spark, dump):
     assert found.collect()
 
 
-def test_item_frame_scans(spark, dump):
+def test_item_frame_scans(spark, dump, monkeypatch):
     links = sources.links(spark, dump["link"])
+    monkeypatch.setattr("lacuna.plans.frames.staging_folder", lambda spark: None)
     text = plan(plans.item_features(sources.entities(spark, dump["entity"], NOW), links))
     assert text.count("Generate") == 1  # the claims; the label of one language is looked up
     assert "PartitionFilters: [isnotnull(snapshot" in text

@@ -83,6 +83,8 @@ def test_staged_writes_to_the_checkpoint_folder(spark, page_rows):
     kept = sources.staged(page_rows)
     assert tuples(kept) == tuples(page_rows)
     assert all(folder.rstrip("/") in f for f in kept.inputFiles())
+    empty = sources.staged(page_rows.where("page_id < 0"))
+    assert empty.schema == page_rows.schema and empty.count() == 0
 
 
 def test_persisted_releases(page_rows):
