@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,57 @@ BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 """)
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# A-Z in lower case, then the words of the contract.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+    WITH item AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+    item_window AS (
+        SELECT DISTINCT item_id, list_slice(w, k, k + 12) AS win
+        FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS k FROM item WHERE len(w) > 0)
+    ),
+    size AS (SELECT DISTINCT len(win) AS n FROM item_window),
+    doc AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM doc),
+    hit AS (
+        SELECT doc_id, k, n, item_id
+        FROM (SELECT doc_id, k, n, list_slice(w, k, k + n - 1) AS win FROM place, size WHERE k + n - 1 <= len(w)) p
+        JOIN item_window USING (win)
+    ),
+    word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS k FROM hit) GROUP BY doc_id),
+    items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op4_decontaminate(spark, sf_dir):
+    found = decontaminate.findings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query()
+def op5_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.scores(docs, labels, usable=~toxicity.held_out())
+    return found.withColumnRenamed("id", "doc_id").select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
