@@ -147,7 +147,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     )
     repeats = flagged.where("maybe")
     order = F.struct(-F.col("points"), F.col("id").isNull(), F.col("id").alias("keep_id"), F.col("tag").alias("keep_tag"))
-    best = repeats.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    # Written, so that both sides of the join are plain exchanges and AQE can split a frequent text.
+    best = stage(repeats.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("group_size")))
     grouped = repeats.join(best, "sha").select(
         "id", F.col("best.keep_id"), "group_size", (F.col("tag") == F.col("best.keep_tag")).alias("kept"), "sha"
     )
