@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, simhash, toxicity
+from . import decontaminate, exact_dedup, sentence_pieces, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,18 @@ def op5_toxicity(spark, sf_dir):
         (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
         F.size("offending").alias("n_offending"),
     )
+
+
+@query()
+def op10_sentence_pieces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = docs.select("doc_id", "text", sentence_pieces.encoded(F.col("text"), F.col("doc_id"), model).alias("ids"))
+    back = ids.withColumn("back", sentence_pieces.decoded(F.col("ids"), model))
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+        F.sha2("back", 256).alias("text_sha256"),
+        (F.col("back") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
