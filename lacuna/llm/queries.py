@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sentence_pieces, simhash, toxicity
+from . import chat, decontaminate, exact_dedup, quality, sentence_pieces, sharding, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,30 @@ def op10_sentence_pieces(spark, sf_dir):
         F.sha2("back", 256).alias("text_sha256"),
         (F.col("back") == F.coalesce("text", F.lit(""))).alias("lossless"),
     )
+
+
+@query()
+def op7_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
+    return chat.formatted(turns.unionByName(more), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op8_hash_tree(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = sharding.sharded(docs, sharding.layout(24), sharding.layout(25))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query()
+def op9_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.scores(docs, labels, usable=~quality.held_out()).withColumnRenamed("id", "doc_id")
+    return found.select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"),
+    )
