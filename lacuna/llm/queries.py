@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, quality, sentence_pieces, sharding, simhash, toxicity
+from . import chat, decontaminate, exact_dedup, quality, sentence_pieces, sharding, simhash, token_files, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,9 @@ def op9_quality(spark, sf_dir):
         "score",
         (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op3_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
