@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, quality, sentence_pieces, sharding, simhash, token_files, toxicity
+from . import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    quality,
+    sentence_pieces,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +159,11 @@ def op9_quality(spark, sf_dir):
 def op3_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op6_substring_dedup(spark, sf_dir):
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), width=20)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
