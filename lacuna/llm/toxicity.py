@@ -128,7 +128,7 @@ def fit(sample: list[tuple[str, int]], features: int = FEATURES, steps: int = ST
                         feature.append(number[f])
             doc.append(d)
             start = end
-    sentence, feature, doc = np.array(sentence), np.array(feature), np.array(doc)
+    sentence, feature, doc = (np.array(x, np.int64) for x in (sentence, feature, doc))
     w, bias = np.zeros(len(names)), -5.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     balance = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0))

@@ -1,0 +1,59 @@
+"""Fixtures and helpers of these tests, imported by name."""
+
+import pytest
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+#: Names that operators use inside, as extra columns of the input.
+CLASHING = "id bigint, row string, tag string, sha string, fp string, kept string, s string, f string, d string, maybe string"
+
+
+def passage(start, n):
+    return " ".join(f"{WORDS[k % len(WORDS)]}{k // len(WORDS)}" for k in range(start, start + n))
+
+
+@pytest.fixture(scope="session")
+def odd_rows():
+    """(doc_id, text): nulls, empty and blank texts, repeated rows, ties, copies, one very long text."""
+    return [
+        (1, passage(0, 40)),
+        (1, passage(0, 40)),
+        (2, passage(0, 40).upper()),
+        (3, passage(0, 40) + " end"),
+        (4, None),
+        (5, ""),
+        (6, " \t\r\n\x0b\x0c"),
+        (None, "no id here, but a text"),
+        (None, passage(500, 30)),
+        (None, None),
+        (7, passage(500, 30).replace(" ", "\n\t ")),
+        (8, "word"),
+        (9, passage(1_000, 30_000)),
+        (10, passage(2_000, 60) + " ▁<0x41> 日本語 😀 \x00"),
+    ]
+
+
+@pytest.fixture(scope="session")
+def odd(spark, odd_rows):
+    """The same as a table with the columns of ``documents`` and columns of clashing names."""
+    rows = [(i, t, None, "src", None, 7, *["x"] * 9) for i, t in odd_rows]
+    return spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASHING}")
+
+
+@pytest.fixture(scope="session")
+def no_docs(odd):
+    return odd.where("false")
+
+
+@pytest.fixture(scope="session")
+def given_labels(spark):
+    rows = [(i, q, t) for i in range(1, 11) for q, t in [(i % 2, int(i % 3 == 0))]]
+    return spark.createDataFrame([*rows, (1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id bigint, quality int, toxic int")
+
+
+def as_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def same_rows(df, expected):
+    assert as_rows(df) == sorted(map(tuple, expected), key=repr)

@@ -1,0 +1,192 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from lacuna.llm import exact_dedup, simhash
+from lacuna.llm.components import components
+
+from llm_support import no_docs, odd, odd_rows, same_rows  # noqa: F401
+
+
+def bare(text):
+    return re.sub("[\x20\x09-\x0d]", "", text or "")
+
+
+def brute_exact(rows):
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(bare(t), []).append((-len(t or ""), i is None, i or 0, k))
+    out = []
+    for text, members in groups.items():
+        best = min(members)
+        for m in members:
+            sha = hashlib.sha256(text.encode()).hexdigest()
+            out.append((rows[m[3]][0], rows[best[3]][0], len(members), m[:3] == best[:3], sha))
+    return out
+
+
+def test_exact_decisions(odd, odd_rows):
+    got = [tuple(r) for r in exact_dedup.decisions(odd).collect()]
+    expected = brute_exact(odd_rows)
+    assert sorted((r[0], r[1], r[2], r[4]) for r in got if r[0]) == sorted((r[0], r[1], r[2], r[4]) for r in expected if r[0])
+    assert len(got) == len(odd_rows)
+    # one row of each text stays, also of rows that repeat
+    kept = [r[4] for r in got if r[3]]
+    assert len(kept) == len(set(kept)) == len({r[4] for r in expected})
+    assert {(r[0], r[4]) for r in got if r[3]} <= {(r[0], r[4]) for r in expected if r[3]}
+
+
+def test_exact_keeps_rows_as_they_came(odd, odd_rows):
+    got = exact_dedup.keep_first(odd)
+    assert got.columns == odd.columns
+    rows = got.collect()
+    assert len(rows) == len({bare(t) for _, t in odd_rows})
+    assert {(r.doc_id, bare(r.text)) for r in rows} <= {(r[0], bare(t)) for r in brute_exact(odd_rows) if r[3] for i, t in odd_rows if i == r[0]}
+    assert all(r.sha == "x" and r.kept == "x" for r in rows)
+
+
+def test_exact_nothing(no_docs):
+    assert exact_dedup.decisions(no_docs).count() == 0
+    assert exact_dedup.keep_first(no_docs).count() == 0
+
+
+def test_a_full_filter_only_shuffles_more(spark, monkeypatch):
+    """Where every slot is taken all rows are possible repeats, and the results are the same."""
+    monkeypatch.setattr(exact_dedup, "BLOCK_SLOTS", 16)
+    rows = [(k, f"text {k % 180}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    digests = exact_dedup.digests(docs)
+    bits = exact_dedup.repeat_filter(digests, filter_mb=0)
+    assert bits.size == 2 and bits.min() == 255
+    got = sorted(tuple(r) for r in exact_dedup.decisions(docs, filter_mb=0).collect())
+    assert got == sorted(brute_exact(rows))
+
+
+def test_filter_has_every_repeat_and_few_others(spark):
+    rows = [(k, f"text {k if k % 10 else 0}") for k in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    digests = exact_dedup.digests(docs)
+    maybe = exact_dedup._maybe(digests, exact_dedup.repeat_filter(digests))
+    found = {r.id for r in digests.where(maybe("sha")).collect()}
+    assert {k for k in range(0, 3_000, 10)} <= found
+    assert len(found) < 400
+
+
+def brute_print(text, width=3):
+    words = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    runs = [" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))]
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, bits=2):
+    """prints: {key: fingerprint} to {key: smallest key reachable}."""
+    parent = {k: k for k in prints}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    keys = sorted(prints)
+    for a in keys:
+        for b in keys:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= bits and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {k: root(k) for k in prints}
+
+
+@pytest.mark.parametrize("text", ["", None, "one", "one two", "A b C d", "É é x y z w", "a a a a a b", "x " * 5_000])
+def test_fingerprint(text):
+    assert simhash.majority(simhash.shingle_hashes(text, 3)) == brute_print(text)
+
+
+def test_near_duplicates(odd, odd_rows):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == len(odd_rows)
+    prints = {i: brute_print(t) for i, t in odd_rows if i is not None}
+    # rows without an id link like any other, but lose to an id
+    prints |= {100 + k: brute_print(t) for k, (i, t) in enumerate(odd_rows) if i is None}
+    root = brute_components(prints)
+    for r in got:
+        if r.id is not None:
+            assert (r.fingerprint, r.component_id) == (f"{prints[r.id]:016x}", root[r.id])
+        else:
+            assert r.component_id in {root[k] if root[k] < 100 else None for k in prints if f"{prints[k]:016x}" == r.fingerprint}
+
+
+def test_near_keeps_rows_as_they_came(odd, odd_rows):
+    got = simhash.keep_one(odd)
+    assert got.columns == odd.columns
+    prints = {k: brute_print(t) for k, (i, t) in enumerate(odd_rows)}
+    assert got.count() == len(set(brute_components(prints).values()))
+
+
+def test_near_nothing(no_docs):
+    assert simhash.near_duplicates(no_docs).count() == 0
+    assert simhash.keep_one(no_docs).count() == 0
+
+
+def random_prints(n):
+    """Chains, clouds and lone values, with bits of both halves and the sign flipped."""
+    chance = random.Random(4)
+    out = [chance.getrandbits(64) for _ in range(n // 4)]
+    while len(out) < n:
+        x = chance.choice(out)
+        for b in chance.sample(range(64), chance.choice([1, 2, 3])):
+            x ^= 1 << b
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 2])
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 3])
+def test_links_reach_what_all_pairs_reach(spark, max_bits, bucket):
+    prints = random_prints(160)
+    frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in set(prints)], "fp bigint")
+    found = simhash.links(frame, max_bits, bucket).collect()
+    for r in found:
+        assert 0 < ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= max_bits
+    ids = {p: k for k, p in enumerate(sorted(set(prints)))}
+    expected = brute_components({ids[p]: p for p in ids}, max_bits)
+    parent = {k: k for k in expected}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for r in found:
+        a, b = root(ids[r.a & (2**64 - 1)]), root(ids[r.b & (2**64 - 1)])
+        parent[max(a, b)] = min(a, b)
+    assert {k: root(k) for k in parent} == expected
+
+
+def test_a_large_group_gives_few_links(spark):
+    """1,500 fingerprints around one value: no pair of them is sent on more than once."""
+    chance = random.Random(1)
+    prints = {0} | {(1 << chance.randrange(63)) | (1 << chance.randrange(63)) for _ in range(3_000)}
+    frame = spark.createDataFrame([(p,) for p in prints], "fp bigint")
+    assert simhash.links(frame, 2).count() < 66 * len(prints)
+    assert simhash.links(frame, 2, bucket=100).count() < 66 * len(prints)
+
+
+def test_links_wants_few_bits(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp bigint"), 3)
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(40)]
+    star = [(100, k) for k in range(101, 130)]
+    links = spark.createDataFrame([*chain, *star, (7, 7), (None, 3), (5, 4)], "a bigint, b bigint")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 130)}
+    assert components(links.where("false")).count() == 0
+    same_rows(components(links), [(k, v) for k, v in got.items()])
