@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 from lacuna import functions as fn
 from lacuna import operators as op
 from lacuna import plans, sources
-from lacuna.lookups import CLASSIFIER_FEATURES, lookup_frame
+from lacuna.lookups import (
+    CLASSIFIER_FEATURES,
+    GENDER_CATEGORIES,
+    TIME_PROPERTIES,
+    gender_categories,
+    lookup_frame,
+    time_properties,
+)
+from lacuna.operators.logs import SELECTION_BLOCK
 from lacuna.session import tune
 
 from .frames import (
@@ -73,13 +81,14 @@ def base_of(spark, sf_dir):
 def items_of(spark, sf_dir):
     entities = sources.entities(spark, entity_table(spark, sf_dir), "2021-08-02")
     links = sources.links(spark, link_table(spark, sf_dir), "1-URGENT")
-    return plans.item_features(entities, links)
+    return plans.item_features(entities, links, stage=sources.staged)
 
 
-def articles_of(spark, sf_dir, items=None):
+def articles_of(spark, sf_dir, items=None, history=None):
     items = items or items_of(spark, sf_dir)
     links = sources.links(spark, link_table(spark, sf_dir))
-    return plans.page_features(items, links, live_pages(spark, sf_dir), edits(spark, sf_dir))
+    history = history or edits(spark, sf_dir)
+    return plans.page_features(items, links, live_pages(spark, sf_dir), history, stage=sources.staged)
 
 
 def live_pages(spark, sf_dir, wikis=None):
@@ -158,6 +167,22 @@ def claims_pivot(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {PROPERTY}
+    SELECT qitem_id, max(CASE WHEN property = 'signup' THEN true ELSE false END) AS is_member,
+           json_extract_string(max(CASE WHEN property = 'purchase' THEN value END), '$.id') AS bought
+    FROM prop
+    WHERE (property = 'signup' AND json_extract_string(value, '$.id') = 'K5') OR property = 'purchase'
+    GROUP BY qitem_id"""
+)
+def claims_pivot_strict(spark, sf_dir):
+    """The same where the JSON is spelled with blanks, which only reading it understands."""
+    spaced = property_frame(spark, sf_dir).withColumn("value", F.replace("value", F.lit(":"), F.lit(" : ")))
+    return op.pivot_claims(
+        spaced, flags={"is_member": ("signup", "K5")}, values={"bought": "purchase"}, key="qitem_id", strict=True
+    )
+
+
 @query(f"WITH {LABEL} SELECT id, label FROM label")
 def labels_in(spark, sf_dir):
     return op.labels_in(categories(spark, sf_dir))
@@ -223,6 +248,36 @@ def in_category(spark, sf_dir):
     return op.in_category(load(spark, sf_dir, "customer"), "c_mktsegment", lookup)
 
 
+# The stored lists, as rows of SQL.
+TIME_ROWS = ", ".join(f"({i}, '{p}', '{n}')" for i, (p, n) in enumerate(TIME_PROPERTIES))
+GENDER_ROWS = ", ".join("({}, '{}')".format(i, q) for i, (_, q) in enumerate(GENDER_CATEGORIES))
+
+
+@query(
+    f"""WITH listed(i, property, label) AS (VALUES {TIME_ROWS})
+    SELECT l_orderkey, l_linenumber, property, label AS property_label
+    FROM lineitem JOIN listed ON l_linenumber % 7 * 3 = i"""
+)
+def stored_time_claims(spark, sf_dir):
+    """Lines of orders as claims about the stored time properties; some are about none of them."""
+    names = F.array(*[F.lit(p) for p, _ in TIME_PROPERTIES])
+    claims = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.coalesce(F.get(names, F.col("l_linenumber") % 7 * 3), F.lit("P1")).alias("property")
+    )
+    return op.time_claims(claims, time_properties(spark))
+
+
+@query(
+    f"""WITH listed(i, qid) AS (VALUES {GENDER_ROWS})
+    SELECT c_custkey, qid AS gender FROM customer JOIN listed ON c_custkey % 50 = i"""
+)
+def stored_genders(spark, sf_dir):
+    """Customers with an item of the stored gender list; every fifth has one that is not in it."""
+    known = F.array(*[F.lit(q) for _, q in GENDER_CATEGORIES])
+    gender = F.coalesce(F.get(known, (F.col("c_custkey") % 50).cast("int")), F.lit("Q0"))
+    return op.in_category(load(spark, sf_dir, "customer").select("c_custkey", gender.alias("gender")), "gender", gender_categories(spark))
+
+
 # --- pages ---------------------------------------------------------------------------------
 
 
@@ -366,7 +421,7 @@ def coverage_ratio(spark, sf_dir):
       ON a.gender = i.gender"""
 )
 def gender_article_overall(spark, sf_dir):
-    items = sources.staged(items_of(spark, sf_dir))
+    items = items_of(spark, sf_dir)
     return plans.number_of_gender_article_overall(articles_of(spark, sf_dir, items), items)
 
 
@@ -383,8 +438,8 @@ def gender_article_overall(spark, sf_dir):
     FROM series s FULL JOIN total t USING (wiki_db, year, month)"""
 )
 def gender_article_by_month(spark, sf_dir):
-    pages, history = live_pages(spark, sf_dir), edits(spark, sf_dir)
-    return plans.number_of_gender_article_by_month(articles_of(spark, sf_dir), pages, history)
+    pages, history = live_pages(spark, sf_dir), sources.staged(op.fold_history(edits(spark, sf_dir)))
+    return plans.number_of_gender_article_by_month(articles_of(spark, sf_dir, history=history), pages, history)
 
 
 @query(
@@ -499,7 +554,7 @@ def category_counts(spark, sf_dir):
         flags={"is_human": ("P31", "Q5")},
         values={"gender": "P21"},
     )
-    return op.category_counts(op.biographies(items), "gender", op.labels_in(entities))
+    return op.category_counts(op.biographies(items), "gender", op.labels_in(entities), stage=sources.staged)
 
 
 @query(
@@ -539,7 +594,13 @@ several AS (SELECT qitem_id, count(value) AS count FROM valued GROUP BY qitem_id
     FROM valued JOIN several USING (qitem_id) LEFT JOIN nation_label ON value = id GROUP BY ALL"""
 )
 def multi_valued(spark, sf_dir):
-    return op.multi_valued(property_frame(spark, sf_dir), "purchase", nation_labels(spark, sf_dir))
+    return purchases(spark, sf_dir)
+
+
+def purchases(spark, sf_dir, ordered=True):
+    return op.multi_valued(
+        property_frame(spark, sf_dir), "purchase", nation_labels(spark, sf_dir), stage=sources.staged, ordered=ordered
+    )
 
 
 @query(
@@ -551,7 +612,7 @@ def multi_valued(spark, sf_dir):
     FROM per_value GROUP BY qitem_id, count"""
 )
 def value_lists(spark, sf_dir):
-    lists = op.value_lists(multi_valued(spark, sf_dir))
+    lists = op.value_lists(purchases(spark, sf_dir, ordered=False))
     names = F.transform("label_list", lambda x: F.coalesce(x, F.lit("?")))
     return lists.select(
         "qitem_id",
@@ -562,17 +623,39 @@ def value_lists(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {VALUES}
+    SELECT qitem_id, count, string_agg(value, ',' ORDER BY value) AS ids,
+           string_agg(coalesce(label, '?'), ',' ORDER BY value) AS names
+    FROM valued JOIN several USING (qitem_id) LEFT JOIN nation_label ON value = id
+    WHERE value IS NOT NULL GROUP BY qitem_id, count"""
+)
+def value_lists_spelled(spark, sf_dir):
+    """Every value as often as the item has it."""
+    lists = op.value_lists(purchases(spark, sf_dir, ordered=False))
+    names = F.transform("label_list", lambda x: F.coalesce(x, F.lit("?")))
+    return lists.select(
+        "qitem_id",
+        "count",
+        F.array_join(fn.spelled_out("value_list", "times_list"), ",").alias("ids"),
+        F.array_join(fn.spelled_out(names, "times_list"), ",").alias("names"),
+    )
+
+
 @query(
     f"""WITH {NATION_LABEL}
-    SELECT vec_id, string_agg(coalesce(n.label, '?'), ',' ORDER BY pos) AS names
-    FROM (SELECT vec_id, unnest(['K' || label, 'K' || (label + 20), 'K' || label]) AS id, unnest([1, 2, 3]) AS pos
-          FROM embeddings) e
-    LEFT JOIN nation_label n USING (id) GROUP BY vec_id"""
+    SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN coalesce(names, '') END AS names
+    FROM embeddings LEFT JOIN (
+      SELECT vec_id, string_agg(coalesce(n.label, '?'), ',' ORDER BY pos) AS names
+      FROM (SELECT vec_id, unnest(['K' || label, 'K' || (label + 20), 'K' || label]) AS id, unnest([1, 2, 3]) AS pos
+            FROM embeddings) e
+      LEFT JOIN nation_label n USING (id) WHERE pos < vec_id % 5 GROUP BY vec_id) USING (vec_id)"""
 )
 def label_list(spark, sf_dir):
     ids = F.array(*[F.concat(F.lit("K"), c) for c in (F.col("label"), F.col("label") + 20, F.col("label"))])
-    vectors = load(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"))
-    listed = op.label_list(vectors, "ids", nation_labels(spark, sf_dir), "vec_id")
+    some = F.when(F.col("vec_id") % 5 != 0, F.slice(ids, 1, (F.col("vec_id") % 5 - 1).cast("int")))  # null, empty, 1 to 3
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", some.alias("ids"))
+    listed = op.label_list(vectors, "ids", nation_labels(spark, sf_dir))
     names = F.transform("labels", lambda x: F.coalesce(x, F.lit("?")))
     return listed.select("vec_id", F.array_join(names, ",").alias("names"))
 
@@ -644,6 +727,25 @@ def log_counts(spark, sf_dir):
     return op.parse_selection_log(load(spark, sf_dir, "orders").select(F.concat(*lines).alias("block")))
 
 
+@query(
+    """SELECT lower(o_orderstatus) || 'wiki' AS wiki, o_orderkey AS total_article, o_custkey AS ccc_groundtruth,
+           CAST(2.5 AS DOUBLE) AS ccc_groundtruth_p, CAST(7 AS BIGINT) AS test_article, o_custkey AS predict_positive,
+           CAST(15.5 AS DOUBLE) AS predict_positive_p, CAST(9.25 AS DOUBLE) AS ccc_final_p
+    FROM orders"""
+)
+def log_blocks(spark, sf_dir):
+    """One log per customer, taken apart: lines that only begin like the marker do not part a block."""
+    lines = [
+        F.lit("\nThis Wikipedia "), wiki("o_orderstatus"), F.lit(" has "), "o_orderkey", F.lit(" articles"),
+        F.lit("\nThis Wikipedias list is long\nThis Wikipedia: no\nThere were already "), "o_custkey", F.lit(" (2.5%)"),
+        F.lit("\nThis Wikipedi\nThis algorithm CLASSIFIED "), "o_custkey", F.lit(" of 50 from 7 (15.5%)"),
+        F.lit("\nnoise\nWith this: 9.25"),
+    ]
+    blocks = load(spark, sf_dir, "orders").select("o_custkey", F.concat(*lines).alias("lines"))
+    logs = blocks.groupBy("o_custkey").agg(F.concat(F.lit("With no block\nThis Wikipedian"), F.array_join(F.collect_list("lines"), "")).alias("log"))
+    return op.parse_selection_log(op.split_blocks(logs, "log", SELECTION_BLOCK))
+
+
 @query(
     "SELECT 'l' || label || 'wiki' AS wiki, CAST(label + 0.25 AS DOUBLE) AS fit_score, "
     + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(CLASSIFIER_FEATURES))
@@ -786,7 +888,8 @@ def extract_features(spark, sf_dir):
 
 @query(
     """SELECT doc_id AS i, octet_length(encode(text)) AS bytes,
-           CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS blanks
+           CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS blanks,
+           CAST(length(text) - length(replace(text, chr(10), '')) AS DOUBLE) AS breaks, 9 AS empty, 12 AS cells
     FROM documents"""
 )
 def decode_images(spark, sf_dir):
@@ -798,6 +901,9 @@ def decode_images(spark, sf_dir):
         "i",
         fn.element("image_arr", 0).cast("bigint").alias("bytes"),
         fn.element("image_arr", 1).cast("double").alias("blanks"),
+        fn.element("image_arr", 2).cast("double").alias("breaks"),
+        F.size(F.filter(F.slice("image_arr", 4, 99), lambda x: x == 0)).alias("empty"),
+        F.size("image_arr").alias("cells"),
     )
 
 

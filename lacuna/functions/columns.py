@@ -15,6 +15,9 @@ HUMAN = "Q5"
 DECIMAL = r"(\d+\.\d*)"
 INTEGER = r"(\d+)"
 
+# The HTML text around a picture.
+IMAGE_TAG = ('<img src="data:image/png;base64,', '">')
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -36,14 +39,16 @@ def entity_id(value: str | Column) -> Column:
     return F.get_json_object(_col(value), "$.id")
 
 
-def claim_matches(prop: str, qid: str, strict: bool = False) -> Column:
+def claim_matches(prop: str, qid: str, strict: bool = False, claim: Column | None = None) -> Column:
     """True where a claim (``property, value``) has this property and points to the entity ``qid``.
+    The claim is a row of its own, or the struct ``claim``.
 
     The default looks for ``"id":"<qid>"`` in the JSON text, which needs the compact spacing the
     dumps use; ``strict`` reads the JSON instead.
     """
-    same_entity = entity_id("value") == qid if strict else F.col("value").contains(f'"id":"{qid}"')
-    return (F.col("property") == prop) & same_entity
+    of, value = (F.col("property"), F.col("value")) if claim is None else (claim["property"], claim["value"])
+    same_entity = entity_id(value) == qid if strict else value.contains(f'"id":"{qid}"')
+    return (of == prop) & same_entity
 
 
 def percent(part: str | Column, whole: str | Column) -> Column:
@@ -58,7 +63,7 @@ def decode_base64(c: str | Column) -> Column:
 
 def html_image(b64: str | Column) -> Column:
     """An HTML image tag with the picture inlined; null for a null picture."""
-    return F.concat(F.lit('<img src="data:image/png;base64,'), _col(b64), F.lit('">'))
+    return F.concat(F.lit(IMAGE_TAG[0]), _col(b64), F.lit(IMAGE_TAG[1]))
 
 
 def normalize_pixels(c: str | Column) -> Column:

@@ -4,6 +4,7 @@ from .claims import (
     append_value,
     biographies,
     claims_of,
+    entity_features,
     explode_claims,
     in_category,
     pivot_claims,
@@ -20,8 +21,8 @@ from .inference import (
 )
 from .labels import add_label, label_list, labels_in, labels_in_use
 from .linking import add_missing_flag, drop_ambiguous, pages_of_items
-from .logs import parse_fit_log, parse_selection_log
-from .pages import add_first_edit, first_edit_of, first_edits, wiki_totals
+from .logs import parse_fit_log, parse_selection_log, split_blocks
+from .pages import add_first_edit, first_edit_of, first_edits, fold_history, wiki_totals
 from .quality import profile, summary_stats
 from .ratios import (
     category_counts,
@@ -49,12 +50,14 @@ __all__ = [
     "decode_images",
     "detect_summary",
     "drop_ambiguous",
+    "entity_features",
     "explode_claims",
     "explode_json",
     "extract_features",
     "first_edit_of",
     "first_edits",
     "flag_ratio",
+    "fold_history",
     "in_category",
     "label_list",
     "labels_in",
@@ -75,6 +78,7 @@ __all__ = [
     "running_sum",
     "share_of_total",
     "slice_metric",
+    "split_blocks",
     "summary_stats",
     "time_claims",
     "top_k",

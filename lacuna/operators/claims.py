@@ -32,11 +32,12 @@ def claims_of(props: DataFrame, prop: str) -> DataFrame:
     return require(props, "property").where(F.col("property") == prop)
 
 
-def _wanted(flags: Flags, values: Values, strict: bool) -> Column:
+def _wanted(flags: Flags, values: Values, strict: bool, claim: Column | None = None) -> Column:
     """True for the claims some feature needs."""
-    tests = [claim_matches(p, q, strict) for p, q in flags.values()]
+    tests = [claim_matches(p, q, strict, claim) for p, q in flags.values()]
     if values:
-        tests.append(F.col("property").isin(sorted(set(values.values()))))
+        of = F.col("property") if claim is None else claim["property"]
+        tests.append(of.isin(sorted(set(values.values()))))
     if not tests:
         raise ValueError("name at least one flag or value")
     return reduce(Column.__or__, tests)
@@ -53,23 +54,59 @@ def pivot_claims(
 
     ``flags`` maps a column name to ``(property, entity)``: true when some claim says so.
     ``values`` maps a column name to a property: the entity it points to, the largest JSON text
-    winning where an item has several. Claims of other kinds are dropped where they are scanned,
-    and a partial aggregate folds the rows of an item before they travel.
+    winning where an item has several. Claims of other kinds are dropped where they are scanned.
+
+    A maximum of texts is found by sorting, so equal claims are folded by hash first, and only the
+    claims left are brought together by item and sorted.
     """
     flags, values = flags or {}, values or {}
     features = [
         F.coalesce(F.max(claim_matches(p, q, strict)), F.lit(False)).alias(name) for name, (p, q) in flags.items()
     ]
     features += [F.max(F.when(F.col("property") == p, F.col("value"))).alias(name) for name, p in values.items()]
-    pivoted = (
-        require(claims, key, "property", "value")
-        .where(_wanted(flags, values, strict))
-        .groupBy(key)
-        .agg(*features)
-    )
+    wanted = require(claims, key, "property", "value").where(_wanted(flags, values, strict))
+    pivoted = wanted.select(key, "property", "value").distinct().repartition(key).groupBy(key).agg(*features)
     return pivoted.select(key, *flags, *[entity_id(name).alias(name) for name in values])
 
 
+def entity_features(
+    entities: DataFrame,
+    flags: Flags | None = None,
+    values: Values | None = None,
+    key: str = "id",
+    strict: bool = False,
+    all_items: bool = False,
+) -> DataFrame:
+    """The features of ``pivot_claims`` from the nested claims of entities, one row per ``key``.
+
+    Each row is folded where it stands, by array functions over the two leaves of a claim that are
+    read; claims are never exploded. Entities without a claim of interest are left out, or with
+    ``all_items`` kept with false flags and null values. An entity in several rows has the claims of
+    all of them: equal rows are folded by hash, and only what is left is brought together.
+    """
+    flags, values = flags or {}, values or {}
+    property_, value = F.col("claims.mainSnak.property"), F.col("claims.mainSnak.datavalue.value")
+    claims = F.filter(
+        F.arrays_zip(property_.alias("property"), value.alias("value")), lambda c: _wanted(flags, values, strict, c)
+    )
+    found = require(entities, key, "claims").select(key, claims.alias("wanted"))
+    if not all_items:
+        found = found.where(F.size("wanted") > 0)
+
+    def said(prop: str, qid: str) -> Column:
+        matches = F.exists("wanted", lambda c: F.coalesce(claim_matches(prop, qid, strict, c), F.lit(False)))
+        return F.coalesce(matches, F.lit(False))
+
+    def largest(prop: str) -> Column:
+        return F.array_max(F.transform(F.filter("wanted", lambda c: c["property"] == prop), lambda c: c["value"]))
+
+    features = [said(p, q).alias(name) for name, (p, q) in flags.items()]
+    features += [largest(p).alias(name) for name, p in values.items()]
+    rows = found.select(key, *features).distinct().repartition(key).groupBy(key)
+    rows = rows.agg(*[F.max(name).alias(name) for name in [*flags, *values]])
+    return rows.select(key, *flags, *[entity_id(name).alias(name) for name in values])
+
+
 def append_features(
     items: DataFrame,
     props: DataFrame,

@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import require
-from ..sources.sinks import staged
+from ..sources.sinks import as_it_is
+
+#: What keeps a frame for several reads: ``sources.Staging(spark)``, or nothing.
+Stage = Callable[[DataFrame], DataFrame]
 
 
 def labels_in(entities: DataFrame, lang: str = "en") -> DataFrame:
@@ -31,39 +36,33 @@ def add_label(df: DataFrame, col: str, labels: DataFrame, name: str = "label", h
     return require(df, col).join(names, col, how).select(*df.columns, name)
 
 
-def labels_in_use(labels: DataFrame, df: DataFrame, col: str) -> DataFrame:
-    """The labels of the entities that occur in ``col`` of a staged frame, staged themselves.
+def labels_in_use(labels: DataFrame, df: DataFrame, col: str, stage: Stage = as_it_is) -> DataFrame:
+    """The labels of the entities that occur in ``col``.
 
-    Both the entities and their labels come back from files of known size. Where they are few, as
-    categories are, Catalyst broadcasts them: neither the labels of the snapshot nor ``df`` is then
-    shuffled, and no entity is a hot key. Where they are many it joins them by shuffling.
+    With ``stage`` (``sources.Staging``) both the entities and their labels come back from files of
+    known size; ``df`` is best staged itself. Where they are few, as categories are, Catalyst
+    broadcasts them: neither the labels of the snapshot nor ``df`` is then shuffled, and no entity
+    is a hot key. Where they are many it joins them by shuffling.
     """
-    used = staged(require(df, col).select(F.col(col).alias("id")).distinct())
-    return staged(require(labels, "id", "label").join(used, "id", "left_semi").select("id", "label"))
+    used = stage(require(df, col).select(F.col(col).alias("id")).distinct())
+    return stage(require(labels, "id", "label").join(used, "id", "left_semi").select("id", "label"))
 
 
-def label_list(
-    df: DataFrame,
-    array_col: str,
-    labels: DataFrame,
-    key: str | list[str],
-    name: str = "labels",
-) -> DataFrame:
+def label_list(df: DataFrame, array_col: str, labels: DataFrame, name: str = "labels") -> DataFrame:
     """Add an array with the label of every id in ``array_col``, in place; an unknown id gives null.
 
-    ``key`` identifies the rows of ``df``. An array is taken apart and put together again, so no
-    group is larger than the array it came from.
+    What comes out depends on the array alone: equal arrays are labelled once, and rows need no key.
+    An array is taken apart and put together again, so no group is larger than an array.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    require(df, array_col, *keys)
-    parts = df.select(*keys, F.posexplode(array_col).alias("pos", "id"))
+    arrays = require(df, array_col).select(F.col(array_col).alias("ids")).where(F.col("ids").isNotNull()).distinct()
+    parts = arrays.select("ids", F.posexplode("ids").alias("pos", "id"))
     entry = F.struct("pos", "label")
     rebuilt = (
         add_label(parts, "id", labels, "label", "left")
-        .groupBy(*keys)
+        .groupBy("ids")
         .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        .select(*keys, F.transform("entries", lambda e: e["label"]).alias(name))
+        .select(F.col("ids").alias(array_col), F.transform("entries", lambda e: e["label"]).alias(name))
     )
     # An empty array gives no parts: its label array is empty, that of a null array null.
     empty = F.when(F.col(array_col).isNotNull(), F.array().cast("array<string>"))
-    return df.join(rebuilt, keys, "left").select(*df.columns, F.coalesce(name, empty).alias(name))
+    return df.join(rebuilt, array_col, "left").select(*df.columns, F.coalesce(name, empty).alias(name))

@@ -18,6 +18,10 @@ GROUNDTRUTH_LINE = "There were already "
 PREDICTION_LINE = "This algorithm CLASSIFIED "
 FINAL_LINE = "With "
 
+# The patterns of a wiki and of a score in a line of the log.
+WIKI = "([a-z]+wiki)"
+SCORE = r": (\d+\.\d*)"
+
 
 def _last(text: Column, pattern: str) -> Column:
     """Last match of a pattern, null when there is none: later lines of a block overrule earlier."""
@@ -33,6 +37,13 @@ def _first_line() -> Column:
     return F.substring_index("block", "\n", 1)
 
 
+def split_blocks(df: DataFrame, text_col: str, marker: str) -> DataFrame:
+    """A text column as one row per block, column ``block``: from one line that begins with ``marker``
+    to the next, without the marker. Text before the first such line is dropped."""
+    parts = F.split(F.concat(F.lit("\n"), require(df, text_col)[text_col]), rf"\n\Q{marker}\E")
+    return df.select(F.explode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("block"))
+
+
 def parse_fit_log(
     blocks: DataFrame,
     features: Sequence[str] = CLASSIFIER_FEATURES,
@@ -55,7 +66,7 @@ def parse_fit_log(
         .where(F.col("fit").isNotNull())
         .select(
             "wiki",
-            F.regexp_extract("fit", r": (\d+\.\d*)", 1).try_cast("double").alias("fit_score"),
+            F.regexp_extract("fit", SCORE, 1).try_cast("double").alias("fit_score"),
             weights.alias("weights"),
         )
         .select("wiki", "fit_score", *named_elements("weights", features))
@@ -68,7 +79,7 @@ def parse_selection_log(blocks: DataFrame) -> DataFrame:
     A block without its closing line gives no record; another missing line gives nulls.
     """
     head, truth, prediction = _first_line(), F.col("truth"), F.col("prediction")
-    wiki = F.nullif(F.regexp_extract(head, "([a-z]+wiki)", 1), F.lit(""))
+    wiki = F.nullif(F.regexp_extract(head, WIKI, 1), F.lit(""))
     return (
         require(blocks, "block")
         .where(F.contains("block", F.lit(f"\n{FINAL_LINE}")))

@@ -22,16 +22,30 @@ def one_row_per(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row")).select(*keys, "row.*")
 
 
+def fold_history(history: DataFrame) -> DataFrame:
+    """The different ``page_id, wiki_db`` and first-edit times of a history, null times included.
+
+    A history repeats its pages for every action on them. A hash aggregate folds it in each task, so
+    the raw rows are neither sorted nor shuffled. What several steps read of one history is best
+    folded once and staged; the steps below take it like any history.
+    """
+    return require(history, *PAGE, TIME).select(*PAGE, TIME).distinct()
+
+
 def first_edits(history: DataFrame) -> DataFrame:
-    """One row per page of the history: its latest non-null first-edit time, else null."""
-    return require(history, *PAGE, TIME).groupBy(*PAGE).agg(F.max(TIME).alias(TIME))
+    """One row per page of the history: its latest non-null first-edit time, else null.
+
+    A maximum of texts is found by sorting. So the history is folded first, the few rows left are
+    brought together by page, and only those are sorted.
+    """
+    return fold_history(history).repartition(*PAGE).groupBy(*PAGE).agg(F.max(TIME).alias(TIME))
 
 
 def add_first_edit(df: DataFrame, history: DataFrame, unique: bool = False) -> DataFrame:
     """Add the first-edit time to pages; pages the history does not know are dropped.
 
     The result has one row per page. ``unique=True`` says that ``df`` has that already and saves
-    an aggregate. The history is aggregated before the join, on the keys of the join.
+    an aggregate. The history is folded before the join, on the keys of the join.
     """
     require(df, *PAGE)
     rows = df if unique else one_row_per(df, PAGE)

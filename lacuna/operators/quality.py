@@ -11,7 +11,8 @@ from ..functions import require
 
 QUARTILES = (0.25, 0.5, 0.75)
 KNOWN = ("column", "count", "mean", "std", "min", "max")
-SLOTS = 1_000
+#: Slots on each side of a wanted rank.
+AROUND = 10
 
 
 def profile(
@@ -42,18 +43,19 @@ def summary_stats(
     """One row per column: ``count, mean, std, min``, one column per probability, ``max``.
 
     Quantiles are exact and interpolated between neighbours. Spark's exact ``percentile`` keeps
-    all different values of a column in one buffer; this finds them in two passes that do not:
+    all different values of a column in one buffer; this finds them without:
 
-    1. a sketch gives values that certainly stand below and above each wanted rank;
-    2. rows below are only counted, rows between are counted per value and per slot of equal
-       width; then only the slots that hold the wanted ranks are sorted.
+    1. a sketch gives bounds around each wanted rank, between which about equally many rows stand;
+    2. the rows of each slot between two bounds are counted exactly;
+    3. only the slots that hold a wanted rank are sorted, each by itself.
 
-    The counted part is about ``4 / accuracy`` of the different values, or all of them when the
-    column has few rows, where the sketch's bound on the rank is no help. A finer sketch counts
-    less and weighs more: each task sends one of about ``accuracy`` entries.
+    The counts decide which slots those are, so a sketch that is off costs time and never a result.
+    A finer sketch gives smaller slots (about ``1 / accuracy`` of the rows around a wanted rank) and
+    weighs more: each task sends one of about ``accuracy`` entries.
     """
-    marks = _marks(require(df, *cols), cols, probabilities, accuracy)
-    ranked = _ranked(_bracket(df, cols, marks))
+    edges = _edges(probabilities, accuracy)
+    marks = _marks(require(df, *cols), cols, edges, accuracy)
+    ranked = _ranked(_slotted(df, cols, marks, len(edges)), marks, probabilities)
 
     def value_at(rank):
         return F.min(F.when(F.col("upto") > rank, F.col("value")))
@@ -71,10 +73,14 @@ def summary_stats(
     )
 
 
-def _marks(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], accuracy: int) -> DataFrame:
-    """One row per column and probability: the wanted rank and the values that bracket it."""
-    margin = 2.0 / accuracy
-    edges = [max(p - margin, 0.0) for p in probabilities] + [min(p + margin, 1.0) for p in probabilities]
+def _edges(probabilities: Sequence[float], accuracy: int) -> list[float]:
+    """The shares of rows at which slots are cut: around each probability, as fine as the sketch."""
+    steps = range(-AROUND, AROUND + 1)
+    return sorted({min(max(p + k / accuracy, 0.0), 1.0) for p in probabilities for k in steps})
+
+
+def _marks(df: DataFrame, cols: Sequence[str], edges: Sequence[float], accuracy: int) -> DataFrame:
+    """One row per column: its statistics and the bounds of its slots, in order."""
 
     def described(c: str) -> Column:
         value = F.col(c).cast("double")
@@ -85,56 +91,51 @@ def _marks(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float], a
             F.stddev_samp(value).alias("std"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),
-            F.percentile_approx(value, edges, accuracy).alias("edges"),
+            F.percentile_approx(value, edges, accuracy).alias("bounds"),
         )
 
-    stats = df.agg(F.array(*[described(c) for c in cols]).alias("stats")).select(F.inline("stats"))
-    places = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for i, p in enumerate(probabilities)])
-    few = F.col("count") < 10 * accuracy
-    return stats.select("*", F.inline(places)).select(
-        *KNOWN,
-        "p",
-        ((F.col("count") - 1) * F.col("p")).alias("rank"),
-        F.when(few, F.col("min")).otherwise(F.get("edges", F.col("i"))).alias("low"),
-        F.when(few, F.col("max")).otherwise(F.get("edges", F.col("i") + len(probabilities))).alias("high"),
-    )
+    return df.agg(F.array(*[described(c) for c in cols]).alias("marks")).select(F.inline("marks"))
 
 
-def _bracket(df: DataFrame, cols: Sequence[str], marks: DataFrame) -> DataFrame:
-    """Rows per value of each bracket, and of all that stands below it (slot -1, null value).
+def _slot_of(value: Column, bounds: Column, low: int, high: int) -> Column:
+    """How many of the bounds (in order) do not exceed a value: a binary search, as nested tests."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    below = _slot_of(value, bounds, low, middle)
+    return F.when(value < F.get(bounds, F.lit(middle)), below).otherwise(_slot_of(value, bounds, middle + 1, high))
 
-    There are as many marks as columns and probabilities were asked for, so broadcasting them is
-    safe at any size of the input. They carry the other statistics along. A column without a
-    value keeps its null rows, so that it shows up with a count of zero.
-    """
-    value, low, high = F.col("value"), F.col("low"), F.col("high")
-    inside = F.coalesce(F.floor(F.try_divide(value - low, high - low) * SLOTS), F.lit(0))
-    slot = F.when(value == high, SLOTS).when(value >= low, inside).otherwise(-1)
+
+def _slotted(df: DataFrame, cols: Sequence[str], marks: DataFrame, bounds: int) -> DataFrame:
+    """``column, value, slot`` of all values. There is one row of marks per column asked for, so
+    broadcasting them is safe at any size of the input."""
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    return (
-        df.select(F.inline(entries))
-        .join(F.broadcast(marks), "column")
-        .where((value <= high) | (F.col("count") == 0))
-        .groupBy(*KNOWN, "p", "rank", slot.alias("slot"), F.when(value >= low, value).alias("value"))
-        .agg(F.count("*").alias("rows"))
-    )
+    slot = _slot_of(F.col("value"), F.col("bounds"), 0, bounds)
+    rows = df.select(F.inline(entries)).where(F.col("value").isNotNull())
+    return rows.join(F.broadcast(marks.select("column", "bounds")), "column").select("column", "value", slot.alias("slot"))
 
 
-def _ranked(bracket: DataFrame) -> DataFrame:
+def _ranked(slotted: DataFrame, marks: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     """The values of the slots that hold a wanted rank, with the number of rows up to each value."""
-    along = Window.partitionBy("column", "p").orderBy("slot")
+    along = Window.partitionBy("column").orderBy("slot")
     slots = (
-        bracket.groupBy("column", "p", "count", "rank", "slot")
-        .agg(F.sum("rows").alias("in_slot"))
+        slotted.groupBy("column", "slot")
+        .agg(F.count("*").alias("in_slot"))
         .withColumn("before", F.sum("in_slot").over(along) - F.col("in_slot"))
     )
+    wanted = F.explode(F.array(*[F.lit(p) for p in probabilities]))
+    ranks = marks.select(*KNOWN, wanted.alias("p")).withColumn("rank", (F.col("count") - 1) * F.col("p"))
 
     def holds(rank: Column) -> Column:
         return (F.col("before") <= rank) & (rank < F.col("before") + F.col("in_slot"))
 
-    # Of at most SLOTS + 2 slots per column and probability one or two are kept.
-    hits = slots.where(holds(F.floor("rank")) | holds(F.ceil("rank")) | (F.col("count") == 0))
-    upwards = Window.partitionBy("column", "p", "slot").orderBy("value")
-    return bracket.join(
-        F.broadcast(hits.select("column", "p", "slot", "before")), ["column", "p", "slot"]
-    ).withColumn("upto", F.col("before") + F.sum("rows").over(upwards))
+    # Few rows: for each column and probability the one or two slots that hold its rank.
+    hits = ranks.join(F.broadcast(slots), "column", "left").where(
+        holds(F.floor("rank")) | holds(F.ceil("rank")) | (F.col("count") == 0)
+    )
+    in_use = hits.select("column", "slot", "before").distinct()
+    values = slotted.join(F.broadcast(in_use), ["column", "slot"]).groupBy("column", "slot", "before", "value")
+    upwards = Window.partitionBy("column", "slot").orderBy("value")
+    upto = values.agg(F.count("*").alias("rows")).withColumn("upto", F.col("before") + F.sum("rows").over(upwards))
+    # A column without a value has no slot, and shows up with a count of zero.
+    return hits.select(*KNOWN, "p", "rank", "slot").join(upto.select("column", "slot", "value", "upto"), ["column", "slot"], "left")

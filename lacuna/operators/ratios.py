@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entity_id, percent, require
-from ..sources.sinks import staged
+from ..sources.sinks import as_it_is
 from .claims import claims_of
-from .labels import add_label
+from .labels import Stage, add_label, labels_in_use
 from .series import MONTH, monthly_counts, running_sum
 
 
@@ -131,13 +131,15 @@ def monthly_pct(series: DataFrame, totals: DataFrame, wiki: str = "wiki_db") ->
     )
 
 
-def category_counts(items: DataFrame, col: str, labels: DataFrame, label: str = "label") -> DataFrame:
+def category_counts(
+    items: DataFrame, col: str, labels: DataFrame, label: str = "label", stage: Stage = as_it_is
+) -> DataFrame:
     """Items per category with its label, largest first; the null category has no label and goes.
 
-    Items are counted before the label is looked up, so only categories are joined; they are
-    staged, so that few of them are broadcast and the labels are not shuffled.
+    Items are counted before the label is looked up, so only categories are joined; with ``stage``
+    (``sources.Staging``) few of them are broadcast and the labels are not shuffled.
     """
-    counted = staged(require(items, col).groupBy(col).agg(F.count("*").alias("count")))
+    counted = stage(require(items, col).groupBy(col).agg(F.count("*").alias("count")))
     return add_label(counted, col, labels, label).orderBy(F.desc("count"), col)
 
 
@@ -148,12 +150,16 @@ def multi_valued(
     key: str = "qitem_id",
     name: str = "value",
     label: str = "label",
+    stage: Stage = as_it_is,
+    ordered: bool = True,
 ) -> DataFrame:
     """Items with more than one value of a property: one row per item and different value.
 
     ``count`` is the number of values of the item, repeats included, and ``times`` how often this
     one occurs; null values are not counted. An id without a label keeps its row with a null
-    label. In long form no item, however many values it has, is gathered in one place.
+    label. In long form no item, however many values it has, is gathered in one place. With
+    ``stage`` (``sources.Staging``) the rows are written once and only the labels in use are joined.
+    ``ordered=False`` leaves out the last sort, for a step that sorts anyway.
     """
     per_value = (
         claims_of(require(props, key, "value"), prop)
@@ -163,15 +169,15 @@ def multi_valued(
         .where(F.col("times") > 0)  # a null id counts nothing; a test of the id would read the JSON twice
     )
     several = per_value.groupBy(key).agg(F.sum("times").alias("count")).where(F.col("count") > 1)
-    return (
-        add_label(per_value.join(several, key), name, labels, label, "left")
-        .select(key, "count", name, label, "times")
-        .orderBy(F.desc("count"), key, name)
-    )
+    found = stage(per_value.join(several, key))
+    used = labels if stage is as_it_is else labels_in_use(labels, found, name, stage)
+    rows = add_label(found, name, used, label, "left").select(key, "count", name, label, "times")
+    return rows.orderBy(F.desc("count"), key, name) if ordered else rows
 
 
 def value_lists(values: DataFrame, key: str = "qitem_id", name: str = "value", label: str = "label") -> DataFrame:
-    """The result of ``multi_valued`` with one row per item: ``count`` and three arrays side by side.
+    """The result of ``multi_valued`` (take ``ordered=False``) with one row per item: ``count`` and three
+    arrays side by side.
 
     They hold the ids, the labels (null where unknown) and how often each occurs, sorted by id.
     Every different value stands once, so a row is bounded by the number of categories and not by

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import require
 from ..functions.columns import HUMAN
-from ..operators.claims import explode_claims, pivot_claims
-from ..operators.labels import add_label, labels_in, labels_in_use
+from ..operators.claims import entity_features
+from ..operators.labels import Stage, add_label, labels_in, labels_in_use
 from ..operators.linking import add_missing_flag, drop_ambiguous
 from ..operators.pages import PAGE, add_first_edit
-from ..sources.sinks import staged, staging_folder
+from ..sources.sinks import as_it_is
 from ..sources.tables import wiki_filter
 
 # The properties "instance of", "sex or gender" and "sexual orientation".
@@ -25,6 +25,7 @@ def item_features(
     links: DataFrame,
     labels: DataFrame | None = None,
     strict: bool = False,
+    stage: Stage = as_it_is,
 ) -> DataFrame:
     """``qid, is_human, gender, gender_label, zero_ill`` of the items that are human or have a gender.
 
@@ -33,19 +34,17 @@ def item_features(
     no English label are dropped. ``labels`` (``id, label``) replaces the labels found in
     ``entities``.
 
-    Where the session has a checkpoint folder the items are staged there, and then the labels of
-    the genders they have: so a gender that most items share is not shuffled into one place.
+    With ``stage`` (``sources.Staging``) the items are written at once, and then the labels of the
+    genders they have: so a gender that most items share is not shuffled into one place. Without it
+    the frame is lazy.
     """
-    items = pivot_claims(
-        explode_claims(entities),
-        flags={"is_human": (INSTANCE_OF, HUMAN)},
-        values={"gender": GENDER},
-        strict=strict,
+    items = entity_features(
+        entities, flags={"is_human": (INSTANCE_OF, HUMAN)}, values={"gender": GENDER}, strict=strict
     ).withColumnRenamed("id", "qid")
     names = labels_in(entities) if labels is None else labels
-    if staging_folder(entities.sparkSession):
-        items = staged(items)
-        names = labels_in_use(names, items, "gender")
+    if stage is not as_it_is:
+        items = stage(items)
+        names = labels_in_use(names, items, "gender", stage)
     return add_missing_flag(add_label(items, "gender", names, "gender_label"), links)
 
 
@@ -55,6 +54,7 @@ def page_features(
     pages: DataFrame,
     history: DataFrame,
     wikis: str | None = None,
+    stage: Stage = as_it_is,
 ) -> DataFrame:
     """The live articles the items link to, with all item columns, title and first-edit time.
 
@@ -63,8 +63,8 @@ def page_features(
     articles (see ``sources.pages``); repeated rows of a page make it ambiguous, and are counted
     before the join instead of multiplying its rows.
 
-    The linked articles are read three times, for themselves and to count their two keys, so they
-    are staged in the checkpoint folder where the session has one.
+    The linked articles are read three times, for themselves and to count their two keys: with
+    ``stage`` (``sources.Staging``) they are written once, without it the frame is lazy.
     """
     require(items, "qid")
     linked = wiki_filter(require(links, "item_id", "wiki_db", "page_id", "page_title"), wikis).select(
@@ -72,5 +72,5 @@ def page_features(
     )
     live = require(pages, *PAGE).groupBy(*PAGE).agg(F.count("*").alias("copies"))
     found = items.join(linked, "qid").join(live, PAGE)
-    articles = staged(found.select(*items.columns, *PAGE, "page_title", "copies"))
+    articles = stage(found.select(*items.columns, *PAGE, "page_title", "copies"))
     return add_first_edit(drop_ambiguous(articles, copies="copies").drop("copies"), history, unique=True)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions.columns import HUMAN
-from ..operators.claims import append_features, explode_claims
-from ..operators.labels import add_label, labels_in
+from ..operators.claims import entity_features, explode_claims
+from ..operators.labels import Stage, add_label, labels_in
 from ..operators.linking import add_missing_flag, pages_of_items
 from ..operators.pages import add_first_edit, first_edit_of, wiki_totals
 from .frames import GENDER, INSTANCE_OF, SEXUAL_ORIENTATION, item_features, page_features
@@ -23,7 +23,8 @@ class Snapshots:
 
     ``snapshot`` below is the dated snapshot of entities and links (``2021-08-02``), ``month`` the
     monthly one of pages and history (``2021-07``); ``wikis`` is a space-separated text and ``None``
-    means all. Every method returns a lazy frame.
+    means all. Every method returns a lazy frame; only what gets a ``stage`` (``sources.Staging``) runs
+    at once and is written to the checkpoint folder.
     """
 
     spark: SparkSession
@@ -59,13 +60,17 @@ class Snapshots:
         return add_missing_flag(df, self.links(snapshot))
 
     def item_frame(
-        self, snapshot: str, links_in: str | None = None, labels: DataFrame | None = None
+        self,
+        snapshot: str,
+        links_in: str | None = None,
+        labels: DataFrame | None = None,
+        stage: Stage = sources.as_it_is,
     ) -> DataFrame:
         """Item features; ``zero_ill`` looks at all link snapshots, or at ``links_in``.
 
         ``labels`` (``id, label``) replaces the English labels of the whole snapshot.
         """
-        return item_features(self.entities(snapshot), self.links(links_in), labels)
+        return item_features(self.entities(snapshot), self.links(links_in), labels, stage=stage)
 
     def item_ids(self, snapshot: str) -> DataFrame:
         return self.entities(snapshot).select(F.col("id").alias("qitem_id"))
@@ -76,21 +81,31 @@ class Snapshots:
 
     def described_items(self, snapshot: str) -> DataFrame:
         """``qitem_id, is_human, gender, sexual_orientation`` of all items."""
-        return append_features(
-            self.item_ids(snapshot),
-            self.properties(snapshot),
+        return entity_features(
+            self.entities(snapshot),
             flags={"is_human": (INSTANCE_OF, HUMAN)},
             values={"gender": GENDER, "sexual_orientation": SEXUAL_ORIENTATION},
-        )
+            all_items=True,
+        ).withColumnRenamed("id", "qitem_id")
 
     # Pages
 
     def pages_of_items(self, items: DataFrame, snapshot: str, wikis: str | None = None) -> DataFrame:
         return pages_of_items(items, self.links(snapshot), wikis)
 
-    def page_frame(self, items: DataFrame, snapshot: str, month: str, wikis: str | None = None) -> DataFrame:
-        """The live, unambiguous articles of the items with their first-edit time."""
-        return page_features(items, self.links(snapshot), self.pages(month, wikis), self.edits(month, wikis), wikis)
+    def page_frame(
+        self,
+        items: DataFrame,
+        snapshot: str,
+        month: str,
+        wikis: str | None = None,
+        edits: DataFrame | None = None,
+        stage: Stage = sources.as_it_is,
+    ) -> DataFrame:
+        """The live, unambiguous articles of the items with their first-edit time. ``edits`` replaces the
+        history of the month, for example by one that is folded and staged for several metrics."""
+        history = self.edits(month, wikis) if edits is None else edits
+        return page_features(items, self.links(snapshot), self.pages(month, wikis), history, wikis, stage)
 
     def with_first_edit(self, df: DataFrame, month: str) -> DataFrame:
         return add_first_edit(df, self.edits(month))
@@ -107,5 +122,8 @@ class Snapshots:
         edits = self.edits(month, wikis if match_wiki else None)
         return wiki_totals(self.pages(month, wikis), edits, mode, match_wiki)
 
-    def article_share_by_month(self, page_frame: DataFrame, month: str, until: str | None = None) -> DataFrame:
-        return number_of_gender_article_by_month(page_frame, self.pages(month), self.edits(month), until)
+    def article_share_by_month(
+        self, page_frame: DataFrame, month: str, until: str | None = None, edits: DataFrame | None = None
+    ) -> DataFrame:
+        history = self.edits(month) if edits is None else edits
+        return number_of_gender_article_by_month(page_frame, self.pages(month), history, until)

@@ -1,8 +1,10 @@
 from .files import ingest_images, read_decoded_images, read_features, read_images, read_log_blocks, read_lookup
-from .sinks import persisted, save_external, staged, staging_folder, write_parquet
+from .sinks import Staging, as_it_is, persisted, save_external, staged, staging_folder, write_parquet
 from .tables import entities, history, links, pages, wiki_filter
 
 __all__ = [
+    "Staging",
+    "as_it_is",
     "entities",
     "history",
     "ingest_images",

@@ -72,47 +72,57 @@ def ingest_images(
     spark: SparkSession,
     labelled_paths: Mapping[str, int],
     decode_fn: Callable[[bytes], np.ndarray],
-    per_class_limit: int | None = None,
+    per_class_sample: int | None = None,
     pattern: str = "*",
+    keep_unreadable: bool = False,
 ) -> DataFrame:
     """Labelled folders of files to one image frame (``LABELLED_IMAGE``).
 
-    Files ``decode_fn`` cannot read are skipped. With ``per_class_limit`` only the first files of
-    each folder, by path, are looked at.
+    Files ``decode_fn`` cannot read are skipped, or with ``keep_unreadable`` marked in a further
+    column ``readable``, so that they can be counted. ``per_class_sample`` takes that many files of
+    each folder, the first by path: paths are listed and chosen first, without reading a content,
+    and only the chosen files are read after.
     """
 
+    def files(*paths: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(list(paths))
+
     def one_class(path: str, label: int) -> DataFrame:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-        if per_class_limit is not None:
-            files = files.orderBy("path").limit(per_class_limit)
-        return files.where(_readable(decode_fn)("content")).select(
+        found = files(path)
+        if per_class_sample is not None:
+            chosen = [r["path"] for r in found.select("path").orderBy("path").limit(per_class_sample).collect()]
+            found = files(*chosen) if chosen else found.limit(0)
+        image = found.select(
             F.element_at(F.split("path", "/"), -1).alias("image_file_name"),
             F.col("content").alias("image_bytes"),
             F.lit(label).cast("int").alias("label"),
         )
+        if keep_unreadable:
+            return image.withColumn("readable", _readable(decode_fn)("image_bytes"))
+        return image.where(_readable(decode_fn)("image_bytes"))
 
     return reduce(DataFrame.unionByName, [one_class(p, label) for p, label in labelled_paths.items()])
 
 
 def read_log_blocks(spark: SparkSession, path: str, marker: str) -> DataFrame:
-    """A text log as one row per block, column ``block``: the text from one ``marker`` line to the
-    next, without the marker itself.
+    """Text logs as one row per block, column ``block``: the text from one line that begins with
+    ``marker`` to the next, without the marker itself.
 
-    The reader splits at the marker, so a large file is still read in parallel and the order of
-    the lines inside a block is kept. The blank tail of the marker stays out of the separator: it
-    tells blocks from the text before the first marker, which is dropped.
+    The reader splits at the whole marker, so a large file is still read in parallel, the order of
+    the lines inside a block is kept, and a line that only begins like the marker stays where it
+    is. What stands before the first marker of a file is dropped: that is the first record of the
+    file, unless the file opens with the marker. A marker that ends the file gives no block.
     """
-    head = marker.rstrip(" :")
-    tail = marker[len(head) :]
-    if not tail:
-        raise ValueError(f"the marker has to end in a blank or a colon: {marker!r}")
-    text = spark.read.text(path, lineSep="\n" + head)
-    # A log may open with the marker; then no line break stands before it.
-    block = F.when(F.startswith("value", F.lit(marker)), F.substring("value", len(head) + 1, 2**31 - 1)).otherwise(
-        F.col("value")
-    )
-    return (
-        text.select(block.alias("block"))
-        .where(F.startswith("block", F.lit(tail)))
-        .select(F.substring("block", len(tail) + 1, 2**31 - 1).alias("block"))
+    text = spark.read.text(path, lineSep="\n" + marker).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
     )
+    # One row per file; in a task the records of a file come in order.
+    first = text.where("start = 0").groupBy("file").agg(F.min("place").alias("place"))
+    records = text.join(first.withColumn("leads", F.lit(True)), ["file", "place"], "left")
+    leads = F.coalesce("leads", F.lit(False))
+    opens = F.startswith("value", F.lit(marker))
+    block = F.when(leads, F.substring("value", len(marker) + 1, 2**31 - 1)).otherwise(F.col("value"))
+    return records.where(~leads | opens).select(block.alias("block"))

@@ -41,17 +41,64 @@ def staging_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or None
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """A frame that later steps read several times, written once to the shared checkpoint folder.
+def _on_one_machine(spark: SparkSession, folder: str) -> bool:
+    """Does a path without or with the scheme ``file`` mean a folder of each machine by itself?"""
+    if spark.sparkContext.master.startswith("local"):
+        return False
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
+class Staging:
+    """Frames that later steps read several times, written once to the shared checkpoint folder.
+
+    Calling it with a frame runs that frame's job at once and returns it read back from Parquet: each
+    later use reads only its own columns, an executor lost later costs no recomputation, and
+    Catalyst knows the size, so it broadcasts what turned out small and only that. Where the session
+    names no folder the frame comes back as it is, lazy.
 
-    What is read back is Parquet: each later use reads only its own columns, an executor lost later
-    costs no recomputation, and Catalyst knows the size, so it broadcasts what turned out small and
-    only that. Where the session names no folder the frame stays lazy, as it is.
+    The folder has to be one that all executors share. A folder of the local file system is refused
+    on a cluster, where each executor would keep its own part, unless ``shared`` says that it is
+    mounted on all machines. ``clear``, or the end of a ``with`` block, removes what was written:
+    only then, as frames built on it read it when they run.
     """
-    spark = df.sparkSession
-    folder = staging_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4()}"
-    write_parquet(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, shared: bool = False):
+        self.spark = spark
+        self.folder = staging_folder(spark)
+        self.paths: list[str] = []
+        if self.folder and not shared and _on_one_machine(spark, self.folder):
+            raise ValueError(f"spark.checkpoint.dir is a folder of one machine: {self.folder}")
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        if self.folder is None:
+            return df
+        path = f"{self.folder.rstrip('/')}/staged-{uuid.uuid4()}"
+        self.paths.append(path)
+        write_parquet(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove the written frames."""
+        context = self.spark.sparkContext
+        for path in self.paths:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        self.paths = []
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.clear()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """One frame staged (see ``Staging``); the owner of the folder removes it."""
+    return Staging(df.sparkSession)(df)
+
+
+def as_it_is(df: DataFrame) -> DataFrame:
+    """Instead of staging: the frame stays lazy."""
+    return df

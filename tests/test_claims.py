@@ -194,14 +194,31 @@ def test_add_label_inner_and_left(spark):
 def test_label_list_keeps_order_and_nulls(spark):
     labels = spark.createDataFrame([("Q1", "one"), ("Q2", "two")], LABELS)
     frame = spark.createDataFrame(
-        [("a", ["Q2", "Q9", "Q1", None, "Q2"]), ("b", []), ("c", None)], "item string, ids array<string>"
+        [("a", ["Q2", "Q9", "Q1", None, "Q2"]), ("b", []), ("c", None), ("a", ["Q1"]), ("a", ["Q1"])],
+        "item string, ids array<string>",
     )
-    found = op.label_list(frame, "ids", labels, "item")
-    assert {r.item: r.labels for r in found.collect()} == {
-        "a": ["two", None, "one", None, "two"],
-        "b": [],
-        "c": None,
-    }
+    found = op.label_list(frame, "ids", labels)
+    assert sorted((r.item, r.labels) for r in found.collect() if r.labels is not None) == [
+        ("a", ["one"]),
+        ("a", ["one"]),
+        ("a", ["two", None, "one", None, "two"]),
+        ("b", []),
+    ]
+    assert [r.item for r in found.where("labels IS NULL").collect()] == ["c"]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_entity_features_equal_the_pivot(spark, items, strict):
+    """Folded in the row or from exploded claims; an entity in two rows has the claims of both."""
+    twice = items.unionByName(items.limit(5))
+    expected = tuples(op.pivot_claims(op.explode_claims(twice), FLAGS, VALUES, strict=strict))
+    assert tuples(op.entity_features(twice, FLAGS, VALUES, strict=strict)) == expected
+    everyone = op.entity_features(twice, FLAGS, VALUES, strict=strict, all_items=True)
+    assert {r.id for r in everyone.collect()} == {r.id for r in items.collect()}
+    known = {r[0] for r in expected}
+    assert [r for r in tuples(everyone) if r[0] in known] == expected
+    for r in everyone.collect():
+        assert r.id in known or not any(r[name] for name in [*FLAGS, *VALUES])
 
 
 def test_many_repeats_of_one_item(spark):

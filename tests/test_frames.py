@@ -13,13 +13,14 @@ def items(spark, entities, link_rows):
     return plans.item_features(sources.entities(spark, entities, NOW), link_rows)
 
 
-def article_frame(spark, items, link_rows, page_rows, history_rows, wikis=None):
+def article_frame(spark, items, link_rows, page_rows, history_rows, wikis=None, stage=sources.as_it_is):
     return plans.page_features(
         items,
         sources.links(spark, link_rows, NOW),
         sources.pages(spark, page_rows, MONTH),
         sources.history(spark, history_rows, MONTH),
         wikis,
+        stage,
     )
 
 
@@ -50,16 +51,17 @@ def test_item_features_with_a_category_list(spark, entities, link_rows):
     assert tuples(plans.item_features(dump, link_rows, labels)) == ITEMS
 
 
-def test_item_features_without_a_checkpoint_folder(spark, entities, link_rows, monkeypatch):
-    monkeypatch.setattr("lacuna.plans.frames.staging_folder", lambda spark: None)
-    assert tuples(plans.item_features(sources.entities(spark, entities, NOW), link_rows)) == ITEMS
+def test_item_features_staged(spark, entities, link_rows):
+    with sources.Staging(spark) as stage:
+        assert tuples(plans.item_features(sources.entities(spark, entities, NOW), link_rows, stage=stage)) == ITEMS
+        assert len(stage.paths) == 3  # the items, the genders in use, their labels
 
 
 def test_labels_in_use_are_broadcast_by_size(spark):
     """Few categories: no shuffle for the label, however hot one of them is."""
     items = sources.staged(spark.range(1_000).selectExpr("id AS n", "if(id % 10 > 0, 'Q1', 'Q2') AS gender"))
     labels = spark.range(100_000).selectExpr("concat('Q', id) AS id", "concat('label ', id) AS label")
-    names = op.labels_in_use(labels, items, "gender")
+    names = op.labels_in_use(labels, items, "gender", sources.staged)
     assert tuples(names) == [("Q1", "label 1"), ("Q2", "label 2")]
     labelled = op.add_label(items, "gender", names)
     text = labelled._jdf.queryExecution().executedPlan().toString()
@@ -77,11 +79,15 @@ ARTICLES = [
 
 
 @pytest.mark.parametrize("staging", [True, False])
-def test_page_features(spark, items, link_rows, page_rows, history_rows, staging, monkeypatch):
-    """The same articles, whether the linked pages are staged in a checkpoint folder or not."""
-    if not staging:
-        monkeypatch.setattr("lacuna.plans.frames.staged", lambda df: df)
-    found = article_frame(spark, items, link_rows, page_rows, history_rows)
+def test_page_features(spark, items, link_rows, page_rows, history_rows, staging):
+    """The same articles, whether the linked pages are staged or not."""
+    with sources.Staging(spark) as stage:
+        found = article_frame(spark, items, link_rows, page_rows, history_rows, stage=stage if staging else sources.as_it_is)
+        assert len(stage.paths) == staging
+        check_articles(found)
+
+
+def check_articles(found):
     assert found.dtypes == [
         ("page_id", "bigint"),
         ("wiki_db", "string"),

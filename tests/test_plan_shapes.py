@@ -55,11 +55,10 @@ def test_claims_read_two_leaves(spark, dump):
     assert found.collect()
 
 
-def test_item_frame_scans(spark, dump, monkeypatch):
+def test_item_frame_scans(spark, dump):
     links = sources.links(spark, dump["link"])
-    monkeypatch.setattr("lacuna.plans.frames.staging_folder", lambda spark: None)
     text = plan(plans.item_features(sources.entities(spark, dump["entity"], NOW), links))
-    assert text.count("Generate") == 1  # the claims; the label of one language is looked up
+    assert "Generate" not in text  # claims are folded in their row, the label of one language is looked up
     assert "PartitionFilters: [isnotnull(snapshot" in text
     assert "PushedFilters: [IsNotNull(typ), EqualTo(typ,item)" in text
 
@@ -82,15 +81,64 @@ def exchanges(df):
 
 
 def test_history_is_folded_on_the_join_key(spark, dump, no_broadcast):
-    """One exchange for the pages, one for the folded history; the join adds none."""
+    """One exchange for the pages, one to fold the history, one for what is left; the join adds none."""
     pages, history = sources.pages(spark, dump["page"], MONTH), sources.history(spark, dump["history"], MONTH)
     found = op.add_first_edit(pages, history, unique=True)
-    assert exchanges(found) == 2
+    assert exchanges(found) == 3
     assert "revisions" not in plan(found)
     # The earliest time per page, then month: the running sum needs no exchange beyond the wiki's.
     assert exchanges(op.wiki_totals(pages, history, mode="min")) == 4
 
 
+def below_first_exchange(df):
+    """The part of a plan that each task does on the raw rows, one branch."""
+    return re.split("Exchange (?:hash|range)partitioning", plan(df))[-1]
+
+
+def test_raw_rows_are_not_sorted(spark, dump):
+    """Raw history and raw claims are folded by hash; sorts come after an exchange."""
+    history = sources.history(spark, dump["history"], MONTH)
+    claims = op.explode_claims(sources.entities(spark, dump["entity"], NOW))
+    flags, values = {"is_human": ("P31", "Q5")}, {"gender": "P21"}
+    for found in (
+        op.first_edits(history),
+        op.fold_history(history),
+        op.pivot_claims(claims, flags, values),
+        op.entity_features(sources.entities(spark, dump["entity"], NOW), flags, values),
+    ):
+        raw = below_first_exchange(found)
+        assert "HashAggregate" in raw and "Sort" not in raw
+        assert "FileScan" in raw
+
+
+def test_described_items_read_entities_once(spark, dump):
+    base = plans.Snapshots(spark, dump["entity"], dump["link"], dump["page"], dump["history"])
+    text = plan(base.described_items(NOW))
+    assert text.count("FileScan") == 1 and "Join" not in text and "Generate" not in text
+    schema = re.search(r"ReadSchema: (.*)", text).group(1)
+    assert "claims:array<struct<mainSnak:struct<property:string,datavalue:struct<value:string>>>>" in schema
+
+
+def test_history_is_read_once_by_month(spark, dump):
+    """Both uses of a history read the one fold of it that was written."""
+    base = plans.Snapshots(spark, dump["entity"], dump["link"], dump["page"], dump["history"])
+    fold = op.fold_history(base.edits(MONTH))
+    assert plan(fold).count("FileScan") == 1
+    with sources.Staging(spark) as stage:
+        edits = stage(fold)
+        pages = base.page_frame(base.item_frame(NOW, NOW), NOW, MONTH, edits=edits, stage=stage)
+        text = plan(base.article_share_by_month(pages, MONTH, edits=edits))
+        assert "revisions" not in text and f"/history/snapshot={MONTH}" not in text
+        assert len(stage.paths) == 2
+
+
+def test_value_lists_sort_once(spark):
+    props = spark.createDataFrame([(1, "P", '{"id":"Q1"}')], "qitem_id int, property string, value string")
+    labels = spark.createDataFrame([("Q1", "one")], "id string, label string")
+    lists = op.value_lists(op.multi_valued(props, "P", labels, ordered=False))
+    assert plan(lists).count("rangepartitioning") == 1
+
+
 def test_flag_needs_two_exchanges(spark, dump, no_broadcast):
     items = sources.entities(spark, dump["entity"], NOW).select("id")
     found = op.add_missing_flag(items, dump["link"], "id")

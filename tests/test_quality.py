@@ -3,7 +3,10 @@ import pandas as pd
 import pytest
 from conftest import rows
 
+from pyspark.sql import functions as F
+
 from lacuna import operators as op
+from lacuna.operators import quality
 
 
 def test_profile(spark):
@@ -46,6 +49,29 @@ def test_summary_equals_pandas(spark, n, accuracy):
             assert (got is None and np.isnan(want)) or got == pytest.approx(want, rel=1e-9, abs=1e-12), (name, stat)
 
 
+def test_slots_hold_about_equal_rows(spark):
+    """On a heavy tail, where nearly all values lie close together, no slot that is sorted is large."""
+    rng = np.random.default_rng(1)
+    n, probabilities, accuracy = 200_000, [0.25, 0.999], 1_000
+    frame = spark.createDataFrame(pd.DataFrame({"x": np.exp(rng.normal(0, 6, n))}))
+    edges = quality._edges(probabilities, accuracy)
+    marks = quality._marks(frame, ["x"], edges, accuracy)
+    ranked = quality._ranked(quality._slotted(frame, ["x"], marks, len(edges)), marks, probabilities)
+    sizes = {(r["p"], r["slot"]): r["count"] for r in ranked.groupBy("p", "slot").count().collect()}
+    assert {p for p, _ in sizes} == {0.25, 0.999} and max(sizes.values()) < 4 * n / accuracy
+
+
+def test_a_bad_sketch_costs_no_result(spark, monkeypatch):
+    """Bounds that miss every rank: the counts still find the slots."""
+    real = quality._marks
+    monkeypatch.setattr(
+        quality, "_marks", lambda *a: real(*a).withColumn("bounds", F.transform("bounds", lambda b: F.lit(-1.0)))
+    )
+    frame = spark.createDataFrame([(float(k),) for k in range(101)], "x double")
+    found = described(op.summary_stats(frame, ["x"]))
+    assert [found["x"][q] for q in ("25%", "50%", "75%")] == [25.0, 50.0, 75.0]
+
+
 def test_summary_skips_nulls_and_shows_empty_columns(spark):
     frame = spark.createDataFrame([(1, None), (2, None), (None, None), (4, None)], "a int, b double")
     found = described(op.summary_stats(frame, ["a", "b"], probabilities=[0.5]))

@@ -1,9 +1,13 @@
+import os
+
 import pytest
 from conftest import ENTITY, MONTH, NOW, png, rows, tuples
 from pyspark.sql import functions as F
 
 from lacuna import lookups, sources
-from lacuna.operators import parse_fit_log
+from lacuna import operators as op
+from lacuna.operators import parse_fit_log, parse_selection_log
+from lacuna.operators.logs import SELECTION_BLOCK
 
 
 def plan(df):
@@ -87,6 +91,24 @@ def test_staged_writes_to_the_checkpoint_folder(spark, page_rows):
     assert empty.schema == page_rows.schema and empty.count() == 0
 
 
+def test_staging_clears_what_it_wrote(spark, page_rows):
+    with sources.Staging(spark) as stage:
+        kept = stage(page_rows)
+        files = [f.removeprefix("file://") for f in kept.inputFiles()]
+        assert files and all(os.path.exists(f) for f in files)
+    assert not any(os.path.exists(f) for f in files) and stage.paths == []
+
+
+def test_staging_refuses_a_folder_of_one_machine(spark, monkeypatch):
+    """On a cluster a local path is another folder on each machine."""
+    monkeypatch.setattr(spark.sparkContext, "master", "yarn")
+    with pytest.raises(ValueError, match="one machine"):
+        sources.Staging(spark)
+    assert sources.Staging(spark, shared=True).folder
+    monkeypatch.setattr("lacuna.sources.sinks.staging_folder", lambda spark: None)
+    assert sources.Staging(spark).folder is None
+
+
 def test_persisted_releases(page_rows):
     with sources.persisted(page_rows.where("page_id > 1")) as kept:
         assert kept.count() == 12
@@ -124,6 +146,9 @@ MARKER = "Obtaining the final CCC for language: "
         (f"preamble\n{MARKER}en\na\n{MARKER}fr\nb\n", ["en\na", "fr\nb\n"]),
         (f"{MARKER}en\na\n{MARKER}fr", ["en\na", "fr"]),
         ("preamble only\n", []),
+        ("", []),
+        (f"pre\n{MARKER}en\n{MARKER[:-2]}s long\n {MARKER}x\n{MARKER.strip()}\na", [f"en\n{MARKER[:-2]}s long\n {MARKER}x\n{MARKER.strip()}\na"]),
+        (f"{MARKER}{MARKER}en\n{MARKER}x", [f"{MARKER}en", "x"]),
     ],
 )
 def test_log_blocks(spark, tmp_path, text, blocks):
@@ -132,9 +157,20 @@ def test_log_blocks(spark, tmp_path, text, blocks):
     assert [r.block for r in sources.read_log_blocks(spark, str(path), MARKER).collect()] == blocks
 
 
-def test_log_marker_needs_a_blank_tail(spark):
-    with pytest.raises(ValueError, match="marker"):
-        sources.read_log_blocks(spark, "x", "MARK")
+    column = op.split_blocks(spark.createDataFrame([(text,), (None,)], "t string"), "t", MARKER)
+    assert [r.block for r in column.collect()] == blocks
+
+
+def test_log_lines_that_begin_like_the_marker_lose_nothing(spark, tmp_path):
+    lines = "There were already 5 (1.5%)\nThis algorithm CLASSIFIED 6 of 7 from 8 (2.5%)\nWith this: 3.5\n"
+    for name in "ab":
+        (tmp_path / f"{name}.log").write_text(
+            f"preamble of {name}\nThis Wikipedia enwiki has 100 articles\nThis Wikipedias list is long\n{lines}"
+            f"This Wikipedia frwiki has 200 articles\n{lines}"
+        )
+    found = parse_selection_log(sources.read_log_blocks(spark, str(tmp_path), SELECTION_BLOCK))
+    one = [("enwiki", 100, 5, 1.5, 8, 6, 2.5, 3.5), ("frwiki", 200, 5, 1.5, 8, 6, 2.5, 3.5)]
+    assert tuples(found) == sorted(one * 2)
 
 
 def test_log_file_is_read_in_splits(spark, tmp_path):
@@ -172,9 +208,13 @@ def test_ingest_images(spark, tmp_path):
     found = sources.ingest_images(spark, labelled, toy_decode(), pattern="*.jpg")
     assert [f.dataType.simpleString() for f in found.schema] == ["string", "binary", "int"]
     assert tuples(found) == [("a.jpg", bytearray(b"OK a.jpg"), 1), ("d.jpg", bytearray(b"OK d.jpg"), 0)]
-    # The limit counts files, readable or not, in the order of their names.
-    limited = sources.ingest_images(spark, labelled, toy_decode(), per_class_limit=2)
-    assert sorted(r.image_file_name for r in limited.collect()) == ["a.jpg", "d.jpg"]
+    # A sample counts files, readable or not, in the order of their names, and reads no others.
+    sample = sources.ingest_images(spark, labelled, toy_decode(), per_class_sample=2)
+    assert sorted(r.image_file_name for r in sample.collect()) == ["a.jpg", "d.jpg"]
+    assert sorted(f.rsplit("/", 1)[1] for f in sample.inputFiles()) == ["a.jpg", "b.jpg", "d.jpg"]
+    assert "Limit" not in sample._jdf.queryExecution().executedPlan().toString()
+    marked = sources.ingest_images(spark, labelled, toy_decode(), pattern="*.jpg", keep_unreadable=True)
+    assert sorted((r.image_file_name, r.readable) for r in marked.collect()) == [("a.jpg", True), ("b.jpg", False), ("d.jpg", True)]
 
 
 def test_image_frame_with_schema(spark, tmp_path):
