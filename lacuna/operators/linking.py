@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import require
+from ..sources.sinks import as_it_is
 from ..sources.tables import wiki_filter
+from .labels import Stage
 
 
 def add_missing_flag(
@@ -45,16 +47,19 @@ def drop_ambiguous(
     df: DataFrame,
     key_sets: Sequence[Sequence[str]] = (("page_title", "wiki_db"), ("page_id", "wiki_db")),
     copies: str | None = None,
+    stage: Stage = as_it_is,
 ) -> DataFrame:
     """Remove every row whose value of some key set occurs more than once in ``df``.
 
     All counts are taken on the frame as given. A key with a null in it matches nothing, so its
     rows stay. ``copies`` names a column that says how many rows each row stands for. The counts
-    are pre-aggregated, and only the repeated keys meet the rows again.
+    are pre-aggregated, and only the repeated keys meet the rows again. With ``stage``
+    (``sources.Staging``) those keys are written first: few of them are then broadcast, and the rows
+    of ``df``, best staged too, are not shuffled at all.
     """
     out = df
     number = F.count("*") if copies is None else F.sum(copies)
     for keys in key_sets:
         repeated = require(df, *keys).groupBy(*keys).agg(number.alias("n")).where(F.col("n") > 1).select(*keys)
-        out = out.join(repeated, list(keys), "left_anti")
+        out = out.join(stage(repeated), list(keys), "left_anti")
     return out.select(*df.columns)

@@ -64,7 +64,8 @@ def page_features(
     before the join instead of multiplying its rows.
 
     The linked articles are read three times, for themselves and to count their two keys: with
-    ``stage`` (``sources.Staging``) they are written once, without it the frame is lazy.
+    ``stage`` (``sources.Staging``) they are written once, and so are the ambiguous keys, which are
+    few; without it the frame is lazy.
     """
     require(items, "qid")
     linked = wiki_filter(require(links, "item_id", "wiki_db", "page_id", "page_title"), wikis).select(
@@ -73,4 +74,4 @@ def page_features(
     live = require(pages, *PAGE).groupBy(*PAGE).agg(F.count("*").alias("copies"))
     found = items.join(linked, "qid").join(live, PAGE)
     articles = stage(found.select(*items.columns, *PAGE, "page_title", "copies"))
-    return add_first_edit(drop_ambiguous(articles, copies="copies").drop("copies"), history, unique=True)
+    return add_first_edit(drop_ambiguous(articles, copies="copies", stage=stage).drop("copies"), history, unique=True)

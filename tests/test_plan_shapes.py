@@ -129,7 +129,17 @@ def test_history_is_read_once_by_month(spark, dump):
         pages = base.page_frame(base.item_frame(NOW, NOW), NOW, MONTH, edits=edits, stage=stage)
         text = plan(base.article_share_by_month(pages, MONTH, edits=edits))
         assert "revisions" not in text and f"/history/snapshot={MONTH}" not in text
-        assert len(stage.paths) == 2
+        assert len(stage.paths) == 4  # the history, the linked articles and their ambiguous keys
+
+
+def test_few_ambiguous_keys_shuffle_no_row(spark):
+    """The rows are neither exchanged by title nor by page."""
+    rows = spark.range(1_000).selectExpr("id AS page_id", "'w' AS wiki_db", "concat('t', id % 990) AS page_title")
+    with sources.Staging(spark) as stage:
+        found = op.drop_ambiguous(stage(rows), stage=stage)
+        assert exchanges(found) == 0 and plan(found).count("BroadcastHashJoin") == 2
+        assert found.count() == 980
+    assert op.drop_ambiguous(rows).count() == 980
 
 
 def test_value_lists_sort_once(spark):
