@@ -1,0 +1,36 @@
+import pytest
+
+from lacuna.llm import common
+
+
+def test_the_named_folder_is_used(spark):
+    folder = spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert common.shared_folder(spark) == folder
+    staged = common.stage(spark.range(3))
+    assert sorted(r.id for r in staged.collect()) == [0, 1, 2]
+    assert all(folder in f for f in staged.inputFiles())
+
+
+class Session:
+    """What ``shared_folder`` asks a session for."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = self
+        self.master, self.folder = master, folder
+        self.conf = self
+
+    def get(self, key, default):
+        return self.folder or default
+
+
+def test_a_folder_of_its_own_only_on_one_machine():
+    assert common.shared_folder(Session("local[2]")) == common.shared_folder(Session("local[2]"))
+    assert common.shared_folder(Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session("yarn"))
+
+
+def test_rows_come_back_as_they_were(spark):
+    rows = spark.createDataFrame([(1, "x", "y")], "`row` int, `a.b` string, `c d` string")
+    back = common.unpacked(common.packed(rows), rows)
+    assert back.columns == rows.columns and [tuple(r) for r in back.collect()] == [(1, "x", "y")]
