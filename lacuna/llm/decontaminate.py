@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import packed, stage, unpacked
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -61,7 +61,7 @@ class Phrases:
         rows = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in phrase.encode().split()] for phrase, _ in windows]
         self.vocabulary = vocabulary
         self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.matrix = np.zeros((len(rows), int(self.lengths.max())), np.int64)
+        self.matrix = np.zeros((len(rows), int(self.lengths.max())), np.int32)
         for k, row in enumerate(rows):
             self.matrix[k, self.matrix.shape[1] - len(row) :] = row
         self.shortest = int(self.lengths.min())
@@ -172,21 +172,21 @@ def _joined(a: Column, b: Column) -> Column:
     return F.struct(a["n_words"].alias("n_words"), merged.alias("spans"), items.alias("items"))
 
 
-def searched(text: Column, items: DataFrame, id_col="item_id", text_col="text", width=WINDOW, block=WINDOWS) -> Column:
-    """A column of what the benchmark's windows hit in a text: ``n_words``, merged ``spans`` of word
-    places (end excluded) and ``items``, the ids (as strings, in order) of items that occur.
+def _with_findings(rows: DataFrame, text: Column, items: DataFrame, width: int, block: int, **item_cols: str) -> DataFrame:
+    """Add a column ``f`` of what the benchmark's windows hit in a text: ``n_words``, merged ``spans`` of
+    word places (end excluded) and ``items``, the ids (as strings, in order) of items that occur.
 
-    Benchmark windows are folded and sent to the tasks in blocks of at most ``block``; a larger
-    benchmark takes more searches of each text, never a larger broadcast. A null or empty text has
-    no words and no hits, an item without words no window, an empty benchmark hits nothing. An item
-    with a null id still hits, but is not among the ``items``.
+    The benchmark is searched in blocks of at most ``block`` windows, one pass over the texts each,
+    and rows are written between passes: what a task holds of the benchmark is one block.
     """
-    spark = items.sparkSession
-    found = None
-    for phrases in _blocks(windows_of(items, id_col, text_col, width), block):
-        new = F.arrow_udf(_search(spark.sparkContext.broadcast(phrases)), FOUND)(text)
-        found = new if found is None else _joined(found, new)
-    return F.arrow_udf(_search(None), FOUND)(text) if found is None else found
+    context = rows.sparkSession.sparkContext
+    names = {"id_col": "item_id", "text_col": "text"} | item_cols
+    searched = False
+    for phrases in _blocks(windows_of(items, width=width, **names), block):
+        new = F.arrow_udf(_search(context.broadcast(phrases)), FOUND)(text)
+        rows = stage(rows).withColumn("f", _joined(F.col("f"), new)) if searched else rows.withColumn("f", new)
+        searched = True
+    return rows if searched else rows.withColumn("f", F.arrow_udf(_search(None), FOUND)(text))
 
 
 def findings(
@@ -194,11 +194,15 @@ def findings(
 ) -> DataFrame:
     """One row per document: ``id, n_words, spans, items, n_hit, contaminated``.
 
-    A document is contaminated when at least one word in twenty is inside an occurrence. Repeated
-    rows come repeatedly; nothing is shuffled but the benchmark's windows.
+    A document is contaminated when at least one word in twenty is inside an occurrence. A null or
+    empty text has no words and no hits, an item without words no window, an empty benchmark hits
+    nothing. An item with a null id still hits, but is not among the ``items``. Repeated rows come
+    repeatedly; nothing is shuffled but the benchmark's windows.
     """
-    found = docs.select(F.col(id_col).alias("id"), searched(F.col(text_col), items, width=width, block=block, **item_cols).alias("f"))
-    return found.select("id", "f.n_words", "f.spans", "f.items", n_hit(F.col("f")).alias("n_hit"), contaminated(F.col("f")).alias("contaminated"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _with_findings(rows, F.col("text"), items, width, block, **item_cols)
+    f = F.col("f")
+    return found.select("id", "f.n_words", "f.spans", "f.items", n_hit(f).alias("n_hit"), contaminated(f).alias("contaminated"))
 
 
 def n_hit(found: Column) -> Column:
@@ -210,6 +214,6 @@ def contaminated(found: Column) -> Column:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col="text", width=WINDOW, block=WINDOWS, **item_cols: str) -> DataFrame:
-    """The documents that are not contaminated, as they came."""
-    rows = packed(docs, searched(F.col(text_col), items, width=width, block=block, **item_cols).alias("f"))
-    return unpacked(rows.where(~contaminated(F.col("f"))), docs)
+    """The documents that are not contaminated (see :func:`findings`), as they came."""
+    found = _with_findings(packed(docs), F.col(f"row.`{text_col}`"), items, width, block, **item_cols)
+    return unpacked(found.where(~contaminated(F.col("f"))), docs)
