@@ -275,7 +275,8 @@ def stored_genders(spark, sf_dir):
     """Customers with an item of the stored gender list; every fifth has one that is not in it."""
     known = F.array(*[F.lit(q) for _, q in GENDER_CATEGORIES])
     gender = F.coalesce(F.get(known, (F.col("c_custkey") % 50).cast("int")), F.lit("Q0"))
-    return op.in_category(load(spark, sf_dir, "customer").select("c_custkey", gender.alias("gender")), "gender", gender_categories(spark))
+    customers = load(spark, sf_dir, "customer").select("c_custkey", gender.alias("gender"))
+    return op.in_category(customers, "gender", gender_categories(spark))
 
 
 # --- pages ---------------------------------------------------------------------------------
@@ -742,7 +743,8 @@ def log_blocks(spark, sf_dir):
         F.lit("\nnoise\nWith this: 9.25"),
     ]
     blocks = load(spark, sf_dir, "orders").select("o_custkey", F.concat(*lines).alias("lines"))
-    logs = blocks.groupBy("o_custkey").agg(F.concat(F.lit("With no block\nThis Wikipedian"), F.array_join(F.collect_list("lines"), "")).alias("log"))
+    joined = F.concat(F.lit("With no block\nThis Wikipedian"), F.array_join(F.collect_list("lines"), ""))
+    logs = blocks.groupBy("o_custkey").agg(joined.alias("log"))
     return op.parse_selection_log(op.split_blocks(logs, "log", SELECTION_BLOCK))
 
 

@@ -138,4 +138,5 @@ def _ranked(slotted: DataFrame, marks: DataFrame, probabilities: Sequence[float]
     upwards = Window.partitionBy("column", "slot").orderBy("value")
     upto = values.agg(F.count("*").alias("rows")).withColumn("upto", F.col("before") + F.sum("rows").over(upwards))
     # A column without a value has no slot, and shows up with a count of zero.
-    return hits.select(*KNOWN, "p", "rank", "slot").join(upto.select("column", "slot", "value", "upto"), ["column", "slot"], "left")
+    found = upto.select("column", "slot", "value", "upto")
+    return hits.select(*KNOWN, "p", "rank", "slot").join(found, ["column", "slot"], "left")
