@@ -31,13 +31,9 @@ def components(links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
-            .where("u <> v")
-            .distinct()
-        )
-        edges = stage(small)
+        to_least = [F.struct(F.col(end).alias("u"), F.col("m").alias("v")) for end in ("u", "v")]
+        small = large.join(low, "u").select(F.inline(F.array(*to_least))).where("u <> v")
+        edges = stage(small.distinct())
         before, state = state, _state(edges)
         if state == before:
             break

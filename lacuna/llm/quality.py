@@ -92,7 +92,9 @@ def _sums(who: np.ndarray, feature: np.ndarray, known: np.ndarray, weights: np.n
     return np.bincount(who[hit], weights[at[hit]], n)
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, epochs: int) -> np.ndarray:
+def dual_descent(
+    rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, epochs: int
+) -> np.ndarray:
     """Weights (and, last, a bias) of the linear model with hinge loss, one dual variable at a time."""
     w, alpha = np.zeros(size + 1), np.zeros(len(rows))
     norms = np.array([float(v @ v) + 1 for _, v in rows])
@@ -189,7 +191,9 @@ def scored(model: Model, docs: DataFrame, text: Column) -> Column:
     return F.arrow_udf(run, "double")(text)
 
 
-def scores(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col="doc_id", text_col="text", **sizes) -> DataFrame:
+def scores(
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col="doc_id", text_col="text", **sizes
+) -> DataFrame:
     """One row per document: ``id, score``. Repeated rows come repeatedly; an empty table gives none."""
     model = train(docs, labels, usable, id_col=id_col, text_col=text_col, **sizes)
     return docs.select(F.col(id_col).alias("id"), scored(model, docs, F.col(text_col)).alias("score"))

@@ -37,7 +37,7 @@ def labelled_sample(
         .where("low = high")
         .select(F.col(id_col).alias("id"), F.col("low").cast("int").alias("y"))
     )
-    long_enough = docs.where(F.char_length(text_col) <= max_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.where(F.char_length(text_col) <= max_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen: list[tuple] = []
     for y in (0, 1):
         ids = given.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
@@ -45,7 +45,7 @@ def labelled_sample(
     if not chosen:
         return []
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, given.schema))
-    found = long_enough.join(ids, "id").select("id", "text", "y").dropDuplicates(["id"]).collect()
+    found = texts.join(ids, "id").select("id", "text", "y").dropDuplicates(["id"]).collect()
     return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: r["id"])]
 
 

@@ -155,11 +155,16 @@ def links(prints: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFra
     small = met.repartition("key").sortWithinPartitions("key").mapInArrow(_verified(max_bits), "a bigint, b bigint")
 
     many = rows.join(sizes.where(F.col("n") > bucket).select("key"), "key", "left_semi").select("fp").distinct()
-    bits = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(1 << j if j < 63 else -(1 << 63)).cast("bigint").alias("b")) for j in range(64)])
+    bits = F.array(*[F.lit(1 << j if j < 63 else -(1 << 63)).cast("bigint") for j in range(64)])
+
+    def value(mark: Column, at: Column) -> Column:
+        return F.struct(mark.cast("int").alias("mark"), at.alias("at"))
+
     if max_bits == 2:
-        around = F.concat(F.array(F.struct(F.lit(0).alias("mark"), F.col("fp").alias("at"))), F.transform(bits, lambda x: F.struct(F.lit(0).alias("mark"), F.col("fp").bitwiseXOR(x["b"]).alias("at"))))
+        same = F.array(value(F.lit(0), F.col("fp")))
+        around = F.concat(same, F.transform(bits, lambda b: value(F.lit(0), F.col("fp").bitwiseXOR(b))))
     else:
-        around = F.transform(bits, lambda x: F.struct(x["j"].alias("mark"), F.col("fp").bitwiseAND(F.bitwise_not(x["b"])).alias("at")))
+        around = F.transform(bits, lambda b, j: value(j, F.col("fp").bitwiseAND(F.bitwise_not(b))))
     around = many.select("fp", F.explode(around).alias("v")).select("fp", "v.mark", "v.at")
     hubs = around.groupBy("mark", "at").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
     large = around.join(hubs, ["mark", "at"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
@@ -167,7 +172,7 @@ def links(prints: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFra
 
 
 def classes(
-    docs: DataFrame, width: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET
+    docs: DataFrame, width: int = 3, max_bits: int = 2, id_col="doc_id", text_col="text", bucket: int = BUCKET
 ) -> tuple[DataFrame, DataFrame]:
     """Fingerprints ``(id, fp)`` of all rows, and classes ``(fp, component_id, rows)``: the smallest
     id of the rows whose fingerprints reach each other, and how many rows have that id."""
@@ -178,9 +183,8 @@ def classes(
     rooted = per.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     found = stage(rooted.join(least, "root").select("fp", "root", "component_id"))
-    holders = (
-        each.join(found, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.sum("rows").alias("rows"))
-    )
+    holders = each.join(found, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    holders = holders.groupBy("root").agg(F.sum("rows").alias("rows"))
     return prints, found.join(holders, "root").select("fp", "root", "component_id", "rows")
 
 

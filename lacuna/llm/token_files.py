@@ -35,7 +35,8 @@ LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
 def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Bytes end to end as one binary value per size."""
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -92,8 +92,8 @@ class Model:
 def fit(sample: list[tuple[str, int]], features: int = FEATURES, steps: int = STEPS, decay: float = 5e-5) -> Model:
     """Full-batch gradient descent (Adam) on the log-loss of the noisy-or, weights starting at zero.
 
-    With no texts, or only one label, the model says 0 for every sentence of that sample's like:
-    all sentences share one low score, or a high one if all texts are toxic.
+    Without texts, or with one label only, all sentences share one score: next to zero, or high if
+    all texts are toxic.
     """
     if len({y for _, y in sample}) < 2:
         return Model({}, 6.0 if sample and sample[0][1] else -12.0)
@@ -183,15 +183,18 @@ def scored(model: Model, docs: DataFrame, text: Column) -> Column:
     return F.arrow_udf(run, SCORED)(text)
 
 
-def scores(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col="doc_id", text_col="text", **sizes) -> DataFrame:
+def scores(
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col="doc_id", text_col="text", **sizes
+) -> DataFrame:
     """One row per document: ``id, score, offending``. Repeated rows come repeatedly, an empty table
     gives no rows, and without labels every score is 0 or next to it."""
     model = train(docs, labels, usable, id_col=id_col, text_col=text_col, **sizes)
-    return docs.select(F.col(id_col).alias("id"), scored(model, docs, F.col(text_col)).alias("s")).select("id", "s.score", "s.offending")
+    found = docs.select(F.col(id_col).alias("id"), scored(model, docs, F.col(text_col)).alias("s"))
+    return found.select("id", "s.score", "s.offending")
 
 
 def keep_civil(
-    docs: DataFrame, labels: DataFrame, usable: Column | None = None, limit: float = REJECT, id_col="doc_id", text_col="text", **sizes
+    docs: DataFrame, labels: DataFrame, usable: Column | None = None, limit=REJECT, id_col="doc_id", text_col="text", **sizes
 ) -> DataFrame:
     """The documents whose score is below ``limit``, as they came."""
     model = train(docs, labels, usable, id_col=id_col, text_col=text_col, **sizes)
