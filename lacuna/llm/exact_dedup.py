@@ -50,27 +50,32 @@ def _slots(shas: list[bytes], slots: int) -> np.ndarray:
     return (words % np.uint64(slots)).astype(np.int64)
 
 
+def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+
 def _marked(slots: int):
-    """One task's filter: the blocks that have a bit set."""
+    """One task's filter, two bits per slot: the blocks that have a bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, again = np.zeros(slots, bool), np.zeros(slots, bool)
+        seen, again = np.zeros(slots // 8, np.uint8), np.zeros(slots // 8, np.uint8)
         for batch in batches:
             if batch.num_rows:
                 # The slots of one row count once: a row must not repeat itself.
                 at = np.sort(_slots(batch.column(0).to_pylist(), slots), axis=1)
                 own = np.concatenate([at[:, 0], at[at[:, 1] != at[:, 0], 1]])
                 found, n = np.unique(own, return_counts=True)
-                again[found[(n > 1) | seen[found]]] = True
-                seen[found] = True
-        for k in range(0, slots, BLOCK_SLOTS):
-            if seen[k : k + BLOCK_SLOTS].any():
+                _set(again, found[(n > 1) | _bit(seen, found)])
+                _set(seen, found)
+        size = BLOCK_SLOTS // 8
+        for k in range(0, len(seen), size):
+            if seen[k : k + size].any():
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": [k // BLOCK_SLOTS],
-                        "seen": [np.packbits(seen[k : k + BLOCK_SLOTS]).tobytes()],
-                        "again": [np.packbits(again[k : k + BLOCK_SLOTS]).tobytes()],
-                    },
+                    {"block": [k // size], "seen": [seen[k : k + size].tobytes()], "again": [again[k : k + size].tobytes()]},
                     pa.schema([("block", pa.int64()), ("seen", pa.binary()), ("again", pa.binary())]),
                 )
 
@@ -116,9 +121,7 @@ def _maybe(digests: DataFrame, bits: np.ndarray):
     def maybe(shas: pa.Array) -> pa.Array:
         if not len(shas):
             return pa.array([], pa.bool_())
-        bits = sent.value
-        at = _slots(shas.to_pylist(), 8 * len(bits))
-        return pa.array(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1))
+        return pa.array(_bit(sent.value, _slots(shas.to_pylist(), 8 * len(sent.value))).all(axis=1))
 
     return maybe
 
