@@ -80,17 +80,15 @@ def super_kmers(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     if n < width:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), [])
     order = _priority(word_hashes(raw, starts, ends), ends - starts)
-    # The place of the least word in the window that begins at each word, leftmost of equals.
-    low, where = order[: n - width + 1].copy(), np.arange(n - width + 1)
+    # The least word in the window that begins at each word.
+    low = order[: n - width + 1].copy()
     for k in range(1, width):
-        less = order[k : n - width + 1 + k] < low
-        low[less] = order[k : n - width + 1 + k][less]
-        where[less] = np.flatnonzero(less) + k
+        np.minimum(low, order[k : n - width + 1 + k], out=low)
     text = np.searchsorted(first, np.arange(n - width + 1), "right") - 1
     inside = np.flatnonzero(first[text + 1] - np.arange(n - width + 1) >= width)
     if not len(inside):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), [])
-    new = np.r_[True, (where[inside][1:] != where[inside][:-1]) | (text[inside][1:] != text[inside][:-1])]
+    new = np.r_[True, (low[inside][1:] != low[inside][:-1]) | (text[inside][1:] != text[inside][:-1])]
     begin = inside[new]
     stop = inside[np.r_[np.flatnonzero(new)[1:], len(inside)] - 1] + width  # after the last window's last word
     strings = [raw[a:b] for a, b in zip(starts[begin].tolist(), ends[stop - 1].tolist())]
