@@ -104,20 +104,20 @@ def _cut(width: int):
     all its windows are repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[bytes, tuple[int, int, int]] = {}
+        sent: dict[bytes, tuple[int, int]] = {}
 
         def found(ids: list[int], tags: list[int], texts: list[bytes]) -> pa.RecordBatch:
             text, at, n, key, strings = super_kmers(texts, width)
             seen: set[bytes] = set()
             for s in strings:
                 if s in seen and len(sent) < REMEMBERED:
-                    sent.setdefault(s, (_LAST, _LAST, _LAST))
+                    sent.setdefault(s, (_LAST, _LAST))
                 seen.add(s)
             words: list[bytes | None] = list(strings)
             for k, s in enumerate(strings):
                 before = sent.get(s)
                 if before is not None:
-                    place = (ids[text[k]], tags[text[k]], int(at[k]))
+                    place = (ids[text[k]], int(at[k]))
                     if before < place:
                         words[k] = None
                     else:
@@ -199,41 +199,49 @@ def _spelled(width: int):
     return run
 
 
-SPANS = "tag bigint, start int, end int"
+SPANS = "id bigint, tag bigint, start int, end int"
 
 
-def _spans(tags: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+def _spans(ids: np.ndarray, tags: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
     """Word ranges of rows, those that touch made one."""
-    order = np.lexsort((begins, tags))
-    tags, begins, ends = tags[order], begins[order].astype(np.int64), ends[order].astype(np.int64)
-    if len(tags):
-        row = np.cumsum(np.r_[0, tags[1:] != tags[:-1]])
+    order = np.lexsort((begins, tags, ids))
+    ids, tags, begins, ends = ids[order], tags[order], begins[order], ends[order]
+    if len(ids):
+        other = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
+        row = np.cumsum(np.r_[0, other])
         far = int(ends.max()) + 1
         reach = np.maximum.accumulate(row * far + ends) - row * far
-        new = np.flatnonzero(np.r_[True, (tags[1:] != tags[:-1]) | (begins[1:] > reach[:-1])])
-        tags, begins, ends = tags[new], begins[new], np.maximum.reduceat(ends, new)
+        new = np.flatnonzero(np.r_[True, other | (begins[1:] > reach[:-1])])
+        ids, tags, begins, ends = ids[new], tags[new], begins[new], np.maximum.reduceat(ends, new)
     return pa.RecordBatch.from_arrays(
-        [pa.array(tags, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["tag", "start", "end"]
+        [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())],
+        ["id", "tag", "start", "end"],
     )
 
 
 def _later(width: int):
-    """Windows in order to the spans of all but the first of equal ones, and of what is known."""
+    """Windows in order to the spans of those that start later than the first of equal ones, and of
+    what is known to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        first = np.zeros((4, 0), np.int64)  # the first of the windows that equal the last one seen
         gathered: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h1, h2, tag, at = (batch.column(c).to_numpy() for c in ("h1", "h2", "tag", "at"))
+            rows = [batch.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2", "id", "at")]
+            h1, h2, ids, at = (np.concatenate(x) for x in zip(first, rows))
+            new = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            begin = np.repeat(new, np.diff(np.r_[new, len(h1)]))
             known = h1 == KNOWN
-            same = np.r_[(h1[0], h2[0]) == last, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])] | known
-            last = (h1[-1], h2[-1])
-            begin = at[same].astype(np.int64)
-            gathered.append((tag[same], begin, begin + np.where(known[same], h2[same], width)))
-            size += len(begin)
+            repeat = known | (ids != ids[begin]) | (at != at[begin])
+            repeat[: first.shape[1]] = False
+            first = np.array([x[begin[-1:]] for x in (h1, h2, ids, at)])
+            tags = batch.column("tag").to_numpy()[repeat[len(h1) - batch.num_rows :]]
+            start = at[repeat]
+            gathered.append((ids[repeat], tags, start, start + np.where(known[repeat], h2[repeat], width)))
+            size += len(tags)
             if size >= GATHERED:
                 yield _spans(*(np.concatenate(x) for x in zip(*gathered)))
                 gathered, size = [], 0
@@ -244,14 +252,14 @@ def _later(width: int):
 
 
 def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``rows(id, tag, text)`` to ``(tag, spans)``: for each row with repeats the word ranges (end
-    excluded, in order of start) that windows found earlier cover. ``tag`` tells rows apart."""
-    kmers = rows.select(F.coalesce("id", F.lit(_LAST)).alias("id"), "tag", "text").mapInArrow(_cut(width), KMERS)
+    """``rows(id, tag, text)`` to ``(id, tag, spans)``: for each row with repeats the word ranges (end
+    excluded, in order of start) that windows found earlier cover. ``tag`` tells texts of one id apart."""
+    kmers = rows.mapInArrow(_cut(width), KMERS)
     # A super-k-mer known as a repeat needs no bucket: any task will do.
-    bucket = F.when(F.col("words").isNull(), F.xxhash64("tag", "at")).otherwise(F.col("key"))
+    bucket = F.when(F.col("words").isNull(), F.xxhash64("id", "at")).otherwise(F.col("key"))
     windows = kmers.withColumn("key", bucket).repartition("key").mapInArrow(_spelled(width), WINDOWS)
-    later = windows.sortWithinPartitions("h1", "h2", "id", "tag", "at").mapInArrow(_later(width), SPANS)
-    return stage(later.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    later = windows.sortWithinPartitions("h1", "h2", "id", "at").mapInArrow(_later(width), SPANS)
+    return stage(later.groupBy("id", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
 
 
 def _removed(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -283,7 +291,8 @@ def _membership(tags: DataFrame) -> tuple[int, np.ndarray]:
     while bits < min(16 * rows, FILTER_BITS):
         bits *= 2
     slot = tags.select((_slot(F.col("tag"), bits) + 1).alias("slot"))  # Spark's bitmaps count from 1
-    blocks = slot.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    found = F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    blocks = slot.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(found)
     out = np.zeros((bits // 8 // 4096 + 2, 4096), np.uint8)
     for row in blocks.toLocalIterator():
         out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
@@ -294,17 +303,24 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """One row per input row: ``id, n_words, n_removed, kept``, the text without repeats.
 
     Words are what white space parts. A word goes if a window of ``width`` words over it has the same
-    words as a window that starts earlier: in a row with a smaller id, or further up in the same row.
-    All windows are judged on the texts as they came in. A null text has no words, a text of fewer
-    than ``width`` words no window. A null id comes after all others; rows that share an id stand in
-    the order in which they are read. An empty table gives no rows.
-
-    Rows are told apart by their place in the input, which has to be read the same way twice: pass a
-    frame that is read from files. Only rows that may have repeats (by a bitmap of bounded size) are
-    shuffled with their text to meet their spans; all others pass straight through.
+    words as a window that starts earlier: in a row with a smaller id, or further up in a row of the
+    same id. All windows are judged on the texts as they came in. A null text has no words, a text of
+    fewer than ``width`` words no window. A null id comes after all others, and all null ids are one.
+    Rows that share an id count as one document: windows at the same place in both are not repeats
+    of each other, so rows that agree in id and text get the same result. An empty table gives no
+    rows.
+
+    Nothing depends on how the input is read: a row is known by its id and a hash of its text. Only
+    rows that may have repeats (by a bitmap of bounded size) are shuffled with their text to meet
+    their spans; all others pass straight through.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("tag"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows, width)
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("id"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("tag"),
+        F.col(text_col).alias("text"),
+        F.col(id_col).cast("bigint").alias("own_id"),
+    )
+    spans = repeated_spans(rows.select("id", "tag", "text"), width)
     bits, blocks = _membership(spans.select("tag"))
     sent = docs.sparkSession.sparkContext.broadcast(blocks)
 
@@ -318,6 +334,6 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     kind = "struct<n_words: bigint, n_removed: bigint, kept: string>"
     removed = F.arrow_udf(_removed, kind)
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    alone = flagged.where("not maybe").select("id", removed("text", none).alias("r"))
-    joined = flagged.where("maybe").join(spans, "tag", "left").select("id", removed("text", "spans").alias("r"))
-    return alone.unionByName(joined).select("id", "r.n_words", "r.n_removed", "r.kept")
+    alone = flagged.where("not maybe").select("own_id", removed("text", none).alias("r"))
+    joined = flagged.where("maybe").join(spans, ["id", "tag"], "left").select("own_id", removed("text", "spans").alias("r"))
+    return alone.unionByName(joined).select(F.col("own_id").alias("id"), "r.n_words", "r.n_removed", "r.kept")

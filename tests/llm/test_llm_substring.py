@@ -9,16 +9,19 @@ from llm_support import no_docs, odd, odd_rows, passage  # noqa: F401
 
 
 def brute(rows, width):
-    """rows in order of id (null last) and place: (id, words, removed, kept)."""
-    seen, out = set(), []
+    """(id, words, removed, kept) of each row; a null id comes last, and rows that share an id are one."""
+    first, out = {}, []
+    for i, text in rows:
+        words = (text or "").encode().split()
+        for k in range(len(words) - width + 1):
+            window, place = b" ".join(words[k : k + width]), (i is None, i or 0, k)
+            first[window] = min(place, first.get(window, place))
     for i, text in rows:
         words = (text or "").encode().split()
         gone = [False] * len(words)
         for k in range(len(words) - width + 1):
-            window = b" ".join(words[k : k + width])
-            if window in seen:
+            if first[b" ".join(words[k : k + width])] < (i is None, i or 0, k):
                 gone[k : k + width] = [True] * width
-            seen.add(window)
         out.append((i, len(words), sum(gone), b" ".join(w for w, g in zip(words, gone) if not g).decode()))
     return out
 
@@ -28,12 +31,11 @@ def found(docs, width):
 
 
 def test_odd_rows(spark, odd, odd_rows, no_docs):
-    """Ids that several rows share, and null ids, stand in the order of reading."""
-    one_file = odd.coalesce(1)
-    ordered = sorted(odd_rows, key=lambda r: (r[0] is None, r[0] or 0))
+    more = [(11, passage(0, 25) + " x " + passage(3, 30)), (11, passage(3, 30)), (None, "x " + passage(500, 30))]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string")).repartition(3)
     for width in (3, 20):
-        assert sorted(found(one_file, width), key=repr) == sorted(brute(ordered, width), key=repr)
-    assert found(no_docs, 20) == []
+        assert sorted(found(docs, width), key=repr) == sorted(brute(odd_rows + more, width), key=repr)
+    assert found(odd, 20) and found(no_docs, 20) == []
 
 
 def corpus(n, seed):
@@ -53,8 +55,6 @@ def test_shared_passages(spark, width, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SLICE", 200)
     rows = corpus(120, width)
     docs = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc_id bigint, text string").repartition(5)
-    # repartition() deals rows out by place, so read it from a fixed state
-    docs = docs.sortWithinPartitions("doc_id")
     assert sorted(found(docs, width)) == brute(rows, width)
 
 
