@@ -3,16 +3,16 @@
 Every way to spell a text in pieces is a path through its lattice; a path's weight is the product of
 its pieces' weights. The forward pass sums the weights of all paths to each place; the backward pass
 walks from the end and draws each piece with its share of that sum, so whole segmentations come out
-with exactly their probability. The draws are hashes of the row key, the place of the word in its
+with exactly their probability. The draws are hashes of the row key, the place of the part in its
 text and the step, so a row gets the same pieces wherever and whenever it is encoded.
 
-No piece reaches across the start of a run of blanks or a line break, so a text is cut there and the
-parts are sampled alone; a part's lattice is kept and used again wherever the part comes up.
+A text is cut where no piece of the vocabulary reaches across, and the parts are sampled alone; a
+part's lattice is kept and used again wherever the part comes up. All work is done for many texts at
+once, in arrays.
 """
 
 from __future__ import annotations
 
-import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -20,33 +20,20 @@ from pyspark.sql import functions as F
 
 #: Share of a piece: its rank in the model to the power -SHARPNESS. Higher: fewer, commoner pieces.
 SHARPNESS = 1.0
-#: A longer stretch without a blank is cut, so that a lattice is bounded.
+#: A longer stretch without a cut is cut there, so that a lattice is bounded.
 LONGEST = 2_048
-#: Lattices kept by a worker; when there are more it begins anew.
-KEPT_STATES, KEPT_PARTS = 1 << 22, 300_000
-#: Places sampled at once.
-CHUNK = 1 << 19
-
-_BLANKS, _WORD = rf" {{0,{LONGEST}}}+", rf"{{1,{LONGEST}}}+"
-_PART = rf"{_BLANKS}[^ \n]{_WORD}| {_WORD}"
-
-
-def part_pattern(pieces: list[str]) -> re.Pattern:
-    """How a text is cut into parts that no piece reaches across: before blanks, around line breaks
-    and, where the vocabulary allows it, between letters and anything else. The few letters that
-    some piece has before a non-letter are left out of that rule, with the word they stand in."""
-    joined = "\n".join(pieces)
-    if re.search(r"(?:[^\w \n]|[\d_])[^\W\d_]", joined):
-        return re.compile(rf"\n|{_PART}")
-    odd = "".join(sorted(set(re.findall(r"([^\W\d_])(?=[^\w\n]|[\d_])", joined))))
-    alone = f"(?![{odd}])" if odd else ""
-    return re.compile(
-        rf"\n|{_BLANKS}[^\W\d_{odd}]{_WORD}{alone}|{_BLANKS}(?:[^\w \n]|[\d_]){_WORD}{alone}|{_PART}"
-    )
-
-
-_BASES = [np.uint64(x) for x in (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)]
+#: Lattices of parts of up to so many characters are kept by a worker; when there are more states
+#: than this it begins anew.
+KEPT_CHARS, KEPT_STATES = 32, 1 << 21
+#: Characters encoded at once.
+SLICE = 1 << 19
+
+#: Kinds of characters.
+OTHER, LETTER, BLANK, BREAK = range(4)
+
+_BASES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_POWERS: dict = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,6 +44,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _hashes(chars: np.ndarray, base: np.uint64, ends: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` characters up to each end."""
+    out = np.zeros(len(ends), np.uint64)
+    for k in range(n):
+        out = out * base + chars[ends - (n - 1 - k)]
+    return out
+
+
+def _part_hashes(chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: np.uint64) -> np.ndarray:
+    """A hash of each part, from prefix sums of a polynomial modulo 2**64; parts of up to
+    ``KEPT_CHARS`` characters are too short for its known weakness (which takes 2**11)."""
+    n = len(chars)
+    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+        size = max(n, SLICE + (SLICE >> 2))
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        _POWERS[base] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (base, inverse))
+    up, down = _POWERS[base]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((chars + np.uint64(1)) * up[:n], dtype=np.uint64)])
+    return _mixed((sums[starts + sizes] - sums[starts]) * down[starts])
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Some stretches of an array end to end."""
+    offsets = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - offsets, sizes) + np.arange(int(sizes.sum()))]
+
+
 class Pieces:
     """The vocabulary of a SentencePiece model, with blanks written as blanks."""
 
@@ -66,24 +84,38 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.size = model.get_piece_size()
         self.byte_ids = np.zeros(256, np.int32)
-        self.spelled: list[bytes] = []
         self.share: dict[str, tuple[int, float]] = {}
+        spelled: list[bytes] = []
         for k in range(self.size):
             piece = model.id_to_piece(k)
             if model.is_byte(k):
                 value = int(piece[3:5], 16)
                 self.byte_ids[value] = k
-                self.spelled.append(bytes([value]))
+                spelled.append(bytes([value]))
             elif model.is_control(k) or model.is_unknown(k) or model.is_unused(k):
-                self.spelled.append(b"")
+                spelled.append(b"")
             else:
                 piece = piece.replace("▁", " ")
                 self.share[piece] = (k, (2.0 - model.get_score(k)) ** -sharpness)
-                self.spelled.append(piece.encode())
-        self.longest = max(map(len, self.share))
+                spelled.append(piece.encode())
         self.byte_share = (2.0 + self.size) ** -sharpness
-        self.parts = part_pattern(list(self.share))
+        self.pool = np.frombuffer(b"".join(spelled), np.uint8)
+        self.pool_size = np.array([len(x) for x in spelled], np.int64)
+        self.pool_from = np.cumsum(self.pool_size) - self.pool_size
+
+        # Kinds of characters; beyond the basic plane all are ``OTHER``.
+        self.kinds = np.zeros(1 << 16, np.uint8)
+        self.kinds[[k for k in range(1 << 16) if chr(k).isalpha()]] = LETTER
+        self.kinds[0x20], self.kinds[0x0A] = BLANK, BREAK
+        # Letters that some piece has before a non-letter; and is there a piece the other way round?
+        joined = _chars("\n".join(self.share))
+        old, new = self._kinds(joined)[:-1], self._kinds(joined)[1:]
+        self.odd = np.zeros(1 << 16, bool)
+        self.odd[joined[:-1][(old == LETTER) & (new == OTHER)]] = True
+        self.letters_apart = not ((old == OTHER) & (new == LETTER)).any()
+
         # Pieces by length: their hashes in order, a second hash to be sure, their ids and shares.
+        self.longest = max(map(len, self.share))
         self.by_length = []
         for n in range(1, self.longest + 1):
             own = [(p, *v) for p, v in self.share.items() if len(p) == n]
@@ -95,10 +127,30 @@ class Pieces:
                 ids, shares = np.array([k for _, k, _ in own], np.int32), np.array([w for _, _, w in own])
                 self.by_length.append((n, one[order], two[order], ids[order], shares[order]))
 
-    def matches(self, text: str, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Every piece inside a part of the joined ``text``: the place of its last character, its
-        length, id and share. ``first`` says where the part of each character begins."""
-        chars = _chars(text)
+    def _kinds(self, chars: np.ndarray) -> np.ndarray:
+        return np.where(chars < 1 << 16, self.kinds[np.minimum(chars, 0xFFFF)], OTHER)
+
+    def cut(self, chars: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where the parts of texts begin (texts end to end, each from its place in ``begins``): before
+        blanks, around line breaks and, where the vocabulary allows it, between letters and others."""
+        if not len(chars):
+            return np.zeros(0, np.int64)
+        kinds = self._kinds(chars)
+        old, new = kinds[:-1], kinds[1:]
+        edge = (old == BREAK) | (new == BREAK) | (new == BLANK) & (old != BLANK)
+        if self.letters_apart:
+            apart = (old <= LETTER) & (new <= LETTER) & (old != new)
+            edge |= apart & ~((old == LETTER) & self.odd[np.minimum(chars[:-1], 0xFFFF)])
+        mark = np.r_[True, edge]
+        mark[begins] = True
+        starts = np.flatnonzero(mark)
+        sizes = np.diff(np.r_[starts, len(chars)])
+        more = [np.arange(starts[k] + LONGEST, starts[k] + sizes[k], LONGEST) for k in np.flatnonzero(sizes > LONGEST)]
+        return np.sort(np.concatenate([starts, *more])) if more else starts
+
+    def matches(self, chars: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Every piece inside a part: the place of its last character, its length, id and share.
+        ``first`` says where the part of each character begins."""
         found = []
         places = np.arange(len(chars))
         bare = np.ones(len(chars), bool)
@@ -117,25 +169,44 @@ class Pieces:
         found.append((ends, np.ones(len(ends), np.int64), (self.size + chars[ends]).astype(np.int32), self.byte_share**wide))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-
-def _chars(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _hashes(chars: np.ndarray, base: np.uint64, ends: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the ``n`` characters up to each end."""
-    out = np.zeros(len(ends), np.uint64)
-    for k in range(n):
-        out = out * base + chars[ends - (n - 1 - k)]
-    return out
+    def with_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Ids with bare characters (numbered from the vocabulary's size on) spelled in byte pieces, and
+        how many ids each of them has become; None if none has."""
+        bare = np.flatnonzero(ids >= self.size)
+        if not len(bare):
+            return ids, None
+        spelled = [self.byte_ids[list(chr(int(c)).encode(errors="replace"))] for c in ids[bare] - self.size]
+        many = np.ones(len(ids), np.int64)
+        many[bare] = own = np.array([len(x) for x in spelled])
+        out = np.repeat(ids, many)
+        first = (np.cumsum(many) - many)[bare]
+        flat = np.concatenate(spelled)
+        out[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(len(flat))] = flat
+        return out, many
+
+    def spell(self, rows: pa.Array) -> list[bytes | None]:
+        """The bytes of each row of ids, some rows at a time."""
+        null = rows.is_null().to_numpy(zero_copy_only=False)
+        sizes = np.where(null, 0, rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        ids = rows.flatten().to_numpy(zero_copy_only=False)
+        upto = np.r_[0, np.cumsum(sizes)]
+        out: list[bytes | None] = []
+        while len(out) < len(sizes):
+            k = len(out)
+            stop = max(k + 1, int(np.searchsorted(upto, upto[k] + SLICE, "right")) - 1)
+            part = ids[upto[k] : upto[stop]]
+            raw = _gathered(self.pool, self.pool_from[part], self.pool_size[part]).tobytes()
+            ends = np.r_[0, np.cumsum(self.pool_size[part])][upto[k : stop + 1] - upto[k]].tolist()
+            out += [None if n else raw[a:b] for a, b, n in zip(ends[:-1], ends[1:], null[k:stop])]
+        return out
 
 
 class Lattices:
-    """The sampling tables of text parts, end to end in arrays that are searched for all places at once.
+    """The sampling tables of text parts.
 
-    A state is a place in a part. The choices of a state are the pieces that end there, with the
-    state each comes from; ``upto`` holds the state's number plus the running share of its choices,
-    so it rises through the whole array and one search finds the choice of every draw.
+    A state is a place in a part. The choices of a state are the pieces that end there, the longest
+    first, with the state each comes from; ``upto`` is the running share of its choices. Parts are
+    known by 128 bits of hashes.
     """
 
     def __init__(self, pieces: Pieces):
@@ -143,41 +214,44 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.states = self.filled = 0
+        self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # in order of the first
+        self.stop_of = np.zeros(0, np.int64)  # the first state of each kept part
+        self.states = self.choices = 0
+        self.first = np.zeros(1 << 15, np.int32)  # the first choice of each state
         self.upto, self.origin, self.piece = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
-    def add(self, parts: list[str]) -> None:
-        """Forward filtering of parts not met before, all together: first every place where a piece
-        ends, then the masses of the first place of all parts, of the second, and so on."""
-        if not parts:
-            return
-        sizes = np.array([len(p) for p in parts], np.int64)
-        owner = np.repeat(np.arange(len(parts)), sizes)
+    def _grow(self, states: int, choices: int) -> None:
+        for name, need in (("first", states), ("upto", choices), ("origin", choices), ("piece", choices)):
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
+
+    def add(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Forward filtering of parts (end to end), all together: first every place where a piece
+        ends, then the masses of the first place of all parts, of the second, and so on. Returns the
+        first state of each part."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         first_char = np.cumsum(sizes) - sizes
-        first_state = first_char + np.arange(len(parts))  # a part has a state more than characters
-        end, length, piece, share = self.pieces.matches("".join(parts), first_char[owner])
+        first_state = first_char + np.arange(len(sizes))  # a part has a state more than characters
+        end, length, piece, share = self.pieces.matches(chars, first_char[owner])
         state = end + 1 + owner[end]
         depth = end + 1 - first_char[owner[end]]
-        order = np.lexsort((-length, state, depth))
+        order = np.argsort((depth * (len(chars) + len(sizes) + 1) + state) * (self.pieces.longest + 1) - length)
         state, depth, length, piece, share = (x[order] for x in (state, depth, length, piece, share))
 
-        mass = np.zeros(len(owner) + len(parts))
+        mass = np.zeros(len(owner) + len(sizes))
         mass[first_state] = 1.0
         shares = np.empty(len(state))
         begins = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
+        stops = np.r_[begins[1:], len(state)]
         rounds = np.searchsorted(depth[begins], np.arange(1, int(sizes.max()) + 2))
-        for r in range(len(rounds) - 1):
-            groups = begins[rounds[r] : rounds[r + 1]]
-            if not len(groups):
+        for r, (a, b) in enumerate(zip(rounds[:-1], rounds[1:])):
+            if a == b:
                 continue
-            stop = begins[rounds[r + 1]] if rounds[r + 1] < len(begins) else len(state)
-            at = slice(int(groups[0]), int(stop))
+            groups, at = begins[a:b], slice(int(begins[a]), int(stops[b - 1]))
             part_of = mass[state[at] - length[at]] * share[at]
             total = np.add.reduceat(part_of, groups - groups[0])
-            shares[at] = part_of / np.repeat(total, np.diff(np.r_[groups, stop]))
+            shares[at] = part_of / np.repeat(total, stops[a:b] - groups)
             mass[state[groups]] = total
             low = state[groups[total < 1e-150]]
             if len(low):  # only shares count: keep the last places in range
@@ -185,49 +259,65 @@ class Lattices:
                 mass[back] *= 1e150
 
         running = np.cumsum(shares)
-        running -= np.repeat(running[begins] - shares[begins], np.diff(np.r_[begins, len(state)]))
-        running[np.r_[begins[1:], len(state)] - 1] = 1.0
-        order = np.argsort(state, kind="stable")
-        need = self.filled + len(state)
-        while need > len(self.upto):
-            for name in ("upto", "origin", "piece"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        new = slice(self.filled, need)
-        self.upto[new] = (self.states + state + np.minimum(running, 1.0))[order]
-        self.origin[new] = (self.states + state - length)[order]
-        self.piece[new] = piece[order]
-        self.filled = need
-        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
-        self.starts.append(self.states + first_state)
-        self.sizes.append(sizes)
+        running -= np.repeat(running[begins] - shares[begins], stops - begins)
+        running[stops - 1] = 1.0
+        self._grow(self.states + len(mass), self.choices + len(state))
+        new = slice(self.choices, self.choices + len(state))
+        self.upto[new], self.origin[new], self.piece[new] = running, self.states + state - length, piece
+        self.first[self.states + state[begins]] = self.choices + begins
+        self.choices += len(state)
         self.states += len(mass)
+        return self.states - len(mass) + first_state
 
-    def sample(self, parts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def states_of(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The first state of each part, new parts being added."""
+        if self.states > KEPT_STATES:
+            self.clear()
+        one, two = (_part_hashes(chars, starts, sizes, base) for base in _BASES)
+        short = sizes <= KEPT_CHARS
+        at, known = self._known(one, two, short)
+        new = np.flatnonzero(short & ~known)
+        if len(new):
+            _, pick = np.unique(one[new], return_index=True)
+            which = new[pick]
+            stop = self.add(_gathered(chars, starts[which], sizes[which]), sizes[which])
+            joined = np.concatenate([self.one, one[which]])
+            order = np.argsort(joined)
+            self.one, self.two = joined[order], np.concatenate([self.two, two[which]])[order]
+            self.stop_of = np.concatenate([self.stop_of, stop])[order]
+            at, known = self._known(one, two, short)
+        stop = self.stop_of[at] if len(self.stop_of) else np.zeros(len(at), np.int64)
+        rest = np.flatnonzero(~known)  # long parts, each for itself, and parts that share a first hash
+        if len(rest):
+            stop[rest] = self.add(_gathered(chars, starts[rest], sizes[rest]), sizes[rest])
+        return stop
+
+    def _known(self, one: np.ndarray, two: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.one):
+            return np.zeros(len(one), np.int64), np.zeros(len(one), bool)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return at, short & (self.one[at] == one) & (self.two[at] == two)
+
+    def sample(self, stop: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling: numbers of all pieces, and how many each part has. A number from the
         size of the vocabulary on is a character to be spelled in bytes."""
-        if len(self.number) > KEPT_PARTS or self.states > KEPT_STATES:
-            self.clear()
-        self.add([p for p in dict.fromkeys(parts) if p not in self.number])
-        if not parts:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.starts, self.sizes = [np.concatenate(self.starts)], [np.concatenate(self.sizes)]
-        found = np.array([self.number[p] for p in parts], np.int64)
-        stop = self.starts[0][found]
-        at = stop + self.sizes[0][found]
-        active = np.arange(len(parts))
-        steps, upto = [], self.upto[: self.filled]
+        at = stop + sizes
+        active = np.arange(len(stop))
+        steps = []
         turn = np.zeros(1, np.uint64)
+        counts = np.zeros(len(stop), np.int64)
         while len(active):
             turn += _MIX[2]
-            draw = (_mixed(keys[active] + turn) >> np.uint64(20)).astype(np.float64) / 2.0**44
-            choice = np.searchsorted(upto, at[active] + draw, "right")
+            draw = (_mixed(keys[active] + turn) >> np.uint64(11)).astype(np.float64) / 2.0**53
+            choice = self.first[at[active]].astype(np.int64)
+            behind = np.flatnonzero(self.upto[choice] <= draw)
+            while len(behind):
+                choice[behind] += 1
+                behind = behind[self.upto[choice[behind]] <= draw[behind]]
             steps.append((active, self.piece[choice]))
+            counts[active] += 1
             at[active] = self.origin[choice]
             active = active[at[active] > stop[active]]
-        counts = np.zeros(len(parts), np.int64)
-        for who, _ in steps:
-            counts[who] += 1
         last = np.cumsum(counts) - 1
         out = np.zeros(int(counts.sum()), np.int32)
         for k, (who, piece) in enumerate(steps):  # drawn from the end of a part to its start
@@ -235,6 +325,39 @@ class Lattices:
         return out, counts
 
 
+def sample_ids(lattices: Lattices, texts: list[str | None], keys: list[int | None], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled ids of all texts end to end, and how many each has."""
+    row_keys = _mixed(np.array([k or 0 for k in keys], np.int64).view(np.uint64) ^ np.uint64(seed % 2**64))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    done = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= SLICE or k == len(texts) - 1:
+            found.append(_slice_ids(lattices, texts[done : k + 1], row_keys[done : k + 1]))
+            done, size = k + 1, 0
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _slice_ids(lattices: Lattices, texts: list[str | None], row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(t or "") for t in texts], np.int64)
+    chars = _chars("".join(t for t in texts if t))
+    begins = np.cumsum(lengths) - lengths
+    starts = lattices.pieces.cut(chars, begins[lengths > 0])
+    sizes = np.diff(np.r_[starts, len(chars)])
+    text = np.searchsorted(begins + lengths, starts, "right")
+    per_text = np.bincount(text, minlength=len(texts))
+    place = np.arange(len(starts)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    keys = _mixed(row_keys[text] + place.astype(np.uint64) * _MIX[0])
+    ids, counts = lattices.sample(lattices.states_of(chars, starts, sizes), sizes, keys)
+    ends = np.r_[0, np.cumsum(counts)][np.cumsum(per_text)]
+    ids, many = lattices.pieces.with_bytes(ids)
+    if many is not None:
+        ends = np.r_[0, np.cumsum(many)][ends]
+    return ids, np.diff(np.r_[0, ends])
+
+
 _WORKER: dict = {}
 
 
@@ -246,68 +369,18 @@ def _lattices(model_file: str, sharpness: float) -> Lattices:
     return _WORKER[at]
 
 
-def _pieces(model_file: str) -> Pieces:
-    return _lattices(model_file, SHARPNESS).pieces
-
-
-def sample_ids(lattices: Lattices, texts: list[str | None], keys: list[int | None], seed: int) -> list[np.ndarray]:
-    """The sampled ids of each text."""
-    row_keys = _mixed(np.array([k or 0 for k in keys], np.int64).view(np.uint64) ^ np.uint64(seed % 2**64))
-    out: list[np.ndarray] = []
-    waiting: list[str] = []
-    sizes: list[int] = []
-
-    def flush() -> None:
-        n = np.array(sizes, np.int64)
-        rows = np.arange(len(out_rows := row_keys[len(out) : len(out) + len(sizes)]))
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        part_keys = _mixed(out_rows[np.repeat(rows, n)] + place.astype(np.uint64) * _MIX[0])
-        ids, counts = [], np.zeros(0, np.int64)
-        for k in range(0, len(waiting), CHUNK):
-            got, many = lattices.sample(waiting[k : k + CHUNK], part_keys[k : k + CHUNK])
-            ids.append(got)
-            counts = np.concatenate([counts, many])
-        joined = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(n)])]
-        for a, b in zip(ends[:-1], ends[1:]):
-            out.append(_bytes_spelled(joined[a:b], lattices.pieces))
-        waiting.clear()
-        sizes.clear()
-
-    for text in texts:
-        parts = lattices.pieces.parts.findall(text or "")
-        waiting += parts
-        sizes.append(len(parts))
-        if len(waiting) >= CHUNK:
-            flush()
-    flush()
-    return out
-
-
-def _bytes_spelled(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
-    if not len(ids) or ids.max() < pieces.size:
-        return ids
-    spelled = []
-    start = 0
-    for k in np.flatnonzero(ids >= pieces.size).tolist():
-        spelled += [ids[start:k], pieces.byte_ids[list(chr(int(ids[k]) - pieces.size).encode())]]
-        start = k + 1
-    return np.concatenate([*spelled, ids[start:]])
-
-
 def encoded(text: Column, key: Column, model_file: str, seed: int = 0, sharpness: float = SHARPNESS) -> Column:
     """A sampled segmentation of each whole text, as ``array<int>`` of piece ids.
 
     The same key, text and seed give the same ids everywhere. A null or empty text gives no ids; a
     null key counts as one key of its own; repeated rows get equal ids. Characters without a piece,
     and the piece mark itself, are spelled in byte pieces, so nothing is lost. A stretch of more
-    than ``LONGEST`` characters without a blank is cut there.
+    than ``LONGEST`` characters without a cut is cut there.
     """
 
     def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        ids = sample_ids(_lattices(model_file, sharpness), texts.to_pylist(), keys.to_pylist(), seed)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+        ids, counts = sample_ids(_lattices(model_file, sharpness), texts.to_pylist(), keys.to_pylist(), seed)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids, pa.int32()))
 
     return F.arrow_udf(run, "array<int>")(text, F.xxhash64(key))
 
@@ -316,8 +389,7 @@ def decoded(ids: Column, model_file: str) -> Column:
     """The text of ids: pieces and bytes end to end. Null ids give null."""
 
     def run(rows: pa.Array) -> pa.Array:
-        spelled = _pieces(model_file).spelled
-        texts = [None if r is None else b"".join([spelled[k] for k in r]).decode(errors="replace") for r in rows.to_pylist()]
-        return pa.array(texts, pa.string())
+        texts = _lattices(model_file, SHARPNESS).pieces.spell(rows)
+        return pa.array([None if t is None else t.decode(errors="replace") for t in texts], pa.string())
 
     return F.arrow_udf(run, "string")(ids)
