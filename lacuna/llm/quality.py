@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from .samples import coded, fold, labelled_sample
 
 #: Bounds of the sample that is fitted, read by the driver: texts per class, code points of a text.
-PER_CLASS, MAX_CHARS = 4_000, 20_000
+PER_CLASS, MAX_CHARS = 3_000, 20_000
 #: An n-gram counts as an indicator at each of these shares of the tokens it reaches; 0: it is there.
 DENSITIES = (0.0, 1 / 32, 1 / 8, 1 / 2)
 #: Shapes the model knows; others are one shape.
 SHAPES = 1_024
+#: Characters looked at at once.
+SLICE = 1 << 21
 EPOCHS, COST = 10, 0.005
 ACCEPT = 0.7
 
@@ -43,7 +45,19 @@ class Grams:
         self.base = 2 * len(shapes) + 2
 
     def indicators(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, feature) pairs, sorted: feature is an n-gram's number with its density."""
+        """(text, feature) pairs, sorted: feature is an n-gram's number with its density. Texts are
+        looked at some at a time."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        begin = size = 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size >= SLICE or k == len(texts) - 1:
+                who, feature = self._indicators(texts[begin : k + 1])
+                found.append((who + begin, feature))
+                begin, size = k + 1, 0
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _indicators(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         parts = [(t or "").split() for t in texts]
         sizes = np.array([len(p) for p in parts], np.int64)
         codes, different = coded(t for p in parts for t in p)
