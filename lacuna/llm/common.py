@@ -9,8 +9,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: texts of a few kilobytes make batches of some megabytes.
-BATCH_ROWS = 2_000
+#: Rows of one Arrow batch: texts of a few kilobytes make batches of a few megabytes.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,19 +114,37 @@ def repeat_filter(digests: DataFrame, filter_mb: int = 32) -> np.ndarray:
     return bits
 
 
-def _maybe(digests: DataFrame, bits: np.ndarray):
-    """A boolean UDF: were all slots of a hash seen again?"""
-    sent = digests.sparkSession.sparkContext.broadcast(bits)
+def _seen_again(shas: pa.Array, bits: np.ndarray) -> pa.Array:
+    if not len(shas):
+        return pa.array([], pa.bool_())
+    return pa.array(_bit(bits, _slots(shas.to_pylist(), 8 * len(bits))).all(axis=1))
+
+
+def _maybe(sent: Broadcast):
+    """A UDF of hashes: were all slots seen again?"""
 
     @F.arrow_udf("boolean")
     def maybe(shas: pa.Array) -> pa.Array:
-        if not len(shas):
-            return pa.array([], pa.bool_())
-        return pa.array(_bit(sent.value, _slots(shas.to_pylist(), 8 * len(sent.value))).all(axis=1))
+        return _seen_again(shas, sent.value)
 
     return maybe
 
 
+def _flagged_digest(sent: Broadcast):
+    """A UDF of texts: their digest with a flag ``maybe``, in one step."""
+
+    @F.arrow_udf("struct<sha: binary, points: bigint, maybe: boolean>")
+    def flagged(texts: pa.Array) -> pa.Array:
+        sha, points = _digest(texts).flatten()
+        return pa.StructArray.from_arrays([sha, points, _seen_again(sha, sent.value)], ["sha", "points", "maybe"])
+
+    return flagged
+
+
+def _sent_filter(rows: DataFrame, filter_mb: int) -> Broadcast:
+    return rows.sparkSession.sparkContext.broadcast(repeat_filter(rows, filter_mb))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, sha, points, tag`` of every row, written once; ``tag`` tells repeated rows apart."""
     return stage(
@@ -144,7 +163,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     empty, and empty texts equal each other. An empty table gives no rows.
     """
     rows = digests(docs, id_col, text_col)
-    flagged = rows.withColumn("maybe", _maybe(rows, repeat_filter(rows, filter_mb))("sha"))
+    flagged = rows.withColumn("maybe", _maybe(_sent_filter(rows, filter_mb))("sha"))
     alone = flagged.where("not maybe").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
@@ -167,8 +186,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text in a join that AQE splits when one text is very frequent.
     """
     rows = digests(docs, id_col, text_col)
-    maybe = _maybe(rows, repeat_filter(rows, filter_mb))
-    repeats = rows.where(maybe("sha"))
+    sent = _sent_filter(rows, filter_mb)
+    repeats = rows.where(_maybe(sent)("sha"))
     order = F.struct((-F.col("points")).alias("less"), F.col("id").isNull(), F.col("id").alias("keep_id"))
     best = repeats.groupBy("sha").agg(F.min(order).alias("best"))
     wins = repeats.join(best, "sha").where("points = -best.less").where(F.col("id").eqNullSafe(F.col("best.keep_id")))
@@ -176,8 +195,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wins.groupBy("sha").agg(F.first("points").alias("points"), F.first("id").alias("keep_id"), F.count("*").alias("rows"))
     )
 
-    marked = packed(docs, F.col(id_col).alias("id"), digest(F.col(text_col)).alias("d")).select("row", "id", "d.sha", "d.points")
-    marked = marked.withColumn("maybe", maybe("sha"))
+    marked = packed(docs, F.col(id_col).alias("id"), _flagged_digest(sent)(F.col(text_col)).alias("d")).select("row", "id", "d.*")
     alone = marked.where("not maybe").select("row")
     first = (
         marked.where("maybe")

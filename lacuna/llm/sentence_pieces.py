@@ -24,9 +24,9 @@ SHARPNESS = 1.0
 LONGEST = 2_048
 #: Lattices of parts of up to so many characters are kept by a worker; when there are more states
 #: than this it begins anew.
-KEPT_CHARS, KEPT_STATES = 32, 1 << 21
+KEPT_CHARS, KEPT_STATES = 32, 1 << 19
 #: Characters encoded at once.
-SLICE = 1 << 19
+SLICE = 1 << 16
 
 #: Kinds of characters.
 OTHER, LETTER, BLANK, BREAK = range(4)
@@ -224,7 +224,7 @@ class Lattices:
         for name, need in (("first", states), ("upto", choices), ("origin", choices), ("piece", choices)):
             old = getattr(self, name)
             if need > len(old):
-                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, len(old) + len(old) // 4) - len(old), old.dtype)]))
 
     def add(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Forward filtering of parts (end to end), all together: first every place where a piece
@@ -281,10 +281,9 @@ class Lattices:
             _, pick = np.unique(one[new], return_index=True)
             which = new[pick]
             stop = self.add(_gathered(chars, starts[which], sizes[which]), sizes[which])
-            joined = np.concatenate([self.one, one[which]])
-            order = np.argsort(joined)
-            self.one, self.two = joined[order], np.concatenate([self.two, two[which]])[order]
-            self.stop_of = np.concatenate([self.stop_of, stop])[order]
+            place = np.searchsorted(self.one, one[which])  # both are in order
+            self.one, self.two = np.insert(self.one, place, one[which]), np.insert(self.two, place, two[which])
+            self.stop_of = np.insert(self.stop_of, place, stop)
             at, known = self._known(one, two, short)
         stop = self.stop_of[at] if len(self.stop_of) else np.zeros(len(at), np.int64)
         rest = np.flatnonzero(~known)  # long parts, each for itself, and parts that share a first hash

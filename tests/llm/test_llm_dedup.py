@@ -70,7 +70,7 @@ def test_filter_has_every_repeat_and_few_others(spark):
     rows = [(k, f"text {k if k % 10 else 0}") for k in range(3_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     digests = exact_dedup.digests(docs)
-    maybe = exact_dedup._maybe(digests, exact_dedup.repeat_filter(digests))
+    maybe = exact_dedup._maybe(exact_dedup._sent_filter(digests, 32))
     found = {r.id for r in digests.where(maybe("sha")).collect()}
     assert {k for k in range(0, 3_000, 10)} <= found
     assert len(found) < 400
