@@ -4,7 +4,8 @@ Indicators of n-grams are scaled by the log of how much likelier the n-gram is i
 texts, and a linear model with hinge loss is fitted on them by dual coordinate descent; a sigmoid
 turns its margin into a score. What makes a text bad is its form more than its vocabulary, which has
 no end: the n-grams are of token shapes (``Token,`` is ``Aa,``), where a token equal to the one before
-it is marked, and each is an indicator at several densities.
+it is marked, and each is an indicator at several densities. A long token, as texts without blanks
+have, counts as several, so that all of it is looked at.
 """
 
 from __future__ import annotations
@@ -25,16 +26,33 @@ PER_CLASS, MAX_CHARS = 3_000, 20_000
 DENSITIES = (0.0, 1 / 32, 1 / 8, 1 / 2)
 #: Shapes the model knows; others are one shape.
 SHAPES = 1_024
+#: Code points and shape runs of a token; what is longer counts as several tokens.
+PIECE, RUNS = 64, 8
 #: Characters looked at at once.
 SLICE = 1 << 21
 EPOCHS, COST = 10, 0.005
 ACCEPT = 0.7
 
 
+def _kind(c: str) -> str:
+    return "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+
+
 def shape_of(token: str) -> str:
     """Runs of capitals, small letters and digits as one sign each; other signs once per run."""
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token[:64])
-    return "".join(k for k, _ in groupby(kinds))[:8]
+    return "".join(k for k, _ in groupby(map(_kind, token)))
+
+
+def pieces_of(token: str) -> list[str]:
+    """The whole token in pieces: at most ``PIECE`` code points each, and ``RUNS`` runs."""
+    if len(token) <= RUNS or len(token) <= PIECE and len(shape_of(token)) <= RUNS:
+        return [token]
+    out = []
+    for k in range(0, len(token), PIECE):
+        part = token[k : k + PIECE]
+        edges = np.cumsum([len(list(run)) for _, run in groupby(map(_kind, part))])[RUNS - 1 :: RUNS].tolist()
+        out += [part[a:b] for a, b in zip([0, *edges], [*edges, len(part)]) if a < b]
+    return out
 
 
 class Grams:
@@ -59,10 +77,15 @@ class Grams:
 
     def _indicators(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         parts = [(t or "").split() for t in texts]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        codes, different = coded(t for p in parts for t in p)
+        tokens, different = coded(t for p in parts for t in p)
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        # Each token gives way to its pieces, nearly always one.
+        pieces = [pieces_of(t) for t in different]
+        counts = np.array([len(p) for p in pieces], np.int64)
+        of, different = coded(x for p in pieces for x in p)
+        owner, codes = np.repeat(owner, counts[tokens]), of[_ranges((np.cumsum(counts) - counts)[tokens], counts[tokens])]
+        sizes = np.bincount(owner, minlength=len(texts))
         shape = np.array([self.number.get(shape_of(t), 0) for t in different] or [0], np.int64)
-        owner = np.repeat(np.arange(len(texts)), sizes)
         same = np.r_[False, (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])] if len(codes) else np.zeros(0, bool)
         one = 2 * shape[codes] + same if len(codes) else np.zeros(0, np.int64)
         pair = np.flatnonzero(owner[1:] == owner[:-1])
@@ -81,6 +104,11 @@ class Grams:
         return who[order], feature[order]
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count says, end to end."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 @dataclass(frozen=True)
 class Model:
     grams: Grams
@@ -161,7 +189,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, cost: float = COST)
     texts, y = [t for t, _ in sample], np.where(np.array([label for _, label in sample]) > 0, 1.0, -1.0)
     counted: dict[str, int] = {}
     for t in texts:
-        for s in {shape_of(w) for w in set(t.split())}:
+        for s in {shape_of(x) for w in set(t.split()) for x in pieces_of(w)}:
             counted[s] = counted.get(s, 0) + 1
     grams = Grams(sorted(counted, key=lambda s: (-counted[s], s))[:SHAPES])
     who, feature = grams.indicators(texts)

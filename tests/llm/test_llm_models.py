@@ -119,3 +119,17 @@ def test_held_out_follows_the_checksum(spark):
     for held, folds, rest in ((toxicity.held_out, 3, 1), (quality.held_out, 4, 2)):
         got = {r[0]: r[1] for r in ids.select("doc_id", held()).collect()}
         assert got == {k: zlib.crc32(str(k).encode()) % folds == rest for k in range(50)} | {None: False}
+
+
+def test_long_tokens_are_looked_at_whole():
+    for token in ("a", "Word,", "日" * 200 + "。" * 70, "aB3-" * 50, "x" * 64 + "1" * 64 + "-"):
+        pieces = quality.pieces_of(token)
+        assert "".join(pieces) == token
+        assert all(0 < len(p) <= quality.PIECE and len(quality.shape_of(p)) <= quality.RUNS for p in pieces)
+
+
+def test_the_end_of_a_long_token_reaches_the_score():
+    prose, junk = "日本語の文章は空白を含まない。" * 100, "a1B2c3D4" * 400
+    sample = [(prose[k % 15 :][: 200 + k], 1) for k in range(60)] + [(prose[k % 15 :][: 200 + k] + junk, 0) for k in range(60)]
+    good, bad = quality.fit(sample).scores([prose[:400], prose[:400] + junk])
+    assert good > quality.ACCEPT > 0.5 > bad
