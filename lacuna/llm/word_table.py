@@ -2,7 +2,8 @@
 
 A text is cut where the tokenizer cuts it in any case: at blanks and line breaks, and before a stop or
 comma that ends a word of letters. What lies between is looked up by its bytes, read as three 64-bit
-numbers, for all words of many texts at once; only words not met before go to the tokenizer.
+numbers, for all words of many texts at once; only words not met before go to the tokenizer. It is the
+file's as it is, so the string of a special token in a text is that token.
 """
 
 from __future__ import annotations
@@ -52,7 +53,6 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 

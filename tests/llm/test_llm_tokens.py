@@ -188,3 +188,37 @@ def test_encode_and_decode_columns(spark, odd, odd_rows, no_docs):
     assert no_docs.select(sentence_pieces.encoded(F.col("text"), F.col("doc_id"), PIECE_FILE)).count() == 0
     nothing = spark.createDataFrame([(None,)], "ids array<int>")
     assert nothing.select(sentence_pieces.decoded(F.col("ids"), PIECE_FILE)).first()[0] is None
+
+
+SPECIAL_TEXTS = [
+    "a <|endoftext|> b", "x<|endoftext|>y.", "<|startoftext|><|endoftext|>, <|startoftext|>.", "a<|EndOfText|> b",
+    "<|endof text|>", "<|endoftext|>" * 9, "<|endoftext|>\n<|endoftext|>", "é<|endoftext|>. word " + "w" * 90 + "<|startoftext|>",
+]
+
+
+def test_special_tokens_are_those_of_the_file(spark):
+    made = Tokenizer.from_file(WORD_FILE)
+    plain = [t for t in TEXTS if "<|" not in t]
+    words = WordTable(WORD_FILE)
+    for texts in (SPECIAL_TEXTS, SPECIAL_TEXTS[::-1], plain + SPECIAL_TEXTS):
+        expected = [e.ids for e in made.encode_batch(texts, add_special_tokens=False)]
+        assert split(*words.encode([t.encode() for t in texts])) == expected
+    docs = spark.createDataFrame(list(enumerate(SPECIAL_TEXTS)), "doc_id bigint, text string")
+    got = sorted(token_files.round_trip(docs, WORD_FILE).collect(), key=lambda r: r.id)
+    ids = [made.encode(t, add_special_tokens=False).ids + [1] for t in SPECIAL_TEXTS]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids]
+    assert [r.start for r in got] == [0, *np.cumsum([len(x) for x in ids])[:-1].tolist()]
+
+
+ALPHABET_SPECIAL = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", *"aZé.,' \n\t5"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(ALPHABET_SPECIAL, max_size=12).map("".join), max_size=5))
+def test_special_tokens_in_any_text(texts):
+    words, made = test_special_tokens_in_any_text.made
+    expected = [e.ids for e in made.encode_batch(texts, add_special_tokens=False)]
+    assert split(*words.encode([t.encode() for t in texts])) == expected
+
+
+test_special_tokens_in_any_text.made = (WordTable(WORD_FILE), Tokenizer.from_file(WORD_FILE))
