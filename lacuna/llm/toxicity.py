@@ -22,8 +22,9 @@ from .samples import coded, fold, labelled_sample
 
 #: Bounds of the sample that is fitted, read by the driver: texts per class, code points of a text.
 PER_CLASS, MAX_CHARS = 3_000, 20_000
-#: Features kept, the ones that tell the classes apart best.
-FEATURES = 256
+#: A feature is kept, however many there are, if the classes differ in it by so much chi-square: chance
+#: alone does that to one feature in a thousand.
+STRENGTH = 10.83
 MIN_TEXTS = 3
 STEPS = 300
 REJECT = 0.7
@@ -89,7 +90,7 @@ class Model:
         return ends, _sigmoid(self.bias + z), offsets
 
 
-def fit(sample: list[tuple[str, int]], features: int = FEATURES, steps: int = STEPS, decay: float = 5e-5) -> Model:
+def fit(sample: list[tuple[str, int]], strength: float = STRENGTH, steps: int = STEPS, decay: float = 5e-5) -> Model:
     """Full-batch gradient descent (Adam) on the log-loss of the noisy-or, weights starting at zero.
 
     Without texts, or with one label only, all sentences share one score: next to zero, or high if
@@ -113,8 +114,8 @@ def fit(sample: list[tuple[str, int]], features: int = FEATURES, steps: int = ST
     b = np.array([with_it[0][f] for f in names], float)
     n1, n0 = y.sum(), len(y) - y.sum()
     share = (a + b) / (n1 + n0)
-    strength = (a - share * n1) ** 2 / (share * (1 - share) * n1 + 1e-9)
-    names = [names[k] for k in np.lexsort((names, -strength))[:features]]
+    found = (a - share * n1) ** 2 * (n1 + n0) / (share * (1 - share) * n1 * n0 + 1e-9)
+    names = sorted(names[k] for k in np.flatnonzero(found >= strength))
     number = {f: k for k, f in enumerate(names)}
 
     sentence, feature, doc = [], [], []

@@ -133,3 +133,12 @@ def test_the_end_of_a_long_token_reaches_the_score():
     sample = [(prose[k % 15 :][: 200 + k], 1) for k in range(60)] + [(prose[k % 15 :][: 200 + k] + junk, 0) for k in range(60)]
     good, bad = quality.fit(sample).scores([prose[:400], prose[:400] + junk])
     assert good > quality.ACCEPT > 0.5 > bad
+
+
+def test_toxic_words_are_not_counted_off():
+    bad = [a + b + c for a in "bdfgklmnpr" for b in "aeiou" for c in "ktnsxz"]
+    fill = ["all well", "so it goes", "nice day", "you see"]
+    sample = [(f"{fill[k % 4]} {w} here", 1) for w in bad for k in range(12)] + [(f"{fill[k % 4]} here", 0) for k in range(12 * len(bad))]
+    model = toxicity.fit(sample)
+    _, p, _ = model.sentences([f"so it goes {w} here" for w in bad] + fill)
+    assert len(bad) == 300 and (p[:300] >= 0.5).all() and (p[300:] < 0.5).all()
