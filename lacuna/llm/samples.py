@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
@@ -27,8 +30,10 @@ def labelled_sample(
     """At most ``per_class`` whole texts of each label (0 and 1), of at most ``max_chars`` code
     points each: the rows with the smallest hash of the id, so that a sample is the same each time.
 
-    Only ids are sorted; texts are fetched for the chosen ids alone, which are few enough to be
-    broadcast. Null labels, ids and texts are left out, and an id with both labels.
+    Ids are chosen among those that ``docs`` has such a text of, so a class is only smaller than
+    ``per_class`` if there are no more; an empty one gives a warning. Only ids are shuffled and sorted;
+    texts are fetched for the chosen ids alone, which are few enough to be broadcast. Null labels, ids
+    and texts are left out, and an id with both labels.
     """
     given = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & usable)
@@ -38,10 +43,14 @@ def labelled_sample(
         .select(F.col(id_col).alias("id"), F.col("low").cast("int").alias("y"))
     )
     texts = docs.where(F.char_length(text_col) <= max_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    given = stage(given.join(texts.select("id").distinct(), "id", "left_semi"))
     chosen: list[tuple] = []
     for y in (0, 1):
         ids = given.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
-        chosen += [tuple(r) for r in ids.collect()]
+        found = [tuple(r) for r in ids.collect()]
+        if not found:
+            warnings.warn(f"no usable text has the label {label} = {y}", stacklevel=2)
+        chosen += found
     if not chosen:
         return []
     ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, given.schema))

@@ -142,3 +142,13 @@ def test_toxic_words_are_not_counted_off():
     model = toxicity.fit(sample)
     _, p, _ = model.sentences([f"so it goes {w} here" for w in bad] + fill)
     assert len(bad) == 300 and (p[:300] >= 0.5).all() and (p[300:] < 0.5).all()
+
+
+def test_sample_is_chosen_among_usable_texts(spark):
+    docs = spark.createDataFrame([(k, "x" * (50 if k % 3 else 5_000)) for k in range(60)], "doc_id bigint, text string")
+    rows = [(k, k % 2) for k in range(60)] + [(k, k % 2) for k in range(1_000, 9_000)]
+    labels = spark.createDataFrame(rows, "doc_id bigint, toxic int")
+    found = samples.labelled_sample(docs, labels, "toxic", F.lit(True), 15, 1_000)
+    assert sorted(y for _, y in found) == [0] * 15 + [1] * 15 and {t for t, _ in found} == {"x" * 50}
+    with pytest.warns(UserWarning, match="toxic = 1"):
+        samples.labelled_sample(docs, labels.where("toxic = 0"), "toxic", F.lit(True), 15, 1_000)
