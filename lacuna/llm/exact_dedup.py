@@ -42,8 +42,9 @@ def _digest(texts: pa.Array) -> pa.Array:
 
 
 def digest(text: Column) -> Column:
-    """SHA-256 of the text without white space, and the code points of the text as it is."""
-    return F.arrow_udf(_digest, DIGEST)(text)
+    """SHA-256 of the text without white space, and the code points of the text as it is. Marked so that
+    Spark evaluates it once per row."""
+    return F.arrow_udf(_digest, DIGEST).asNondeterministic()(text)
 
 
 def _slots(shas: list[bytes], slots: int) -> np.ndarray:
@@ -138,7 +139,7 @@ def _flagged_digest(sent: Broadcast):
         sha, points = _digest(texts).flatten()
         return pa.StructArray.from_arrays([sha, points, _seen_again(sha, sent.value)], ["sha", "points", "maybe"])
 
-    return flagged
+    return flagged.asNondeterministic()
 
 
 def _sent_filter(rows: DataFrame, filter_mb: int) -> Broadcast:
@@ -189,7 +190,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent = _sent_filter(rows, filter_mb)
     repeats = rows.where(_maybe(sent)("sha"))
     order = F.struct((-F.col("points")).alias("less"), F.col("id").isNull(), F.col("id").alias("keep_id"))
-    best = repeats.groupBy("sha").agg(F.min(order).alias("best"))
+    # Written, so that AQE can split a text that a third of the rows have.
+    best = stage(repeats.groupBy("sha").agg(F.min(order).alias("best")))
     wins = repeats.join(best, "sha").where("points = -best.less").where(F.col("id").eqNullSafe(F.col("best.keep_id")))
     winners = stage(
         wins.groupBy("sha").agg(F.first("points").alias("points"), F.first("id").alias("keep_id"), F.count("*").alias("rows"))

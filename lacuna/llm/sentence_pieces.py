@@ -381,7 +381,8 @@ def encoded(text: Column, key: Column, model_file: str, seed: int = 0, sharpness
         ids, counts = sample_ids(_lattices(model_file, sharpness), texts.to_pylist(), keys.to_pylist(), seed)
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids, pa.int32()))
 
-    return F.arrow_udf(run, "array<int>")(text, F.xxhash64(key))
+    # Marked so that Spark evaluates it once per row, wherever the ids are used after.
+    return F.arrow_udf(run, "array<int>").asNondeterministic()(text, F.xxhash64(key))
 
 
 def decoded(ids: Column, model_file: str) -> Column:
@@ -391,4 +392,4 @@ def decoded(ids: Column, model_file: str) -> Column:
         texts = _lattices(model_file, SHARPNESS).pieces.spell(rows)
         return pa.array([None if t is None else t.decode(errors="replace") for t in texts], pa.string())
 
-    return F.arrow_udf(run, "string")(ids)
+    return F.arrow_udf(run, "string").asNondeterministic()(ids)

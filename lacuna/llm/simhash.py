@@ -54,14 +54,15 @@ def majority(hashes: list[int]) -> int:
 
 
 def fingerprint(width: int):
-    """An Arrow UDF from texts to fingerprints, as signed longs. A null text has no words."""
+    """An Arrow UDF from texts to fingerprints, as signed longs. A null text has no words. It is marked
+    so that Spark evaluates it once per row and copies it into no filter."""
 
     @F.arrow_udf("bigint")
     def prints(texts: pa.Array) -> pa.Array:
         found = [majority(shingle_hashes(t, width)) for t in texts.to_pylist()]
         return pa.array(np.array(found, np.uint64).view(np.int64))
 
-    return prints
+    return prints.asNondeterministic()
 
 
 def _keys(max_bits: int) -> Column:

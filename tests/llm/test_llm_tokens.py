@@ -27,9 +27,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def reference():
-    made = Tokenizer.from_file(WORD_FILE)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(WORD_FILE)
 
 
 @pytest.fixture(scope="module")
