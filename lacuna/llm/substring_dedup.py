@@ -13,6 +13,7 @@ a passage in a third of all documents reaches its bucket once per task.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,16 +44,18 @@ def normalised(texts: list[str | None]) -> list[bytes]:
     return [b" ".join((t or "").encode().split()) for t in texts]
 
 
-def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; ``raw`` goes on for 24 bytes after the last."""
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, keys: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word; ``raw`` goes on for 24 bytes after the last. With ``keys`` (four odd
+    numbers) the hash is another one, which nobody can foresee who does not know them."""
     lengths = ends - starts
     eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    out = lengths.astype(np.uint64) * _PRIMES[2]
+    factors = [np.uint64(k) for k in keys] or [_PRIMES[0], _PRIMES[1], _PRIMES[0], _PRIMES[2]]
+    out = lengths.astype(np.uint64) * factors[3]
     for k in range(3):
-        out = (out ^ (eight[starts + 8 * k] & _MASKS[np.clip(lengths - 8 * k, 0, 8)])) * _PRIMES[k % 2]
+        out = (out ^ (eight[starts + 8 * k] & _MASKS[np.clip(lengths - 8 * k, 0, 8)])) * factors[k]
         out ^= out >> np.uint64(32)
     for k in np.flatnonzero(lengths > 24).tolist():
-        out[k] = xxhash.xxh64_intdigest(raw[starts[k] : ends[k]])
+        out[k] = xxhash.xxh64_intdigest(raw[starts[k] : ends[k]], keys[0] if keys else 0)
     return out
 
 
@@ -157,12 +160,17 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (base, inverse))
 
 
-def window_hashes(hashes: np.ndarray, begins: np.ndarray, width: int) -> np.ndarray:
-    """128-bit hashes of the windows that begin at some words, from prefix sums of two polynomials."""
+def window_hashes(
+    hashes: np.ndarray, begins: np.ndarray, width: int, other: np.ndarray | None = None, base: int | None = None
+) -> np.ndarray:
+    """128-bit hashes of the windows that begin at some words, from prefix sums of two polynomials. The
+    second 64 bits come from ``other`` hashes of the words and an odd ``base``, where they are given."""
     out = []
-    for base, mix in zip(_PRIMES[:2], _PRIMES[2:]):
-        up, down = _powers(base | np.uint64(1), len(hashes))
-        own = (hashes ^ (hashes >> np.uint64(31))) * mix
+    lanes = (hashes, hashes if other is None else other)
+    bases = (_PRIMES[0], _PRIMES[1] if base is None else np.uint64(base))
+    for words, factor, mix in zip(lanes, bases, _PRIMES[2:]):
+        up, down = _powers(factor | np.uint64(1), len(words))
+        own = (words ^ (words >> np.uint64(31))) * mix
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[:-1], dtype=np.uint64)])
         value = (sums[begins + width] - sums[begins]) * down[begins]
         value = (value ^ (value >> np.uint64(29))) * _PRIMES[3]
@@ -171,14 +179,18 @@ def window_hashes(hashes: np.ndarray, begins: np.ndarray, width: int) -> np.ndar
 
 
 def _spelled(width: int):
-    """Super-k-mers to their windows."""
+    """Super-k-mers to their windows. Words are hashed twice, the second time under keys drawn for this
+    run, so that no text can be made up beforehand whose windows collide."""
+    keys = tuple(secrets.randbits(64) | 1 for _ in range(4))
+    base = secrets.randbits(64) | 1
 
     def windows(words: list[bytes], ids: np.ndarray, tags: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         raw, starts, ends, first = _words(words)
         counts = np.diff(first) - width + 1
         owner = np.repeat(np.arange(len(words)), counts)
         within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        found = window_hashes(word_hashes(raw, starts, ends), first[owner] + within, width).view(np.int64)
+        one, two = word_hashes(raw, starts, ends), word_hashes(raw, starts, ends, keys)
+        found = window_hashes(one, first[owner] + within, width, two, base).view(np.int64)
         return [np.maximum(found[:, 0], KNOWN + 1), found[:, 1], ids[owner], tags[owner], at[owner] + within]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

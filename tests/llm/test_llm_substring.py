@@ -89,3 +89,16 @@ def test_window_hashes_agree_across_texts():
     hashes = substring_dedup.word_hashes(raw, starts, ends)
     found = substring_dedup.window_hashes(hashes, np.array([0, 6, 1, 7]), 4)
     assert (found[0] == found[1]).all() and (found[2] == found[3]).all() and (found[0] != found[2]).any()
+
+
+def test_words_with_one_hash_in_common(spark):
+    """Two words that agree in the fixed hash: the keyed one tells them apart, and no word goes."""
+    one, two = "FHX-cj2-Maaaaaaa", "KAHaPrKB-EfRxBOY"
+    raw = f"{one} {two} ".encode() + bytes(24)
+    starts, ends = np.array([0, 17]), np.array([16, 33])
+    plain = substring_dedup.word_hashes(raw, starts, ends)
+    keyed = substring_dedup.word_hashes(raw, starts, ends, (5, 7, 11, 13))
+    assert plain[0] == plain[1] and keyed[0] != keyed[1]
+    texts = [" ".join([passage(0, 11), w, passage(50, 11)]) for w in (one, two)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.n_removed for r in substring_dedup.without_repeats(docs, 20).collect()] == [0, 0]
