@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat,
+    collocations,
     decontaminate,
     exact_dedup,
     quality,
@@ -167,3 +168,43 @@ def op6_substring_dedup(spark, sf_dir):
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+# Phrases of up to three words within pieces, with their counts; words hold no blank, so a phrase is its text.
+@query(rf"""
+    WITH piece AS (
+        SELECT lang, regexp_extract_all(unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+        FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)
+    ),
+    place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM piece),
+    gram AS (
+        SELECT lang, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS p, count(*) AS f
+        FROM place, (VALUES (1), (2), (3)) size(m) WHERE k + m - 1 <= len(w) GROUP BY ALL
+    ),
+    total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM gram WHERE m = 1 GROUP BY lang),
+    candidate AS (SELECT * FROM gram WHERE m > 1 AND f >= 10),
+    cut AS (
+        SELECT lang, m, p, f, k,
+               array_to_string(string_split(p, ' ')[1:k], ' ') AS head, array_to_string(string_split(p, ' ')[k + 1:], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM candidate)
+    ),
+    scored AS (
+        SELECT cut.*, h.f AS l, t.f AS r,
+               CAST((CAST(1000000 AS HUGEINT) * cut.f * cut.f) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+        FROM cut JOIN gram h ON h.lang = cut.lang AND h.p = head JOIN gram t ON t.lang = cut.lang AND t.p = tail
+    ),
+    worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+    longer AS (
+        SELECT lang, p, max(f) AS f
+        FROM (SELECT lang, f, unnest([array_to_string(string_split(p, ' ')[1:2], ' '), array_to_string(string_split(p, ' ')[2:3], ' ')]) AS p
+              FROM candidate WHERE m = 3)
+        GROUP BY lang, p
+    )
+    SELECT worst.lang, row_number() OVER (PARTITION BY worst.lang ORDER BY score DESC, worst.f DESC, worst.p) AS rank,
+           worst.p AS phrase, worst.f AS a, l, r, n, score
+    FROM worst JOIN total USING (lang) LEFT JOIN longer ON longer.lang = worst.lang AND longer.p = worst.p
+    WHERE longer.f IS NULL OR 100 * longer.f < 50 * worst.f
+    QUALIFY rank <= 2000
+""")
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, covered=50, top=2_000)
