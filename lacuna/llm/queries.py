@@ -12,6 +12,7 @@ from . import (
     chat,
     collocations,
     decontaminate,
+    divergence,
     exact_dedup,
     quality,
     sentence_pieces,
@@ -208,3 +209,47 @@ def op6_substring_dedup(spark, sf_dir):
 """)
 def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, covered=50, top=2_000)
+
+
+# Shares and distances in whole numbers; products of shares stay below 2**63.
+@query(rf"""
+    WITH doc AS (
+        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+               regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ),
+    word AS (SELECT lang, source, row, unnest(w) AS t FROM doc),
+    kept AS (SELECT lang, t FROM word GROUP BY lang, t HAVING count(DISTINCT row) >= 10),
+    grp AS (SELECT DISTINCT lang, source FROM doc),
+    size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    found AS (SELECT lang, source, t, count(*) AS n FROM word JOIN kept USING (lang, t) GROUP BY ALL),
+    cell AS (
+        SELECT g.lang, g.source, k.t, coalesce(f.n, 0) AS n, v
+        FROM grp g JOIN kept k USING (lang) JOIN size USING (lang)
+        LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.t = k.t
+    ),
+    share AS (
+        SELECT *, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p
+        FROM cell
+    ),
+    whole AS (
+        SELECT lang, t, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS BIGINT) AS q
+        FROM (SELECT lang, t, sum(n) AS n, any_value(v) AS v FROM cell GROUP BY lang, t)
+    ),
+    apart AS (
+        SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+        FROM share a JOIN share b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+    ),
+    item AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+        FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', t, (p - q) * (p - q) // (p + q) FROM share JOIN whole USING (lang, t) WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value,
+           CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM item QUALIFY part = 'pair' OR rank <= 10
+""")
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
