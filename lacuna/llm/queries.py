@@ -14,6 +14,7 @@ from . import (
     decontaminate,
     divergence,
     exact_dedup,
+    lm_scoring,
     quality,
     sentence_pieces,
     sharding,
@@ -253,3 +254,10 @@ def op11_collocations(spark, sf_dir):
 """)
 def op12_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
+@query()
+def op13_lm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = lm_scoring.scores(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.withColumnRenamed("id", "doc_id")
