@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import accumulate
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import require
 
 QUARTILES = (0.25, 0.5, 0.75)
-KNOWN = ("column", "count", "mean", "std", "min", "max")
-#: Slots on each side of a wanted rank.
-AROUND = 10
+#: Bits of a value's key that each scan looks at.
+BITS = (22, 21, 21)
+#: Keys a task gathers before it folds them.
+GATHERED = 1 << 18
 
 
 def profile(
@@ -38,105 +43,122 @@ def summary_stats(
     df: DataFrame,
     cols: Sequence[str],
     probabilities: Sequence[float] = QUARTILES,
-    accuracy: int = 1_000,
+    bits: Sequence[int] = BITS,
 ) -> DataFrame:
     """One row per column: ``count, mean, std, min``, one column per probability, ``max``.
 
-    Quantiles are exact and interpolated between neighbours. Spark's exact ``percentile`` keeps
-    all different values of a column in one buffer; this finds them without:
-
-    1. a sketch gives bounds around each wanted rank, between which about equally many rows stand;
-    2. the rows of each slot between two bounds are counted exactly;
-    3. only the slots that hold a wanted rank are sorted, each by itself.
-
-    The counts decide which slots those are, so a sketch that is off costs time and never a result.
-    A finer sketch gives smaller slots (about ``1 / accuracy`` of the rows around a wanted rank) and
-    weighs more: each task sends one of about ``accuracy`` entries.
+    Quantiles are exact and interpolated between neighbours; nulls are left out, NaN is the largest
+    value. A double's bits, read as a whole number, stand in its order. The first scan counts how many
+    values share the first bits of that number; running sums tell which of these prefixes hold a wanted
+    rank. The next scan looks only at their values, by more bits; after the last scan a prefix is a
+    value. Counts merge, so a task sends one row per prefix it met: at most ``2**bits`` for each prefix
+    that is looked at (two for a probability), however many rows there are. The scans, one for each
+    entry of ``bits``, run at once; what reaches the driver is a few rows.
     """
-    edges = _edges(probabilities, accuracy)
-    marks = _marks(require(df, *cols), cols, edges, accuracy)
-    ranked = _ranked(_slotted(df, cols, marks, len(edges)), marks, probabilities)
-
-    def value_at(rank):
-        return F.min(F.when(F.col("upto") > rank, F.col("value")))
-
-    fraction = F.col("rank") - F.floor("rank")
-    quantile = F.col("lower") + (F.col("upper") - F.col("lower")) * fraction
-    found = ranked.groupBy(*KNOWN, "p", "rank").agg(
-        value_at(F.floor("rank")).alias("lower"), value_at(F.ceil("rank")).alias("upper")
-    )
-    names = {p: f"{p * 100:g}%" for p in probabilities}
-    return (
-        found.groupBy(*KNOWN)
-        .agg(*[F.max(F.when(F.col("p") == p, quantile)).alias(name) for p, name in names.items()])
-        .select("column", "count", "mean", "std", "min", *[F.col(f"`{name}`") for name in names.values()], "max")
-    )
-
-
-def _edges(probabilities: Sequence[float], accuracy: int) -> list[float]:
-    """The shares of rows at which slots are cut: around each probability, as fine as the sketch."""
-    steps = range(-AROUND, AROUND + 1)
-    return sorted({min(max(p + k / accuracy, 0.0), 1.0) for p in probabilities for k in steps})
-
-
-def _marks(df: DataFrame, cols: Sequence[str], edges: Sequence[float], accuracy: int) -> DataFrame:
-    """One row per column: its statistics and the bounds of its slots, in order."""
-
-    def described(c: str) -> Column:
-        value = F.col(c).cast("double")
-        return F.struct(
-            F.lit(c).alias("column"),
-            F.count(value).alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-            F.percentile_approx(value, edges, accuracy).alias("bounds"),
-        )
-
-    return df.agg(F.array(*[described(c) for c in cols]).alias("marks")).select(F.inline("marks"))
-
-
-def _slot_of(value: Column, bounds: Column, low: int, high: int) -> Column:
-    """How many of the bounds (in order) do not exceed a value: a binary search, as nested tests."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    below = _slot_of(value, bounds, low, middle)
-    return F.when(value < F.get(bounds, F.lit(middle)), below).otherwise(_slot_of(value, bounds, middle + 1, high))
-
-
-def _slotted(df: DataFrame, cols: Sequence[str], marks: DataFrame, bounds: int) -> DataFrame:
-    """``column, value, slot`` of all values. There is one row of marks per column asked for, so
-    broadcasting them is safe at any size of the input."""
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    slot = _slot_of(F.col("value"), F.col("bounds"), 0, bounds)
-    rows = df.select(F.inline(entries)).where(F.col("value").isNotNull())
-    return rows.join(F.broadcast(marks.select("column", "bounds")), "column").select("column", "value", slot.alias("slot"))
-
-
-def _ranked(slotted: DataFrame, marks: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """The values of the slots that hold a wanted rank, with the number of rows up to each value."""
-    along = Window.partitionBy("column").orderBy("slot")
-    slots = (
-        slotted.groupBy("column", "slot")
-        .agg(F.count("*").alias("in_slot"))
-        .withColumn("before", F.sum("in_slot").over(along) - F.col("in_slot"))
-    )
-    wanted = F.explode(F.array(*[F.lit(p) for p in probabilities]))
-    ranks = marks.select(*KNOWN, wanted.alias("p")).withColumn("rank", (F.col("count") - 1) * F.col("p"))
-
-    def holds(rank: Column) -> Column:
-        return (F.col("before") <= rank) & (rank < F.col("before") + F.col("in_slot"))
-
-    # Few rows: for each column and probability the one or two slots that hold its rank.
-    hits = ranks.join(F.broadcast(slots), "column", "left").where(
-        holds(F.floor("rank")) | holds(F.ceil("rank")) | (F.col("count") == 0)
-    )
-    in_use = hits.select("column", "slot", "before").distinct()
-    values = slotted.join(F.broadcast(in_use), ["column", "slot"]).groupBy("column", "slot", "before", "value")
-    upwards = Window.partitionBy("column", "slot").orderBy("value")
-    upto = values.agg(F.count("*").alias("rows")).withColumn("upto", F.col("before") + F.sum("rows").over(upwards))
-    # A column without a value has no slot, and shows up with a count of zero.
-    found = upto.select("column", "slot", "value", "upto")
-    return hits.select(*KNOWN, "p", "rank", "slot").join(found, ["column", "slot"], "left")
+    if sum(bits) != 64:
+        raise ValueError(f"the bits of a double are 64: {bits}")
+    require(df, *cols)
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    kinds = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    seen = Observation()
+    described = [f(c).alias(f"{name}_{c}") for c in numbers.columns for name, f in kinds.items()]
+    scanned = numbers.observe(seen, F.count("*").alias("rows"), *described)
+
+    #: By column and prefix: how many values come before it, and which ranks it holds.
+    held: dict[tuple[int, int], tuple[int, list[int] | None]] = {(k, 0): (0, None) for k in range(len(cols))}
+    for done, step in zip(accumulate(bits, initial=0), bits):
+        hits = _hits(_prefix_counts(numbers if done else scanned, held, done, step), held, step, probabilities)
+        held = {(r["c"], r["prefix"]): (r["before"], list(r["ranks"])) for r in hits.collect()}
+    found = {(c, rank): _value(key) for (c, key), (_, ranks) in held.items() for rank in ranks or ()}
+    # Without a value nothing is held, and of a table known to be empty nothing is observed.
+    stats = seen.get if held else {}
+
+    def row(k: int) -> tuple:
+        count, mean, std, low, high = (stats.get(f"{name}_c{k}") for name in kinds)
+        count = count or 0
+        quantiles = []
+        for p in probabilities:
+            rank = (count - 1) * p
+            below, above = found.get((k, floor(rank))), found.get((k, ceil(rank)))
+            quantiles.append(None if below is None else below if above == below else below + (above - below) * (rank - floor(rank)))
+        return (cols[k], count, mean, std, low, *quantiles, high)
+
+    names = ["mean", "std", "min", *(f"{p * 100:g}%" for p in probabilities), "max"]
+    schema = ", ".join(["column string", "count bigint", *(f"`{name}` double" for name in names)])
+    return df.sparkSession.createDataFrame([row(k) for k in range(len(cols))], schema)
+
+
+def _key(values: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order; both zeros are one, and all NaNs, above all others."""
+    bits = (np.where(np.isnan(values), np.nan, values) + 0.0).view(np.int64)
+    return bits ^ (bits >> 63 & np.int64(2**63 - 1))
+
+
+def _value(key: int) -> float:
+    """The double of a key: the same step undoes itself."""
+    bits = np.int64(key)
+    return float((bits ^ (bits >> np.int64(63) & np.int64(2**63 - 1))).view(np.float64))
+
+
+def _prefix_counts(numbers: DataFrame, held: Mapping[tuple[int, int], object], done: int, step: int) -> DataFrame:
+    """``c, prefix, n``: for the values of each column whose first ``done`` bits are a held prefix, how many
+    share ``step`` bits more."""
+    looked_at = {c: np.array([p for k, p in held if k == c], np.int64) for c, _ in held}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {c: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for c in looked_at}
+        waiting: dict[int, list[np.ndarray]] = {c: [] for c in looked_at}
+        size = 0
+
+        def fold() -> None:
+            for c, parts in waiting.items():
+                if parts:
+                    prefix, n = np.unique(np.concatenate(parts), return_counts=True)
+                    merged, at = np.unique(np.concatenate([counts[c][0], prefix]), return_inverse=True)
+                    sums = np.zeros(len(merged), np.int64)
+                    np.add.at(sums, at, np.concatenate([counts[c][1], n]))
+                    counts[c], waiting[c] = (merged, sums), []
+
+        for batch in batches:
+            for c, prefixes in looked_at.items():
+                key = _key(batch.column(c).drop_null().to_numpy())
+                if done:
+                    key = key[np.isin(key >> (64 - done), prefixes)]
+                waiting[c].append(key >> (64 - done - step))
+                size += len(key)
+            if size >= GATHERED:
+                fold()
+                size = 0
+        fold()
+        for c, (prefix, n) in counts.items():
+            for k in range(0, len(prefix), GATHERED):
+                part = slice(k, k + GATHERED)
+                columns = [pa.array(np.full(len(prefix[part]), c), pa.int32()), pa.array(prefix[part]), pa.array(n[part])]
+                yield pa.RecordBatch.from_arrays(columns, ["c", "prefix", "n"])
+
+    each = numbers.mapInArrow(run, "c int, prefix bigint, n bigint")
+    return each.groupBy("c", "prefix").agg(F.sum("n").alias("n"))
+
+
+def _hits(
+    counts: DataFrame,
+    held: Mapping[tuple[int, int], tuple[int, list[int] | None]],
+    step: int,
+    probabilities: Sequence[float],
+) -> DataFrame:
+    """``c, prefix, before, ranks``: the prefixes that hold a wanted rank. A window sorts the prefixes
+    within one of the scan before: at most ``2**step`` rows."""
+    given = [(c, p, before, ranks) for (c, p), (before, ranks) in held.items()]
+    known = counts.sparkSession.createDataFrame(given, "c int, old bigint, base bigint, wanted array<bigint>")
+    first = any(ranks is None for _, ranks in held.values())
+    old = F.lit(0).cast("bigint") if first else F.shiftright("prefix", step)
+    rows = counts.withColumn("old", old).join(F.broadcast(known), ["c", "old"])  # some ranks of some columns
+    group = Window.partitionBy("c", "old")
+    rows = rows.withColumn("upto", F.col("base") + F.sum("n").over(group.orderBy("prefix")))
+    if first:
+        last = F.sum("n").over(group) - 1
+        ranks = F.array(*[f(last * F.lit(float(p))).cast("bigint") for p in probabilities for f in (F.floor, F.ceil)])
+        rows = rows.withColumn("wanted", F.array_distinct(ranks))
+    before = F.col("upto") - F.col("n")
+    mine = F.filter("wanted", lambda rank: (rank >= before) & (rank < F.col("upto")))
+    return rows.select("c", "prefix", before.alias("before"), mine.alias("ranks")).where(F.size("ranks") > 0)

@@ -37,11 +37,12 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize(("n", "accuracy"), [(1, 100), (2, 100), (5, 100), (101, 10_000), (1001, 100), (3000, 100)])
-def test_summary_equals_pandas(spark, n, accuracy):
+@pytest.mark.parametrize("bits", [(22, 21, 21), (64,), (1, 31, 32), (30, 34)])
+@pytest.mark.parametrize("n", [1, 2, 5, 101, 3000])
+def test_summary_equals_pandas(spark, n, bits):
     rng = np.random.default_rng(n)
     data = pd.DataFrame({name: make(rng, n) for name, make in CASES.items()})
-    found = described(op.summary_stats(spark.createDataFrame(data), list(CASES), accuracy=accuracy))
+    found = described(op.summary_stats(spark.createDataFrame(data), list(CASES), bits=bits))
     expected = data.describe()
     for name in CASES:
         for stat in expected.index:
@@ -49,27 +50,49 @@ def test_summary_equals_pandas(spark, n, accuracy):
             assert (got is None and np.isnan(want)) or got == pytest.approx(want, rel=1e-9, abs=1e-12), (name, stat)
 
 
-def test_slots_hold_about_equal_rows(spark):
-    """On a heavy tail, where nearly all values lie close together, no slot that is sorted is large."""
-    rng = np.random.default_rng(1)
-    n, probabilities, accuracy = 200_000, [0.25, 0.999], 1_000
-    frame = spark.createDataFrame(pd.DataFrame({"x": np.exp(rng.normal(0, 6, n))}))
-    edges = quality._edges(probabilities, accuracy)
-    marks = quality._marks(frame, ["x"], edges, accuracy)
-    ranked = quality._ranked(quality._slotted(frame, ["x"], marks, len(edges)), marks, probabilities)
-    sizes = {(r["p"], r["slot"]): r["count"] for r in ranked.groupBy("p", "slot").count().collect()}
-    assert {p for p, _ in sizes} == {0.25, 0.999} and max(sizes.values()) < 4 * n / accuracy
+def test_keys_stand_in_the_order_of_doubles():
+    values = np.array([-np.inf, -1e300, -1.5, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0 + 2**-52, 1e300, np.inf, np.nan])
+    keys = quality._key(values)
+    assert (np.diff(keys) >= 0).all() and keys[4] == keys[5] and len(set(keys.tolist())) == len(values) - 1
+    back = np.array([quality._value(int(k)) for k in keys])
+    assert np.array_equal(back, values, equal_nan=True)
+    assert quality._key(np.array([-np.nan]))[0] == keys[-1]
 
 
-def test_a_bad_sketch_costs_no_result(spark, monkeypatch):
-    """Bounds that miss every rank: the counts still find the slots."""
-    real = quality._marks
-    monkeypatch.setattr(
-        quality, "_marks", lambda *a: real(*a).withColumn("bounds", F.transform("bounds", lambda b: F.lit(-1.0)))
-    )
+def test_rows_sent_do_not_grow_with_the_input(spark):
+    """Ten times the rows, about as many prefixes: on the first scan those of the values' range, later
+    those inside the few prefixes that hold a rank."""
+    sizes = {}
+    for n in (20_000, 200_000):
+        frame = spark.range(n).selectExpr("cast(1 + id % 977 / 977.0 as double) AS c0")
+        first = quality._prefix_counts(frame, {(0, 0): None}, 0, 22)
+        held = {(0, quality._key(np.array([1.5]))[0] >> 42): None}
+        sizes[n] = first.count(), quality._prefix_counts(frame, held, 22, 21).count()
+    assert sizes[20_000] == sizes[200_000] and sizes[20_000][0] <= 1_024 and sizes[20_000][1] <= 2
+
+
+def test_one_scan_for_each_step(spark, monkeypatch):
+    scans = []
+    real = quality._prefix_counts
+    monkeypatch.setattr(quality, "_prefix_counts", lambda *a: scans.append(a[2:]) or real(*a))
     frame = spark.createDataFrame([(float(k),) for k in range(101)], "x double")
-    found = described(op.summary_stats(frame, ["x"]))
-    assert [found["x"][q] for q in ("25%", "50%", "75%")] == [25.0, 50.0, 75.0]
+    found = described(op.summary_stats(frame, ["x"], [0.25, 0.5, 0.75, 0.999]))
+    assert [found["x"][q] for q in ("25%", "50%", "75%", "99.9%")] == [25.0, 50.0, 75.0, pytest.approx(99.9)]
+    assert scans == [(0, 22), (22, 21), (43, 21)]
+
+
+def test_summary_of_odd_values(spark):
+    rows = [(x,) for x in (float("nan"), float("inf"), -0.0, 0.0, None, -1.0)]
+    found = described(op.summary_stats(spark.createDataFrame(rows, "x double"), ["x"], [0.0, 0.25, 0.5, 0.75, 1.0]))["x"]
+    assert [found[q] for q in ("0%", "25%", "50%", "75%")] == [-1.0, 0.0, 0.0, float("inf")]
+    assert found["count"] == 5 and np.isnan(found["100%"]) and np.isnan(found["max"])
+
+
+def test_summary_of_nothing(spark):
+    found = described(op.summary_stats(spark.createDataFrame([], "x double"), ["x"]))["x"]
+    assert found["count"] == 0 and found["50%"] is None
+    with pytest.raises(ValueError, match="64"):
+        op.summary_stats(spark.range(1), ["id"], bits=(8, 8))
 
 
 def test_summary_skips_nulls_and_shows_empty_columns(spark):
