@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -43,9 +44,9 @@ PARTS = 64
 STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: In texts: A-Z in lower case, a line break for every stop, a blank for a tab.
 _TABLE = bytes.maketrans(STOPS + b"\t", b"\n" * len(STOPS) + b" ")
-#: A word of its own where a piece ends: no UTF-8 text has this byte.
-_END = b"\xff"
 SEED = 42
+#: Mixes the hashes of the words behind a leading word.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def multikey_quicksort(
@@ -96,6 +97,19 @@ def multikey_quicksort(
     return found, ended[1:]
 
 
+def _numbered(text: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The words of a text in which stops are line breaks, as numbers from 1 on, and 0 for a stop; and
+    the different words."""
+    parts = pc.split_pattern(pa.array([text.replace(b"\n", b" \n ")], pa.large_binary()), b" ").flatten().dictionary_encode()
+    found = parts.dictionary.to_pylist()
+    number = np.zeros(len(found), np.int64)
+    real = np.array([w not in (b"", b"\n") for w in found], bool)
+    number[real] = 1 + np.arange(int(real.sum()))
+    blank = np.array([w == b"" for w in found], bool)
+    codes = parts.indices.to_numpy(zero_copy_only=False)
+    return number[codes[~blank[codes]]], [w for w, r in zip(found, real) if r]
+
+
 def _language(lang: Column) -> Column:
     return F.coalesce(lang, F.lit("und"))
 
@@ -138,14 +152,15 @@ def _suffixes(longest: int, frequent: Broadcast, hot: Broadcast):
     """Texts to folded suffixes: for each leading word the words behind it, and how many suffixes had them."""
 
     def folded(lang: str, texts: list[bytes]) -> pa.RecordBatch:
-        codes, distinct = coded((b" \xff ".join(texts) + b" \xff").replace(b"\n", b" \xff ").split())
+        codes, distinct = _numbered(b"\n".join(texts))
         seed = xxhash.xxh64_intdigest(lang.encode(), SEED)
-        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in distinct], np.uint64).view(np.int64)
-        known = frequent.value.may_hold(hashes) & np.array([w != _END for w in distinct])
-        number = np.zeros(len(distinct), np.int64)
-        number[known] = 1 + np.arange(int(known.sum()))
-        names = np.array(["", *(w.decode() for w, k in zip(distinct, known) if k)], object)
-        salts = np.array([1, *(hot.value.get(h, 1) for h in hashes[known].tolist())])
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in distinct], np.uint64)
+        known = np.flatnonzero(frequent.value.may_hold(hashes.view(np.int64)))
+        number = np.zeros(len(distinct) + 1, np.int64)
+        number[known + 1] = 1 + np.arange(len(known))
+        names = pa.array([b"", *(distinct[k] for k in known.tolist())], pa.binary())
+        hashes = np.r_[np.uint64(0), hashes[known]]
+        salts = np.array([1, *(hot.value.get(h, 1) for h in hashes[1:].view(np.int64).tolist())], np.uint64)
         words = np.concatenate([number[codes], np.zeros(longest, np.int64)])
         at = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0))
         full, ended = multikey_quicksort(words, at, np.ones(len(at), np.int64), [1] * longest)
@@ -154,23 +169,25 @@ def _suffixes(longest: int, frequent: Broadcast, hot: Broadcast):
         n = np.concatenate([x[1] for x in leaves])
         size = np.repeat([x[2] for x in leaves], [len(x[0]) for x in leaves])
 
-        tails = names[words[at + 1]]
-        for k in range(2, longest):
-            more = np.flatnonzero(size > k)
-            tails[more] = tails[more] + " " + names[words[at[more] + k]]
-        salt = np.full(len(at), -1, np.int64)
-        for k in np.flatnonzero(salts[words[at]] > 1).tolist():
-            salt[k] = xxhash.xxh64_intdigest(tails[k].encode()) % int(salts[words[at[k]]])
-        order = np.lexsort((salt, words[at]))
-        lead, salt, tails, n = words[at][order], salt[order], tails[order], n[order]
+        behind = [np.where(size > k, words[np.minimum(at + k, len(words) - 1)], 0) for k in range(1, longest)]
+        mixed = np.zeros(len(at), np.uint64)
+        for w in behind:
+            mixed = (mixed ^ hashes[w]) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+        lead = words[at]
+        salt = np.where(salts[lead] > 1, (mixed % salts[lead]).astype(np.int64), -1)
+        order = np.lexsort((salt, lead))
+        lead, salt, n = lead[order], salt[order], n[order]
+        # Shorter tails end in blanks, which a reader skips.
+        tails = pc.binary_join_element_wise(*(names.take(pa.array(w[order])) for w in behind), b" ")
         first = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (salt[1:] != salt[:-1])]) if len(lead) else lead
-        stops = np.r_[first[1:], len(lead)] if len(lead) else lead
+        offsets = pa.array(np.r_[first, len(lead)], pa.int32())
         columns = [
             pa.array([lang] * len(first), pa.string()),
-            pa.array(names[lead[first]].tolist(), pa.string()),
+            names.take(pa.array(lead[first])).cast(pa.string()),
             pa.array(salt[first], pa.int32()),
-            pa.array(["\t".join(tails[a:b]) for a, b in zip(first.tolist(), stops.tolist())], pa.string()),
-            pa.ListArray.from_arrays(pa.array(np.r_[first, len(lead)], pa.int32()), pa.array(n, pa.int32())),
+            pc.binary_join(pa.ListArray.from_arrays(offsets, tails), b"\n").cast(pa.string()),
+            pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32())),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ROUTED.split(", ")])
 
@@ -199,22 +216,20 @@ def _phrases(rows: list[tuple], least: list[int]) -> pa.RecordBatch:
     often enough."""
     longest = len(least)
     leads, lead_names = coded((r[0], r[1]) for r in rows)
-    per_row = [len(r[4]) for r in rows]
-    lead = np.repeat(leads.astype(np.int64), per_row) + 1
-    codes, distinct = coded(("\t".join(r[3] for r in rows) + "\t").encode().replace(b"\t", b" \xff ").split())
-    end = distinct.index(_END)
-    stops = np.flatnonzero(codes == end)
+    lead = np.repeat(leads.astype(np.int64), [len(r[4]) for r in rows]) + 1
+    codes, distinct = _numbered("\n".join(r[3] for r in rows).encode() + b"\n")
+    stops = np.flatnonzero(codes == 0)
     begins = np.r_[0, stops[:-1] + 1]
     # One line of numbers per suffix, with a 0 behind.
     lines = np.zeros((len(lead), longest + 1), np.int64)
     lines[:, 0] = lead
     for k in range(1, longest):
         has = begins + k - 1 < stops
-        lines[has, k] = codes[begins[has] + k - 1] + 1
-    weights = np.concatenate([np.asarray(r[4], np.int64) for r in rows])
+        lines[has, k] = codes[begins[has] + k - 1]
+    weights = np.concatenate([r[4] for r in rows]).astype(np.int64)
     words = lines.ravel()
     found, _ = multikey_quicksort(words, np.arange(len(lead)) * (longest + 1), weights, least)
-    names = np.array(["", *(w.decode() if w != _END else "" for w in distinct)], object)
+    names = np.array(["", *(w.decode() for w in distinct)], object)
     langs, firsts = (np.array([x[k] for x in lead_names], object) for k in (0, 1))
     out: list[list] = [[], [], [], []]
     for depth, (at, n) in enumerate(found[1:], 2):
@@ -241,7 +256,11 @@ def _gathered(longest: int, least: int):
         current: list[tuple] = []
         key, size, partial = None, 0, False
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            counts = batch.column("counts")
+            split = counts.offsets.to_numpy().tolist()
+            values = counts.values.to_numpy()
+            pieces = (values[a:b] for a, b in zip(split[:-1], split[1:]))
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), pieces):
                 if row[:3] != key:
                     if partial and current:
                         yield _phrases(current, [1] * longest)
