@@ -321,13 +321,16 @@ def audit(
         .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"))
     )
 
-    # Some slots of a language and all its sources make one table; the more sources, the fewer slots.
-    widths = groups.groupBy("lang").agg(F.greatest(F.lit(16), F.least(F.lit(4_096), F.floor(CELLS / F.count("*")))).alias("width"))
+    # One row per language, written, so that Spark knows how few they are and does not shuffle counts
+    # by language. Some slots of a language and all its sources make one table; the more sources, the
+    # fewer slots.
+    width = F.greatest(F.lit(16), F.least(F.lit(4_096), F.floor(CELLS / F.count("*"))))
+    langs = stage(groups.groupBy("lang").agg(F.max("kept").alias("kept"), F.sum("total").alias("all_total"), width.alias("width")))
     chunks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("kept") / F.col("width")) - 1))
-    marks = groups.join(widths, "lang").withColumn("chunk", F.explode(chunks))
+    marks = groups.join(langs.select("lang", "width"), "lang").withColumn("chunk", F.explode(chunks))
     names = ["lang", "chunk", "source", "slot", "n", "total", "kept", "width"]
     marks = marks.withColumns({"slot": F.lit(-1).cast("bigint"), "n": F.lit(0).cast("bigint")}).select(*names)
-    placed = counts.join(widths.join(sizes, "lang"), "lang").withColumn("total", F.lit(0).cast("bigint"))
+    placed = counts.join(langs.select("lang", "kept", "width"), "lang").withColumn("total", F.lit(0).cast("bigint"))
     placed = placed.withColumn("chunk", F.floor(F.col("slot") / F.col("width"))).select(*names)
     sums = placed.unionByName(marks).groupBy("lang", "chunk").applyInArrow(_compared, PAIRS)
     sums = stage(sums.groupBy("lang", "one", "two").agg(F.sum("value").alias("value")))
@@ -336,8 +339,7 @@ def audit(
     pairs = pairs.select("lang", "way.source", F.lit("pair").alias("part"), "way.item", "value")
 
     whole = counts.groupBy("lang", "slot").agg(F.sum("n").alias("all_n"))
-    in_lang = groups.groupBy("lang").agg(F.sum("total").alias("all_total"))
-    known = whole.join(terms, ["lang", "slot"]).join(in_lang, "lang")
+    known = whole.join(terms, ["lang", "slot"]).join(langs.select("lang", "all_total"), "lang")
     each = counts.join(groups, ["lang", "source"]).join(known, ["lang", "slot"])
     each = each.withColumn("p", _share("n", "total", "kept")).withColumn("q", _share("all_n", "all_total", "kept"))
     each = each.where("p > q").withColumn("value", F.expr("((p - q) * (p - q)) div (p + q)"))
