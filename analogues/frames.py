@@ -8,9 +8,14 @@ lineitem  the history of those pages
 
 from __future__ import annotations
 
+import tempfile
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.sources import Staging, staging_folder
+
 SQL_TIME = "'%Y-%m-%d %H:%M:%S'"
 
 
@@ -18,6 +23,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def own_folder() -> str:
+    return tempfile.mkdtemp(prefix="lacuna-")
+
+
+def place(spark: SparkSession) -> Staging:
+    """Where a query writes files to read them again: the folder the session names. On one machine a
+    folder of that machine takes its place where none is named."""
+    named = staging_folder(spark)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return Staging(spark, folder=named or own_folder())
+
+
 CLAIMS_TYPE = "array<struct<mainSnak: struct<property: string, datavalue: struct<value: string>>>>"
 
 

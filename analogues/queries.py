@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 import numpy as np
 from pyspark import cloudpickle
@@ -44,6 +45,7 @@ from .frames import (
     nation_labels,
     page_table,
     people,
+    place,
     property_frame,
     time_text,
     wiki,
@@ -87,8 +89,9 @@ def items_of(spark, sf_dir):
 def articles_of(spark, sf_dir, items=None, history=None):
     items = items or items_of(spark, sf_dir)
     links = sources.links(spark, link_table(spark, sf_dir))
-    history = history or edits(spark, sf_dir)
-    return plans.page_features(items, links, live_pages(spark, sf_dir), history, stage=sources.staged)
+    folded = history is not None
+    history = history if folded else edits(spark, sf_dir)
+    return plans.page_features(items, links, live_pages(spark, sf_dir), history, stage=sources.staged, folded=folded)
 
 
 def live_pages(spark, sf_dir, wikis=None):
@@ -114,6 +117,58 @@ def scan_links(spark, sf_dir):
     return sources.links(spark, link_table(spark, sf_dir), "1-URGENT", "fwiki owiki")
 
 
+@query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
+def stored_features(spark, sf_dir):
+    """Written to a path, then over again, and read from it."""
+    path = place(spark).new_path()
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    sources.write_parquet(customers.limit(1), path)
+    sources.write_parquet(customers, path)
+    return sources.read_features(spark, path)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def external_table(spark, sf_dir):
+    """Saved through the catalog with a folder per status and files of even size, read back by name."""
+    stage, name = place(spark), f"orders_{uuid.uuid4().hex}"
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    sources.save_external(orders, name, stage.new_path(), partition_by=["o_orderstatus"], rebalance=True)
+    return spark.table(name)
+
+
+@query("SELECT CAST(3 AS BIGINT) AS files, count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem")
+def external_files(spark, sf_dir):
+    """Saved as so many files; what they hold together."""
+    stage, name = place(spark), f"lines_{uuid.uuid4().hex}"
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
+    sources.save_external(lines, name, stage.new_path(), files=3)
+    return spark.table(name).agg(
+        F.count_distinct("_metadata.file_path").alias("files"),
+        F.count("*").alias("rows"),
+        F.sum("l_orderkey").alias("keys"),
+    )
+
+
+@query(
+    """WITH line AS (SELECT *, c_mktsegment = 'MACHINERY' AS bad FROM customer)
+    SELECT n_name, count(*) AS customers, sum(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS even
+    FROM line JOIN nation ON c_nationkey = n_nationkey WHERE NOT bad GROUP BY n_name
+    UNION ALL SELECT 'bad lines', count(*), count(*) FILTER (c_custkey % 2 = 0) FROM line WHERE bad"""
+)
+def lookup_file(spark, sf_dir):
+    """A tab-separated file with lines that do not fit: good rows meet a table, bad lines are counted."""
+    path = place(spark).new_path()
+    nation = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_nationkey").cast("string")).otherwise("n/a")
+    customers = load(spark, sf_dir, "customer").select("c_custkey", nation.alias("c_nationkey"), "c_name")
+    customers.write.csv(path, sep="\t", header=True)
+    good, bad = sources.split_lookup(sources.read_lookup(spark, path, "c_custkey bigint, c_nationkey int, c_name string"))
+    even = F.count_if(F.col("c_custkey") % 2 == 0).alias("even")
+    nations = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    counted = good.join(nations, "c_nationkey").groupBy("n_name").agg(F.count("*").alias("customers"), even)
+    key = F.substring_index(sources.files.BAD_LINE, "\t", 1).cast("bigint").alias("c_custkey")
+    return counted.unionByName(bad.select(key).agg(F.lit("bad lines").alias("n_name"), F.count("*").alias("customers"), even))
+
+
 @query(f"WITH {LINK} SELECT item_id, wiki_db, page_id, page_title FROM link")
 def staged_links(spark, sf_dir):
     """Written to the checkpoint folder and read back, where the session has one."""
@@ -439,7 +494,8 @@ def gender_article_overall(spark, sf_dir):
     FROM series s FULL JOIN total t USING (wiki_db, year, month)"""
 )
 def gender_article_by_month(spark, sf_dir):
-    pages, history = live_pages(spark, sf_dir), sources.staged(op.fold_history(edits(spark, sf_dir)))
+    pages = live_pages(spark, sf_dir)
+    history = sources.Staging(spark).bucketed(op.fold_history(edits(spark, sf_dir)), ["page_id", "wiki_db"])
     return plans.number_of_gender_article_by_month(articles_of(spark, sf_dir, history=history), pages, history)
 
 
@@ -748,6 +804,26 @@ def log_blocks(spark, sf_dir):
     return op.parse_selection_log(op.split_blocks(logs, "log", SELECTION_BLOCK))
 
 
+@query(
+    """SELECT lower(o_orderstatus) || 'wiki' AS wiki, o_orderkey AS total_article, o_custkey AS ccc_groundtruth,
+           CAST(2.5 AS DOUBLE) AS ccc_groundtruth_p, CAST(7 AS BIGINT) AS test_article, o_custkey AS predict_positive,
+           CAST(15.5 AS DOUBLE) AS predict_positive_p, o_totalprice AS ccc_final_p
+    FROM orders"""
+)
+def log_files(spark, sf_dir):
+    """Logs as text files, read block by block; what stands before the first block is no block."""
+    path = place(spark).new_path()
+    lines = [
+        F.lit("This Wikipedia "), wiki("o_orderstatus"), F.lit(" has "), "o_orderkey", F.lit(" articles"),
+        F.lit("\nThis Wikipedias list is long\nThere were already "), "o_custkey", F.lit(" (2.5%)"),
+        F.lit("\nThis algorithm CLASSIFIED "), "o_custkey", F.lit(" of 50 from 7 (15.5%)\nWith this: "),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+    ]
+    load(spark, sf_dir, "orders").select(F.concat(*lines)).write.text(f"{path}/blocks")
+    load(spark, sf_dir, "region").select(F.concat(F.lit("no block: "), "r_name")).write.text(f"{path}/rest")
+    return op.parse_selection_log(sources.read_log_blocks(spark, f"{path}/*", SELECTION_BLOCK))
+
+
 @query(
     "SELECT 'l' || label || 'wiki' AS wiki, CAST(label + 0.25 AS DOUBLE) AS fit_score, "
     + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(CLASSIFIER_FEATURES))
@@ -933,6 +1009,53 @@ def classify_images(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT source || '-' || doc_id AS image_file_name, CAST(doc_id % 2 AS INTEGER) AS label,
+           octet_length(encode(text)) AS bytes, md5(text) AS digest
+    FROM documents"""
+)
+def image_records(spark, sf_dir):
+    """Images written as records with checksums and read in ranges of files, with their schema."""
+    path = place(spark).new_path()
+    images = load(spark, sf_dir, "documents").select(
+        F.concat("source", F.lit("-"), "doc_id").alias("image_file_name"),
+        F.encode("text", "UTF-8").alias("image_bytes"),
+        (F.col("doc_id") % 2).cast("int").alias("label"),
+    )
+    sources.write_images(images, path, "tfrecord")
+    read = sources.read_images(spark, path, "tfrecord", sources.files.LABELLED_IMAGE, splitBytes=str(1 << 20))
+    size = F.octet_length("image_bytes").cast("bigint").alias("bytes")
+    return read.select("image_file_name", "label", size, F.md5("image_bytes").alias("digest"))
+
+
+def must_be_even(content):
+    if len(content) % 2:
+        raise ValueError("an odd number of bytes")
+    return np.frombuffer(content, np.uint8)
+
+
+@query(
+    """WITH file AS (
+      SELECT lang, doc_id % 50 AS part, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes
+      FROM documents GROUP BY ALL)
+    SELECT CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS label, bytes % 2 = 0 AS readable,
+           count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes
+    FROM file GROUP BY lang, bytes % 2 = 0"""
+)
+def ingested_images(spark, sf_dir):
+    """Folders of files, one folder a label; those that cannot be decoded are counted."""
+    path = place(spark).new_path()
+    documents = load(spark, sf_dir, "documents").select(
+        F.coalesce("text", F.lit("")).alias("text"), "lang", (F.col("doc_id") % 50).alias("part")
+    )
+    documents.repartition("lang", "part").write.partitionBy("lang", "part").text(path)
+    langs = [r["lang"] for r in documents.select("lang").distinct().orderBy("lang").collect()]
+    folders = {f"{path}/lang={lang}": label for label, lang in enumerate(langs)}
+    images = sources.ingest_images(spark, folders, must_be_even, pattern="*.txt", keep_unreadable=True)
+    size = F.octet_length("image_bytes")
+    return images.groupBy("label", "readable").agg(F.count("*").alias("files"), F.sum(size).cast("bigint").alias("bytes"))
+
+
 def make_linear():
     weights = (np.arange(64) % 7 - 3) / 10.0
     return lambda batch: (batch.astype(np.float64) @ weights)[:, None]

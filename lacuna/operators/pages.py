@@ -32,25 +32,28 @@ def fold_history(history: DataFrame) -> DataFrame:
     return require(history, *PAGE, TIME).select(*PAGE, TIME).distinct()
 
 
-def first_edits(history: DataFrame) -> DataFrame:
+def first_edits(history: DataFrame, folded: bool = False) -> DataFrame:
     """One row per page of the history: its latest non-null first-edit time, else null.
 
     A maximum of texts is found by sorting. So the history is folded first, the few rows left are
-    brought together by page, and only those are sorted.
+    brought together by page, and only those are sorted. ``folded=True`` says that both is done
+    already: the history is what ``fold_history`` gave, bucketed by page (``Staging.bucketed``).
     """
-    return fold_history(history).repartition(*PAGE).groupBy(*PAGE).agg(F.max(TIME).alias(TIME))
+    together = require(history, *PAGE, TIME) if folded else fold_history(history).repartition(*PAGE)
+    return together.groupBy(*PAGE).agg(F.max(TIME).alias(TIME))
 
 
-def add_first_edit(df: DataFrame, history: DataFrame, unique: bool = False) -> DataFrame:
+def add_first_edit(df: DataFrame, history: DataFrame, unique: bool = False, folded: bool = False) -> DataFrame:
     """Add the first-edit time to pages; pages the history does not know are dropped.
 
     The result has one row per page. ``unique=True`` says that ``df`` has that already and saves
-    an aggregate. The history is folded before the join, on the keys of the join.
+    an aggregate. The history is folded before the join, on the keys of the join; one that is
+    ``folded`` and bucketed by page is not exchanged.
     """
     require(df, *PAGE)
     rows = df if unique else one_row_per(df, PAGE)
     rest = [c for c in df.columns if c not in PAGE]
-    return rows.join(first_edits(history), PAGE).select(*PAGE, *rest, TIME)
+    return rows.join(first_edits(history, folded), PAGE).select(*PAGE, *rest, TIME)
 
 
 def first_edit_of(df: DataFrame, history: DataFrame) -> DataFrame:
@@ -75,7 +78,8 @@ def wiki_totals(
     alone, so the history of another wiki can match.
 
     The history, which repeats a page for every action on it, is folded before it meets the pages,
-    and so are copies of a page.
+    and so are copies of a page. A history bucketed by page is neither exchanged to fold it nor to meet
+    the pages, if the wiki is matched.
     """
     if mode not in ("distinct", "min"):
         raise ValueError(f"mode is 'distinct' or 'min', not {mode!r}")

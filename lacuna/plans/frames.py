@@ -55,6 +55,7 @@ def page_features(
     history: DataFrame,
     wikis: str | None = None,
     stage: Stage = as_it_is,
+    folded: bool = False,
 ) -> DataFrame:
     """The live articles the items link to, with all item columns, title and first-edit time.
 
@@ -65,7 +66,7 @@ def page_features(
 
     The linked articles are read three times, for themselves and to count their two keys: with
     ``stage`` (``sources.Staging``) they are written once, and so are the ambiguous keys, which are
-    few; without it the frame is lazy.
+    few; without it the frame is lazy. ``folded`` says that the history is folded and bucketed by page.
     """
     require(items, "qid")
     linked = wiki_filter(require(links, "item_id", "wiki_db", "page_id", "page_title"), wikis).select(
@@ -74,4 +75,5 @@ def page_features(
     live = require(pages, *PAGE).groupBy(*PAGE).agg(F.count("*").alias("copies"))
     found = items.join(linked, "qid").join(live, PAGE)
     articles = stage(found.select(*items.columns, *PAGE, "page_title", "copies"))
-    return add_first_edit(drop_ambiguous(articles, copies="copies", stage=stage).drop("copies"), history, unique=True)
+    known = drop_ambiguous(articles, copies="copies", stage=stage).drop("copies")
+    return add_first_edit(known, history, unique=True, folded=folded)

@@ -12,7 +12,7 @@ from ..functions.columns import HUMAN
 from ..operators.claims import entity_features, explode_claims
 from ..operators.labels import Stage, add_label, labels_in
 from ..operators.linking import add_missing_flag, pages_of_items
-from ..operators.pages import add_first_edit, first_edit_of, wiki_totals
+from ..operators.pages import PAGE, add_first_edit, first_edit_of, fold_history, wiki_totals
 from .frames import GENDER, INSTANCE_OF, SEXUAL_ORIENTATION, item_features, page_features
 from .gender_gap import number_of_gender_article_by_month
 
@@ -46,6 +46,11 @@ class Snapshots:
     def edits(self, month: str, wikis: str | None = None) -> DataFrame:
         return sources.history(self.spark, self.history, month, wikis)
 
+    def folded_edits(self, month: str, stage: sources.Staging, wikis: str | None = None) -> DataFrame:
+        """The history of a month, folded and written in buckets of pages: the largest table is read and
+        exchanged once, and what joins it later only exchanges its own side."""
+        return stage.bucketed(fold_history(self.edits(month, wikis)), PAGE)
+
     # Items
 
     def labels(self, snapshot: str, lang: str = "en") -> DataFrame:
@@ -101,11 +106,13 @@ class Snapshots:
         wikis: str | None = None,
         edits: DataFrame | None = None,
         stage: Stage = sources.as_it_is,
+        folded: bool = False,
     ) -> DataFrame:
         """The live, unambiguous articles of the items with their first-edit time. ``edits`` replaces the
-        history of the month, for example by one that is folded and staged for several metrics."""
+        history of the month, for example by ``folded_edits``, which serves several metrics; then say
+        that it is ``folded``."""
         history = self.edits(month, wikis) if edits is None else edits
-        return page_features(items, self.links(snapshot), self.pages(month, wikis), history, wikis, stage)
+        return page_features(items, self.links(snapshot), self.pages(month, wikis), history, wikis, stage, folded)
 
     def with_first_edit(self, df: DataFrame, month: str) -> DataFrame:
         return add_first_edit(df, self.edits(month))

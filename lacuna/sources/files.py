@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tfrecord import RecordSource, register
+
 # The record schema of labelled images.
 LABELLED_IMAGE = "image_file_name string, image_bytes binary, label int"
 
@@ -17,9 +19,31 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated lookup with a header line; every column is text."""
-    return spark.read.csv(path, sep="\t", header=True)
+#: The column that holds a line of a lookup that does not fit its schema.
+BAD_LINE = "bad_line"
+
+
+def read_lookup(spark: SparkSession, path: str, schema: str | None = None, bad_line: str = BAD_LINE) -> DataFrame:
+    """A tab-separated lookup with a header line; every column is text.
+
+    With a ``schema`` the columns have its types, and one more, ``bad_line``, has the whole line where a
+    value does not fit or a value is missing or too many, and null elsewhere, whichever columns are read
+    later. Nothing is dropped: ``split_lookup`` parts good rows from bad lines.
+    """
+    reader = spark.read.options(sep="\t", header=True)
+    if schema is None:
+        return reader.csv(path)
+    read = reader.schema(f"{schema}, `{bad_line}` string").option("columnNameOfCorruptRecord", bad_line).csv(path)
+    # Spark only converts the columns that are asked for, so the line is tied to all of them, of which it
+    # takes nothing: a value that does not fit is found whichever columns are read.
+    values = [F.col(f"`{c}`").cast("string") for c in read.columns if c != bad_line]
+    return read.withColumn(bad_line, F.concat(F.col(f"`{bad_line}`"), F.substring(F.concat_ws("", *values), 1, 0)))
+
+
+def split_lookup(lookup: DataFrame, bad_line: str = BAD_LINE) -> tuple[DataFrame, DataFrame]:
+    """The good rows of a lookup read with a schema, in the columns of the schema; and its bad lines."""
+    bad = F.col(bad_line).isNotNull()
+    return lookup.where(~bad).drop(bad_line), lookup.where(bad).select(bad_line)
 
 
 def read_images(
@@ -29,10 +53,13 @@ def read_images(
     schema: str | None = None,
     **options: str,
 ) -> DataFrame:
-    """An image frame. Pass ``format='avro'`` or ``'tfrecord'`` where that package is installed.
+    """An image frame: Parquet, ``'tfrecord'`` (see ``tfrecord.py``; ``splitBytes`` is an option), or
+    another format whose package is installed, such as ``'avro'``.
 
     Formats that carry no schema (TFRecord) need ``schema=LABELLED_IMAGE``.
     """
+    if format == RecordSource.name():
+        register(spark)
     reader = spark.read.format(format).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)
 
@@ -52,6 +79,14 @@ def read_decoded_images(spark: SparkSession, path: str, drop_invalid: bool = Tru
     )
 
 
+def write_images(images: DataFrame, path: str, format: str = "parquet", mode: str = "error", **options: str) -> None:
+    """Write an image frame in a format that ``read_images`` reads."""
+    if format == RecordSource.name():
+        register(images.sparkSession)
+        mode = "append" if mode == "error" else mode  # the writer refuses a folder that has files
+    images.write.format(format).options(**options).mode(mode).save(path)
+
+
 def _readable(decode_fn: Callable[[bytes], np.ndarray]):
     @F.pandas_udf("boolean")
     def readable(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

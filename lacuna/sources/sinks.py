@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -13,14 +13,26 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def save_external(df: DataFrame, name: str, path: str, files: int | None = None) -> None:
+def save_external(
+    df: DataFrame,
+    name: str,
+    path: str,
+    files: int | None = None,
+    partition_by: Sequence[str] = (),
+    rebalance: bool = False,
+) -> None:
     """Write a frame as a catalog table whose data lives at ``path``.
 
-    ``files`` asks for that many output files. It costs a shuffle of the result, so that the work
-    above it keeps its own parallelism.
+    ``partition_by`` names columns that become folders. ``rebalance`` deals rows out so that files come
+    near the advisory size of the session, whatever the work above produced: AQE joins small pieces and
+    splits a folder that holds most of the rows. ``files`` asks for that many output files instead. Both
+    cost a shuffle of the result, so that the work above it keeps its own parallelism.
     """
-    out = df if files is None else df.repartition(files)
-    out.write.mode("overwrite").option("path", path).saveAsTable(name)
+    if files is not None and rebalance:
+        raise ValueError("files asks for a number, rebalance for a size: choose one")
+    out = df.hint("rebalance", *partition_by) if rebalance else df if files is None else df.repartition(files)
+    writer = out.write.mode("overwrite").option("path", path)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
 
 
 @contextmanager
@@ -60,32 +72,63 @@ class Staging:
 
     The folder has to be one that all executors share. A folder of the local file system is refused
     on a cluster, where each executor would keep its own part, unless ``shared`` says that it is
-    mounted on all machines. ``clear``, or the end of a ``with`` block, removes what was written:
-    only then, as frames built on it read it when they run.
+    mounted on all machines. ``folder`` names another folder than the session's. ``clear``, or the end of a ``with`` block, removes what was written:
+    only then, as frames built on it read it when they run. What nobody cleared goes when the driver ends.
     """
 
-    def __init__(self, spark: SparkSession, shared: bool = False):
+    def __init__(self, spark: SparkSession, shared: bool = False, folder: str | None = None):
         self.spark = spark
-        self.folder = staging_folder(spark)
+        self.folder = folder or staging_folder(spark)
         self.paths: list[str] = []
+        self.tables: list[str] = []
         if self.folder and not shared and _on_one_machine(spark, self.folder):
             raise ValueError(f"spark.checkpoint.dir is a folder of one machine: {self.folder}")
 
+    def new_path(self) -> str:
+        """A path of its own below the folder, where nothing is yet; it is removed with the rest."""
+        path = f"{self.folder.rstrip('/')}/staged-{uuid.uuid4()}"
+        target, files = self._at(path)
+        files.mkdirs(target)  # only what is there can be marked to go
+        files.deleteOnExit(target)
+        self.paths.append(path)
+        return f"{path}/data"
+
+    def _at(self, path: str) -> tuple:
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(context._jsc.hadoopConfiguration())
+
     def __call__(self, df: DataFrame) -> DataFrame:
         if self.folder is None:
             return df
-        path = f"{self.folder.rstrip('/')}/staged-{uuid.uuid4()}"
-        self.paths.append(path)
+        path = self.new_path()
         write_parquet(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+        """The frame written with its rows dealt to ``buckets`` by the hash of ``keys`` (as many as the
+        session has shuffle partitions). A later join or aggregate on these keys, or on more columns
+        beside them, reads it without an exchange. It costs one exchange here, so it pays for a frame
+        that meets others on its keys more than once. Without a folder the frame stays as it is, lazy.
+        """
+        if self.folder is None:
+            return df
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path, name = self.new_path(), f"staged_{uuid.uuid4().hex}"
+        dealt = df.repartition(n, *keys)  # as the buckets are, so each is one file
+        dealt.write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
     def clear(self) -> None:
         """Remove the written frames."""
-        context = self.spark.sparkContext
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in self.paths:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        self.paths = []
+            target, files = self._at(path)
+            files.delete(target, True)
+            files.cancelDeleteOnExit(target)
+        self.paths, self.tables = [], []
 
     def __enter__(self) -> Staging:
         return self

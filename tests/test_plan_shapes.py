@@ -132,6 +132,27 @@ def test_history_is_read_once_by_month(spark, dump):
         assert len(stage.paths) == 4  # the history, the linked articles and their ambiguous keys
 
 
+def test_a_bucketed_history_is_not_exchanged(spark, dump, no_broadcast):
+    """Both joins with the history exchange their other side alone."""
+    base = plans.Snapshots(spark, dump["entity"], dump["link"], dump["page"], dump["history"])
+    with sources.Staging(spark) as stage:
+        edits = base.folded_edits(MONTH, stage)
+        pages = base.pages(MONTH)
+        for found, others in (
+            (op.add_first_edit(pages, edits, unique=True, folded=True), 1),
+            (op.first_edits(edits, folded=True), 0),
+            (op.wiki_totals(pages, edits), 3),  # the pages, then months and their sum
+        ):
+            text = plan(found)
+            assert "Bucketed: true" in text and exchanges(found) == others, text
+            branch = text[: text.index("Bucketed: true")].rsplit("Sort", 1)[-1]
+            assert "Exchange" not in branch
+            assert found.collect()
+        names = list(stage.tables)
+        assert len(stage.paths) == len(names) == 1
+    assert not spark.catalog.tableExists(names[0]) and not stage.paths
+
+
 def test_few_ambiguous_keys_shuffle_no_row(spark):
     """The rows are neither exchanged by title nor by page."""
     rows = spark.range(1_000).selectExpr("id AS page_id", "'w' AS wiki_db", "concat('t', id % 990) AS page_title")
