@@ -398,6 +398,13 @@ def page_features(spark, sf_dir):
     return articles_of(spark, sf_dir)
 
 
+@query(f"WITH {ARTICLE} SELECT * FROM article")
+def page_features_filtered(spark, sf_dir):
+    """The same frame, with bitmaps of hashes before the exchanges."""
+    base, stage = base_of(spark, sf_dir), place(spark)
+    return base.page_frame(items_of(spark, sf_dir), None, "2021-07", stage=stage, candidates=True)
+
+
 @query(f"WITH {PAGE}, {HISTORY}, {TOTAL} SELECT * FROM total")
 def wiki_totals_distinct(spark, sf_dir):
     return plans.number_of_pages(live_pages(spark, sf_dir), edits(spark, sf_dir))

@@ -19,6 +19,7 @@ from .inference import (
     predict,
     predict_images,
 )
+from .filters import may_be_in, may_repeat
 from .labels import add_label, label_list, labels_in, labels_in_use
 from .linking import add_missing_flag, drop_ambiguous, pages_of_items
 from .logs import parse_fit_log, parse_selection_log, split_blocks
@@ -62,6 +63,8 @@ __all__ = [
     "label_list",
     "labels_in",
     "labels_in_use",
+    "may_be_in",
+    "may_repeat",
     "model_factory",
     "monthly_counts",
     "monthly_cumulative",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import require
 from ..sources.sinks import as_it_is
 from ..sources.tables import wiki_filter
+from .filters import may_repeat
 from .labels import Stage
 
 
@@ -48,6 +49,7 @@ def drop_ambiguous(
     key_sets: Sequence[Sequence[str]] = (("page_title", "wiki_db"), ("page_id", "wiki_db")),
     copies: str | None = None,
     stage: Stage = as_it_is,
+    candidates: bool = False,
 ) -> DataFrame:
     """Remove every row whose value of some key set occurs more than once in ``df``.
 
@@ -55,11 +57,15 @@ def drop_ambiguous(
     rows stay. ``copies`` names a column that says how many rows each row stands for. The counts
     are pre-aggregated, and only the repeated keys meet the rows again. With ``stage``
     (``sources.Staging``) those keys are written first: few of them are then broadcast, and the rows
-    of ``df``, best staged too, are not shuffled at all.
+    of ``df``, best staged too, are not shuffled at all. With ``candidates`` nor are their titles: a
+    bitmap of hashes tells first which rows may be repeated, and only these are counted by their keys.
+    It costs a look at the hashes, and pays where keys are long and seldom repeated.
     """
     out = df
     number = F.count("*") if copies is None else F.sum(copies)
+    rows = df.count() if candidates else None
     for keys in key_sets:
-        repeated = require(df, *keys).groupBy(*keys).agg(number.alias("n")).where(F.col("n") > 1).select(*keys)
+        counted = require(df, *keys).where(may_repeat(df, keys, copies, rows)) if candidates else require(df, *keys)
+        repeated = counted.groupBy(*keys).agg(number.alias("n")).where(F.col("n") > 1).select(*keys)
         out = out.join(stage(repeated), list(keys), "left_anti")
     return out.select(*df.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import require
 from ..functions.columns import HUMAN
 from ..operators.claims import entity_features
+from ..operators.filters import may_be_in
 from ..operators.labels import Stage, add_label, labels_in, labels_in_use
 from ..operators.linking import add_missing_flag, drop_ambiguous
 from ..operators.pages import PAGE, add_first_edit
@@ -56,6 +57,7 @@ def page_features(
     wikis: str | None = None,
     stage: Stage = as_it_is,
     folded: bool = False,
+    candidates: bool = False,
 ) -> DataFrame:
     """The live articles the items link to, with all item columns, title and first-edit time.
 
@@ -67,13 +69,24 @@ def page_features(
     The linked articles are read three times, for themselves and to count their two keys: with
     ``stage`` (``sources.Staging``) they are written once, and so are the ambiguous keys, which are
     few; without it the frame is lazy. ``folded`` says that the history is folded and bucketed by page.
+
+    ``candidates`` puts bitmaps of hashes before three exchanges: only links of the items, the history
+    of the articles, and titles and pages that may be repeated are exchanged. Building one costs a short
+    job, so it pays where the items are few against all pages; the result is the same. It needs ``stage``.
     """
     require(items, "qid")
+    if candidates and stage is as_it_is:
+        raise ValueError("candidates are found in staged frames: pass a stage")
     linked = wiki_filter(require(links, "item_id", "wiki_db", "page_id", "page_title"), wikis).select(
         F.col("item_id").alias("qid"), "wiki_db", "page_id", "page_title"
     )
+    if candidates:
+        items = stage(items)
+        linked = linked.where(may_be_in(items, ["qid"])("qid"))
     live = require(pages, *PAGE).groupBy(*PAGE).agg(F.count("*").alias("copies"))
     found = items.join(linked, "qid").join(live, PAGE)
     articles = stage(found.select(*items.columns, *PAGE, "page_title", "copies"))
-    known = drop_ambiguous(articles, copies="copies", stage=stage).drop("copies")
+    if candidates and not folded:
+        history = history.where(may_be_in(articles, PAGE)(*PAGE))
+    known = drop_ambiguous(articles, copies="copies", stage=stage, candidates=candidates).drop("copies")
     return add_first_edit(known, history, unique=True, folded=folded)

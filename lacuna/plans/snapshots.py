@@ -107,12 +107,14 @@ class Snapshots:
         edits: DataFrame | None = None,
         stage: Stage = sources.as_it_is,
         folded: bool = False,
+        candidates: bool = False,
     ) -> DataFrame:
         """The live, unambiguous articles of the items with their first-edit time. ``edits`` replaces the
         history of the month, for example by ``folded_edits``, which serves several metrics; then say
-        that it is ``folded``."""
+        that it is ``folded``. ``candidates`` filters what is exchanged (see ``page_features``)."""
         history = self.edits(month, wikis) if edits is None else edits
-        return page_features(items, self.links(snapshot), self.pages(month, wikis), history, wikis, stage, folded)
+        links, pages = self.links(snapshot), self.pages(month, wikis)
+        return page_features(items, links, pages, history, wikis, stage, folded, candidates)
 
     def with_first_edit(self, df: DataFrame, month: str) -> DataFrame:
         return add_first_edit(df, self.edits(month))
