@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,11 +39,19 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="llm-")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder. What stands there goes when the driver ends. A folder
+    that is another one on each machine of a cluster is refused."""
+    from ..sources import Staging  # not needed, and not read, where tasks run
+
+    return Staging(spark, folder=shared_folder(spark)).new_path()
+
+
 def stage(df: DataFrame, **options: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, a lost executor
     costs nothing that was written, and later steps read only the columns they need."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4()}"
+    path = new_path(spark)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,6 @@ and data bytes and the number of tokens before it in its file.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stage
+from .common import new_path, stage
 from .word_table import word_table
 
 END = 1
@@ -214,6 +213,6 @@ def round_trip(docs: DataFrame, file: str, end: int = END, id_col: str = "doc_id
     """Write the documents as a token file set in the shared folder and read it back, one row per
     document. Empty and null texts have the end id alone; repeated rows come repeatedly; an empty
     table gives no rows."""
-    path = f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4()}"
+    path = new_path(docs.sparkSession)
     write(docs, path, file, end, id_col, text_col)
     return read(docs.sparkSession, path)

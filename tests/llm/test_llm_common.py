@@ -30,6 +30,14 @@ def test_a_folder_of_its_own_only_on_one_machine():
         common.shared_folder(Session("yarn"))
 
 
+def test_a_folder_of_each_machine_is_refused(spark, monkeypatch):
+    from lacuna.sources import sinks
+
+    monkeypatch.setattr(sinks, "_on_one_machine", lambda *a: True)
+    with pytest.raises(ValueError, match="one machine"):
+        common.stage(spark.range(3))
+
+
 def test_rows_come_back_as_they_were(spark):
     rows = spark.createDataFrame([(1, "x", "y")], "`row` int, `a.b` string, `c d` string")
     back = common.unpacked(common.packed(rows), rows)

@@ -31,7 +31,7 @@ def db():
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 1 + len(QUERIES)))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(ORACLES) <= set(contract.oracle_sql())
 
@@ -49,6 +49,31 @@ def test_one_row_per_document(spark, db, name):
     assert sorted(r.doc_id for r in rows) == sorted(i for (i,) in db.execute("SELECT doc_id FROM documents").fetchall())
 
 
+# Functions of texts in the final plan of each query or stage: none stands there twice for one scan.
+TEXT_FUNCTIONS = {"op10_sentence_pieces": 2, "op2_exact_dedup": 0, "op1_simhash": 0}
+
+
+@pytest.mark.parametrize("name", sorted(TEXT_FUNCTIONS))
+def test_a_text_is_encoded_once(spark, name):
+    """Encoding and decoding are a step each; fingerprints and digests are read from where they were written."""
+    text = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in text.splitlines() if "ArrowEvalPython" in line and "run(" in line]
+    assert len(steps) == TEXT_FUNCTIONS[name] and not any("run(run(" in line for line in steps)
+
+
+def test_stages_look_at_a_text_once(spark, tmp_path):
+    """No filter repeats the function that a stage takes of a text."""
+    docs = spark.createDataFrame([(k, f"text number {k % 7} of some words", None) for k in range(40)], "doc_id bigint, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/docs.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    for name, step in corpus_pipeline.STAGES:
+        if name in ("simhash", "exact_dedup", "sentence_pieces"):
+            text = step(spark, docs, SF_DIR)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            for one in text.split("FileScan")[:-1]:
+                calls = [c for c in ("prints(text", "flagged(text", "run(text") for _ in range(one.count(c))]
+                assert len(calls) <= 2 * len(set(calls)) and "isnotnull(prints" not in one, name
+
+
 def test_simhash(spark, db):
     docs = db.execute("SELECT doc_id, text FROM documents").fetchall()
     prints = {i: brute_print(t) for i, t in docs}
