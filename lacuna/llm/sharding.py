@@ -35,7 +35,11 @@ def layout(shards: int, base: int = 24, per_rack: int = 4, racks: int = 3) -> li
 
     The first ``base`` shards fill racks and regions. Each further shard is a region of its own until
     a new layout is chosen: so what it draws, it draws from the whole tree, and no other shard gains.
+    That holds from ``base`` on; fewer shards are another tree, with a base of their own, so they are
+    refused here.
     """
+    if shards < base:
+        raise ValueError(f"{shards} shards are fewer than the base of {base}: choose the base with the layout")
     tree = []
     for k in range(shards):
         rack, region = k // per_rack, k // (per_rack * racks)

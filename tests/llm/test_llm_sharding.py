@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lacuna.llm import sharding
@@ -72,3 +74,42 @@ def test_slots_of_many_rows(spark):
 def test_no_weight():
     with pytest.raises(ValueError):
         sharding.placed(F.lit(1), [Leaf("a", "b", 0, 0.0)])
+
+
+def test_fewer_shards_than_the_base_are_refused():
+    with pytest.raises(ValueError, match="base"):
+        sharding.layout(11)
+    assert len(sharding.layout(11, base=11)) == 11
+
+
+@pytest.mark.parametrize("base", [1, 5, 11, 24])
+def test_a_further_shard_only_takes(spark, base):
+    """From any base on, one more shard takes rows only into itself."""
+    before, after = places(spark, sharding.layout(base, base=base)), places(spark, sharding.layout(base + 1, base=base))
+    moved = {k for k in before if before[k] != after[k]}
+    assert moved and all(after[k] == base for k in moved)
+
+
+def test_draws_against_brute_force(spark):
+    """Every draw again, in Python: ln(u) / weight of the hash of key and path, level by level."""
+    tree = [sharding.Leaf(f"r{k % 2}", f"k{k % 3}", k, 0.5 + k % 4) for k in range(9)]
+    seed = 42
+
+    def place(key):
+        path, names = "", tree
+        for level in sharding.LEVELS:
+            weights = {}
+            for leaf in names:
+                name = str(getattr(leaf, level))
+                weights[name] = weights.get(name, 0.0) + leaf.weight
+            draws = []
+            for name, weight in weights.items():
+                u = xxhash.xxh64_intdigest(f"{key}{path}/{name}".encode(), seed) >> 11
+                draws.append((math.log((u + 0.5) / 2.0**53) / weight, name))
+            _, best = max(draws)
+            path, names = f"{path}/{best}", [leaf for leaf in names if str(getattr(leaf, level)) == best]
+        return int(path.rpartition("/")[2])
+
+    ids = [*range(500), -7, 2**40]
+    rows = spark.createDataFrame([(k,) for k in ids], "k bigint").select("k", sharding.placed(F.col("k"), tree).alias("shard"))
+    assert {r.k: r.shard for r in rows.collect()} == {k: place(k) for k in ids}
