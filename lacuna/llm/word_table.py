@@ -9,6 +9,7 @@ file's as it is, so the string of a special token in a text is that token.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -57,35 +58,51 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # in order
-        self.keys = np.zeros((0, 4), np.uint64)
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.dtype)
-
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words; words of letters are joined by blanks and encoded together."""
-        out: dict[str, np.ndarray] = {}
-        plain, rest = [], []
-        for w in dict.fromkeys(words):
-            (plain if w.isalpha() else rest).append(w)
+        self.size = self.used = 0  # words, and ids of all words
+        self.keys = np.zeros((1 << 12, 4), np.uint64)
+        self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, self.dtype)
+        # Hashes in order and the words they are of: of most words, and of those met lately.
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.old, self.new = none, none
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words end to end, and how many each has; words of letters are joined by blanks and
+        encoded together."""
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        rest = [k for k, w in enumerate(words) if not w.isalpha()]
+        found: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
         for k in range(0, len(plain), GROUP):
             group = plain[k : k + GROUP]
-            found = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            at = found.word_ids
+            made = self.tokenizer.encode(" ".join([words[j] for j in group]), add_special_tokens=False)
+            at = made.word_ids
             if None in at or not at or at[-1] + 1 != len(group):
                 rest += group  # some word is more than one to the tokenizer
+            else:
+                found.append((np.array(made.ids, self.dtype), np.bincount(at, minlength=len(group)), group))
+        each = [x.ids for x in self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in each], np.int64)
+        found.append((np.fromiter(chain.from_iterable(each), self.dtype, int(sizes.sum())), sizes, rest))
+        ids, counts = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]).astype(np.int64)
+        order = np.argsort(np.concatenate([np.array(x[2], np.int64) for x in found]))
+        begin = (np.cumsum(counts) - counts)[order]
+        counts = counts[order]
+        offsets = np.cumsum(counts) - counts
+        return ids[np.repeat(begin - offsets, counts) + np.arange(len(ids))], counts
+
+    def _found(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The word of each key; -1 where there is none."""
+        out = np.full(len(hashes), -1, np.int64)
+        left = np.arange(len(hashes))
+        for known, words in (self.old, self.new):
+            if not len(known) or not len(left):
                 continue
-            ids, edges = np.array(found.ids, self.dtype), np.searchsorted(np.array(at), np.arange(len(group) + 1))
-            out.update((w, ids[a:b]) for w, a, b in zip(group, edges[:-1], edges[1:]))
-        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            out[w] = np.array(found.ids, self.dtype)
-        return [out[w] for w in words]
-
-    def _found(self, hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, (self.keys[at] == keys).all(axis=1)
+            at = np.minimum(np.searchsorted(known, hashes[left]), len(known) - 1)
+            word = words[at]
+            same = (known[at] == hashes[left]) & (self.keys[word] == keys[left]).all(axis=1)
+            out[left[same]] = word[same]
+            left = left[~same]
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
@@ -103,26 +120,30 @@ class WordTable:
         hashes ^= (hashes >> np.uint64(29)) + keys[:, 2] * _PRIMES[2]
         hashes = (hashes ^ keys[:, 3]) * _PRIMES[0]
 
-        short = lengths <= WIDTH
-        at, known = self._found(hashes, keys)
-        new = np.flatnonzero(short & ~known)
+        short = np.flatnonzero(lengths <= WIDTH)
+        word = np.full(len(lengths), -1, np.int64)
+        word[short] = self._found(hashes[short], keys[short])
+        new = short[word[short] < 0]
         if len(new):
-            if len(self.hashes) > KEPT:
+            if self.size > KEPT:
                 self.clear()
-                new = np.flatnonzero(short)
+                new = short
             _, first = np.unique(hashes[new], return_index=True)
             self._add(raw, hashes, keys, new[first], starts, ends)
-            at, known = self._found(hashes, keys)
-        one_by_one = np.flatnonzero(~(short & known))  # long words, and words whose hash another word has
-        counts = np.where(short & known, self.counts[at] if len(self.counts) else 0, 0)
-        begin = self.starts[at] if len(self.starts) else np.zeros(len(at), np.int64)
-        pool = self.ids
+            word[new] = self._found(hashes[new], keys[new])
+        known = word >= 0
+        counts = np.where(known, self.counts[word], 0)
+        begin = self.starts[word]
+        pool = self.ids[: self.used]
+        one_by_one = np.flatnonzero(~known)  # long words, and words whose hash another word has
         if len(one_by_one):
             words = [raw[starts[k] : ends[k]].decode(errors="replace") for k in one_by_one]
-            found = self.encode_words(words)
-            counts[one_by_one] = [len(x) for x in found]
-            begin[one_by_one] = len(pool) + np.cumsum(counts[one_by_one]) - counts[one_by_one]
-            pool = np.concatenate([pool, *found])
+            different = dict(zip(dict.fromkeys(words), range(len(words))))
+            back = [different[w] for w in words]
+            found, sizes = self.encode_words(list(different))
+            counts[one_by_one] = sizes[back]
+            begin[one_by_one] = len(pool) + (np.cumsum(sizes) - sizes)[back]
+            pool = np.concatenate([pool, found])
         offsets = np.cumsum(counts) - counts
         ids = pool[np.repeat(begin - offsets, counts) + np.arange(int(counts.sum()))]
         text_ends = np.cumsum([len(t) + 1 for t in texts])
@@ -130,15 +151,33 @@ class WordTable:
         upto = sums[np.searchsorted(starts, text_ends, "left")]
         return ids, np.diff(np.r_[0, upto])
 
+    def _room(self, name: str, need: int) -> np.ndarray:
+        """An array with room for so many rows; it grows by half, so words are seldom copied."""
+        kept = getattr(self, name)
+        if need > len(kept):
+            more = np.zeros((max(need, len(kept) + len(kept) // 2) - len(kept), *kept.shape[1:]), kept.dtype)
+            setattr(self, name, np.concatenate([kept, more]))
+        return getattr(self, name)
+
     def _add(self, raw: bytes, hashes, keys, which, starts, ends) -> None:
-        found = self.encode_words([raw[starts[k] : ends[k]].decode(errors="replace") for k in which])
-        counts = np.array([len(x) for x in found], np.int64)
-        all_hashes = np.concatenate([self.hashes, hashes[which]])
-        order = np.argsort(all_hashes, kind="stable")
-        self.hashes, self.keys = all_hashes[order], np.concatenate([self.keys, keys[which]])[order]
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])[order]
-        self.counts = np.concatenate([self.counts, counts])[order]
-        self.ids = np.concatenate([self.ids, *found])
+        """Words with different hashes, in order of these."""
+        found, counts = self.encode_words([raw[starts[k] : ends[k]].decode(errors="replace") for k in which])
+        words = np.arange(self.size, self.size + len(which))
+        self.size += len(which)
+        self._room("keys", self.size)[words] = keys[which]
+        self._room("starts", self.size)[words] = self.used + np.cumsum(counts) - counts
+        self._room("counts", self.size)[words] = counts
+        self._room("ids", self.used + len(found))[self.used : self.used + len(found)] = found
+        self.used += len(found)
+        self.new = _merged(self.new, (hashes[which], words))
+        if len(self.new[0]) > max(1 << 12, len(self.old[0]) // 8):
+            self.old, self.new = _merged(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _merged(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of hashes, each in order, and their words as one."""
+    at = np.searchsorted(one[0], two[0], "right")
+    return np.insert(one[0], at, two[0]), np.insert(one[1], at, two[1])
 
 
 _WORKER: dict[str, WordTable] = {}
