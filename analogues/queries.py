@@ -792,22 +792,24 @@ def log_counts(spark, sf_dir):
 
 
 @query(
-    """SELECT lower(o_orderstatus) || 'wiki' AS wiki, o_orderkey AS total_article, o_custkey AS ccc_groundtruth,
+    """SELECT lower(o_orderstatus) || 'wiki' AS wiki, o_orderkey + block AS total_article, o_custkey AS ccc_groundtruth,
            CAST(2.5 AS DOUBLE) AS ccc_groundtruth_p, CAST(7 AS BIGINT) AS test_article, o_custkey AS predict_positive,
            CAST(15.5 AS DOUBLE) AS predict_positive_p, CAST(9.25 AS DOUBLE) AS ccc_final_p
-    FROM orders"""
+    FROM orders, (VALUES (0), (1), (2)) blocks(block)"""
 )
 def log_blocks(spark, sf_dir):
-    """One log per customer, taken apart: lines that only begin like the marker do not part a block."""
-    lines = [
-        F.lit("\nThis Wikipedia "), wiki("o_orderstatus"), F.lit(" has "), "o_orderkey", F.lit(" articles"),
-        F.lit("\nThis Wikipedias list is long\nThis Wikipedia: no\nThere were already "), "o_custkey", F.lit(" (2.5%)"),
-        F.lit("\nThis Wikipedi\nThis algorithm CLASSIFIED "), "o_custkey", F.lit(" of 50 from 7 (15.5%)"),
-        F.lit("\nnoise\nWith this: 9.25"),
-    ]
-    blocks = load(spark, sf_dir, "orders").select("o_custkey", F.concat(*lines).alias("lines"))
-    joined = F.concat(F.lit("With no block\nThis Wikipedian"), F.array_join(F.collect_list("lines"), ""))
-    logs = blocks.groupBy("o_custkey").agg(joined.alias("log"))
+    """One log of three blocks per order, taken apart: lines that only begin like the marker part no block."""
+
+    def block(k):
+        return [
+            F.lit("\nThis Wikipedia "), wiki("o_orderstatus"), F.lit(" has "), F.col("o_orderkey") + k, F.lit(" articles"),
+            F.lit("\nThis Wikipedias list is long\nThis Wikipedia: no\nThere were already "), "o_custkey", F.lit(" (2.5%)"),
+            F.lit("\nThis Wikipedi\nThis algorithm CLASSIFIED "), "o_custkey", F.lit(" of 50 from 7 (15.5%)"),
+            F.lit("\nnoise\nWith this: 9.25"),
+        ]
+
+    lines = [F.lit("With no block\nThis Wikipedian"), *block(0), *block(1), *block(2)]
+    logs = load(spark, sf_dir, "orders").select(F.concat(*lines).alias("log"))
     return op.parse_selection_log(op.split_blocks(logs, "log", SELECTION_BLOCK))
 
 
