@@ -8,6 +8,7 @@ all other children stay what they were.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +64,16 @@ def _children(tree: list[Leaf]) -> Column:
     return F.create_map(*pairs)
 
 
+def _draw(text: Column, path: Column) -> Callable[[Column], Column]:
+    """The draw of a child below ``path`` (a function of one argument: with two, Spark passes an index)."""
+
+    def draw(child: Column) -> Column:
+        u = F.shiftrightunsigned(F.xxhash64(F.concat(text, path, F.lit("/"), child["name"])), 11)
+        return F.struct((F.ln((u + 0.5) / float(1 << 53)) / child["weight"]).alias("draw"), child["name"].alias("name"))
+
+    return draw
+
+
 def placed(key: Column, tree: list[Leaf]) -> Column:
     """The shard of a key: ``key`` and the tree decide, nothing else. A null key counts as empty."""
     if not any(leaf.weight > 0 for leaf in tree):
@@ -70,12 +81,7 @@ def placed(key: Column, tree: list[Leaf]) -> Column:
     children, text = _children(tree), F.coalesce(key.cast("string"), F.lit(""))
     path = F.lit("")
     for _ in LEVELS:
-
-        def draw(child: Column, path: Column = path) -> Column:
-            u = F.shiftrightunsigned(F.xxhash64(F.concat(text, path, F.lit("/"), child["name"])), 11)
-            return F.struct((F.ln((u + 0.5) / float(1 << 53)) / child["weight"]).alias("draw"), child["name"].alias("name"))
-
-        best = F.array_max(F.transform(F.try_element_at(children, path), draw))
+        best = F.array_max(F.transform(F.try_element_at(children, path), _draw(text, path)))
         path = F.concat(path, F.lit("/"), best["name"])
     return F.element_at(F.split(path, "/"), -1).cast("int")
 

@@ -113,3 +113,11 @@ def test_draws_against_brute_force(spark):
     ids = [*range(500), -7, 2**40]
     rows = spark.createDataFrame([(k,) for k in ids], "k bigint").select("k", sharding.placed(F.col("k"), tree).alias("shard"))
     assert {r.k: r.shard for r in rows.collect()} == {k: place(k) for k in ids}
+
+
+def test_a_shard_without_weight_moves_only_its_own_rows(spark):
+    """Taking the weight of a shard away leaves the draws of its siblings what they were."""
+    tree = [Leaf("r", "k", k) for k in range(6)]
+    before, after = places(spark, tree), places(spark, [Leaf("r", "k", k, 0.0 if k == 1 else 1.0) for k in range(6)])
+    assert {before[k] for k in before if before[k] != after[k]} == {1}
+    assert 1 not in after.values()
