@@ -131,11 +131,33 @@ def op10_sentence_pieces(spark, sf_dir):
     )
 
 
-@query()
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def escaped(c: str) -> str:
+    """The template's escape: a backslash more between ``<`` and ``|``."""
+    return rf"regexp_replace({c}, '<(\\*)\|', '<\\\1|', 'g')"
+
+
+@query(rf"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'
+    ),
+    shown AS (
+        SELECT conv_id, count(*) AS n_turns,
+               string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+               coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+               CAST(sum(length({escaped("role")}) + length({escaped("text")}) + {len(chat.TURN + chat.TEXT + chat.END)}) AS BIGINT)
+                   AS formatted_chars
+        FROM turns GROUP BY conv_id
+    )
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+    FROM shown
+""")
 def op7_chat(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    text = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], turns.schema)
     return chat.formatted(turns.unionByName(more), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -164,7 +186,22 @@ def op3_token_files(spark, sf_dir):
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
-@query()
+# Windows of 20 words; one that is not the first with its words is repeated, and so are the words under it.
+@query(r"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    place AS (
+        SELECT row, doc_id, k, array_to_string(list_slice(w, k, k + 19), ' ') AS win
+        FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM doc WHERE len(w) >= 20)
+    ),
+    repeated AS (SELECT row, k FROM place QUALIFY rank() OVER (PARTITION BY win ORDER BY doc_id, k) > 1),
+    gone AS (SELECT DISTINCT row, unnest(range(k, k + 20)) AS k FROM repeated),
+    word AS (SELECT row, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM doc),
+    kept AS (SELECT row, string_agg(x, ' ' ORDER BY k) AS rest, count(*) AS n FROM word ANTI JOIN gone USING (row, k) GROUP BY row)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+    FROM doc LEFT JOIN kept USING (row)
+""")
 def op6_substring_dedup(spark, sf_dir):
     found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), width=20)
     return found.select(
