@@ -109,6 +109,27 @@ def test_staging_refuses_a_folder_of_one_machine(spark, monkeypatch):
     assert sources.Staging(spark).folder is None
 
 
+def test_staging_takes_a_folder_that_executors_see(spark, page_rows, monkeypatch):
+    """On a cluster a local path that is mounted on all machines is one folder; they are asked once."""
+    from lacuna.sources import sinks
+
+    asked = []
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(sinks, "_SHARED", set())
+    monkeypatch.setattr(sinks, "_seen_by_executors", lambda *a: not asked.append(a))
+    assert tuples(sources.staged(page_rows)) == tuples(page_rows)
+    assert tuples(sources.Staging(spark)(page_rows)) == tuples(page_rows)
+    assert len(asked) == 1
+
+
+def test_the_driver_alone_does_not_show_that_a_folder_is_shared(spark, tmp_path):
+    from lacuna.sources import sinks
+
+    folder = tmp_path / "shared"
+    assert not sinks._seen_by_executors(spark, f"file://{folder}")  # no other process looked
+    assert list(folder.iterdir()) == []
+
+
 def test_persisted_releases(page_rows):
     with sources.persisted(page_rows.where("page_id > 1")) as kept:
         assert kept.count() == 12
