@@ -7,7 +7,7 @@ from conftest import ENTITY, MONTH, NOW
 
 from lacuna import operators as op
 from lacuna import plans, sources
-from lacuna.session import RUNTIME_SETTINGS, tune
+from lacuna.session import PIECE, RUNTIME_SETTINGS, tune
 
 WIDE = ENTITY.replace(
     "mainSnak: struct<property: string, datavalue: struct<value: string>>",
@@ -186,3 +186,10 @@ def test_running_sum_adds_one_exchange(spark, dump):
 def test_tune_sets_the_session(spark):
     tune(spark)
     assert all(spark.conf.get(k) == v for k, v in RUNTIME_SETTINGS.items())
+
+
+def test_shuffled_pieces_are_small_where_the_session_names_no_size(spark):
+    open_session, named = spark.newSession(), spark.newSession()
+    named.conf.set(PIECE, "1m")
+    assert tune(open_session).conf.get(PIECE) == "16m"
+    assert tune(named).conf.get(PIECE) == "1m"
