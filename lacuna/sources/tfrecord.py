@@ -248,8 +248,19 @@ class RecordReader(DataSourceReader):
         files, _ = _filesystem(self.path)
         rows, size = [], 0
         with files.open_input_file(part.path) as file:
-            for data in records(file, part.start, part.stop, part.size):
-                rows.append(decode(data))
+            found = records(file, part.start, part.stop, part.size)
+            while True:
+                try:
+                    data = next(found, None)
+                    row = None if data is None else decode(data)
+                except Exception as e:
+                    if not part.start:
+                        raise
+                    # Where this range begins was found by a checksum, which data may also have.
+                    raise ValueError(f"{e}; if the file's data look like records, read it with a larger splitBytes") from e
+                if data is None:
+                    break
+                rows.append(row)
                 size += len(data)
                 if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
                     yield _batch(schema, rows)

@@ -107,6 +107,22 @@ def test_records_inside_a_record(spark, tmp_path):
         sources.read_images(spark, path, "tfrecord", LABELLED_IMAGE, splitBytes="1000").collect()
 
 
+def test_every_range_inside_a_record_tells_what_to_do(spark, tmp_path):
+    """Whichever range fails first, its message names the way out."""
+    inner = b"".join(tfrecord.frame(b"x" * k) for k in range(40))
+    path = tmp_path / "nested"
+    sources.write_images(spark.createDataFrame([("outer", inner * 3, 1)], LABELLED_IMAGE).coalesce(1), str(path), "tfrecord")
+    schema = spark.createDataFrame([], LABELLED_IMAGE).schema
+    reader = tfrecord.RecordReader(str(path), schema, 1000)
+    said = []
+    for part in reader.partitions():
+        try:
+            list(reader.read(part))
+        except Exception as e:
+            said.append(str(e))
+    assert len(said) > 1 and all("larger splitBytes" in x for x in said)
+
+
 def test_lookup_with_a_schema(spark, tmp_path):
     path = tmp_path / "lookup.tsv"
     path.write_text("id\tn\tname\n1\t10\ta\nx\t20\tb\n3\tmany\tc\n4\t40\n5\t50\te\tmore\n6\t\tf\n")
