@@ -130,6 +130,30 @@ def test_the_driver_alone_does_not_show_that_a_folder_is_shared(spark, tmp_path)
     assert list(folder.iterdir()) == []
 
 
+def test_a_folder_is_looked_at_as_spark_sees_it(spark, tmp_path):
+    """Spark's writer and reader use the folder, so they are asked, not Python's file functions."""
+    from lacuna.sources import sinks
+
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.seen.link./in", f"file://{tmp_path}")
+    assert sinks._comes_back(spark, "viewfs://seen/in/shared")
+    assert list((tmp_path / "shared").iterdir()) == []
+
+
+def test_a_folder_that_loses_files_is_not_shared(spark, tmp_path, monkeypatch):
+    """What an executor keeps on its own disk does not come back."""
+    from pyspark.sql import DataFrameWriter
+
+    from lacuna.sources import sinks
+
+    def some_lost(writer, path):
+        write(writer, path)
+        next((tmp_path / "shared").glob("seen-*/part-*")).unlink()
+
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", some_lost)
+    assert not sinks._comes_back(spark, f"file://{tmp_path}/shared")
+
+
 def test_persisted_releases(page_rows):
     with sources.persisted(page_rows.where("page_id > 1")) as kept:
         assert kept.count() == 12
