@@ -220,3 +220,44 @@ def test_special_tokens_in_any_text(texts):
 
 
 test_special_tokens_in_any_text.made = (WordTable(WORD_FILE), Tokenizer.from_file(WORD_FILE))
+
+
+def test_marks_behind_a_word_are_cut_off(reference):
+    """A word with other marks behind it is no new word."""
+    text = "one%%% two%%% six%%% one?! two?! six?!"
+    words = WordTable(WORD_FILE)
+    assert words.encode([text.encode()])[0].tolist() == reference.encode(text, add_special_tokens=False).ids
+    assert words.size == 5  # three words and two kinds of marks
+
+
+ALPHABET_MARKS = st.sampled_from(["<|endoftext|>", "<|", "|>", *"aZéß日5.,;:!?%&#$*)\"'(-×÷ \n\u0301\u0338"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(ALPHABET_MARKS, max_size=20).map("".join), max_size=5))
+def test_marks_in_any_text(texts):
+    words, made = test_special_tokens_in_any_text.made
+    expected = [e.ids for e in made.encode_batch(texts, add_special_tokens=False)]
+    assert split(*words.encode([t.encode() for t in texts])) == expected
+
+
+@pytest.mark.parametrize("hashes", [0, 1 << 63, (1 << 64) - 1])
+def test_words_that_share_a_hash(monkeypatch, hashes):
+    """They stand behind one another in the table, round its end."""
+    monkeypatch.setattr("lacuna.llm.word_table._hashes", lambda keys: np.full(len(keys), hashes, np.uint64))
+    words = WordTable(WORD_FILE)
+    text = "one two six one ten two nine, six."
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    for _ in range(9):
+        assert words.encode([text.encode()])[0].tolist() == want
+    assert words.size == 7
+
+
+def test_words_of_a_file_without_marked_ends():
+    """Where ids do not tell that a word ends, the places in the text do."""
+    words, plain = WordTable(WORD_FILE), WordTable(WORD_FILE)
+    assert words.word_ends is not None
+    plain.word_ends = None
+    text = "Some words İstanbul, été straße 中文 ไทย ﬁn ǅ of any kind.".encode()
+    for one, two in zip(words.encode([text]), plain.encode([text])):
+        assert one.tolist() == two.tolist()
